@@ -1,0 +1,56 @@
+"""Tables that cut lineage, in the folder that the whole cluster shares."""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; where it is unset, one is made for this session."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="paralens-")
+    return f"file://{_own[app]}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _delete_quietly(spark: SparkSession, path: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, path)
+    except Exception:  # the session has ended; the folder may be removed by hand
+        pass
+
+
+class Table:
+    """A DataFrame written as Parquet; ``drop`` removes the files once nothing reads them."""
+
+    def __init__(self, df: DataFrame, label: str, compression: str = "snappy"):
+        self.spark = df.sparkSession
+        root = f"{shared_dir(self.spark)}/paralens-{self.spark.sparkContext.applicationId}"
+        self.path = f"{root}/{label}-{uuid.uuid4().hex}"
+        df.write.option("compression", compression).parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        atexit.register(_delete_quietly, self.spark, root)
+
+    def drop(self) -> None:
+        _delete(self.spark, self.path)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The same rows, read from a table in the shared folder."""
+    return Table(df, label).df
