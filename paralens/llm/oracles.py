@@ -8,10 +8,14 @@ WITH d AS (
            regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w,
            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{SPACED}')) AS l
     FROM documents
+), words AS (
+    SELECT row_id, unnest(w) AS w1, generate_subscripts(w, 1) AS p FROM d
 ), windows AS (
-    SELECT row_id, unnest(range(1, len(w) - 3)) AS p, w FROM d WHERE len(w) >= 5
+    SELECT row_id, p, concat_ws(' ', w1, lead(w1, 1) OVER x, lead(w1, 2) OVER x, lead(w1, 3) OVER x, lead(w1, 4) OVER x) AS five,
+           lead(w1, 4) OVER x AS w5
+    FROM words WINDOW x AS (PARTITION BY row_id ORDER BY p)
 ), found AS (
-    SELECT row_id, p, count(*) OVER (PARTITION BY row_id, w[p:p + 4]) AS times FROM windows
+    SELECT row_id, p, count(*) OVER (PARTITION BY row_id, five) AS times FROM windows WHERE w5 IS NOT NULL
 ), hit AS (
     SELECT row_id, count(DISTINCT p + k) AS n FROM found, (SELECT unnest(range(0, 5)) AS k) WHERE times > 1 GROUP BY row_id
 ), m AS (
@@ -34,6 +38,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM bits
 """
 
+#: Lower-cased words of documents (d) and benchmark items (i), one row a word.
+OP1 = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS row_id, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), i AS (
+    SELECT row_number() OVER () AS item_row, item_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark WHERE item_id IS NOT NULL
+), dw AS (
+    SELECT row_id, unnest(w) AS w1, generate_subscripts(w, 1) AS p FROM d
+), iw AS (
+    SELECT DISTINCT item_id, least(len(w), 8) AS n, array_to_string(w[k:k + 7], ' ') AS window_text
+    FROM (SELECT *, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS k FROM i WHERE len(w) > 0)
+), eights AS (
+    SELECT row_id, p, [w1, lead(w1, 1) OVER x, lead(w1, 2) OVER x, lead(w1, 3) OVER x, lead(w1, 4) OVER x, lead(w1, 5) OVER x, lead(w1, 6) OVER x, lead(w1, 7) OVER x] AS ws
+    FROM dw WINDOW x AS (PARTITION BY row_id ORDER BY p)
+), grams AS (
+    SELECT row_id, p, n, array_to_string(ws[1:n], ' ') AS gram FROM eights, (SELECT DISTINCT n FROM iw) WHERE ws[n] IS NOT NULL
+), hits AS (
+    SELECT row_id, p, iw.n, item_id FROM grams JOIN iw ON iw.n = grams.n AND gram = window_text
+), n_hit AS (
+    SELECT row_id, count(DISTINCT q) AS n_hit FROM (SELECT row_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY row_id
+), per_doc AS (
+    SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT row_id, item_id::VARCHAR AS item FROM hits) GROUP BY row_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN n_hit USING (row_id) LEFT JOIN per_doc USING (row_id)
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_decontamination": OP1,
     "op2_quality_rules": OP2,
 }
