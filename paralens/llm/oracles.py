@@ -71,7 +71,55 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN n_hit USING (row_id) LEFT JOIN per_doc USING (row_id)
 """
 
+OP8 = rf"""
+WITH RECURSIVE sized AS (
+    SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '{SPACED}'))::BIGINT AS n_tokens FROM documents
+), sums AS (
+    SELECT source, sum(n_tokens)::BIGINT AS held FROM sized GROUP BY source
+), one AS (
+    SELECT list(held ORDER BY held) AS helds, sum(held)::BIGINT AS total FROM sums WHERE held > 0
+), shared AS (
+    SELECT *, list_transform(helds, lambda h: h::DOUBLE / total) AS shares FROM one
+), bisect AS (
+    SELECT 0 AS step, 0::DOUBLE AS e_lo, 1::DOUBLE AS e_hi, 0::DOUBLE AS r_lo, 1::DOUBLE AS r_hi
+    UNION ALL
+    SELECT step + 1, CASE WHEN enough THEN e ELSE e_lo END, CASE WHEN enough THEN e_hi ELSE e END,
+           CASE WHEN within THEN r_lo ELSE r END, CASE WHEN within THEN r ELSE r_hi END
+    FROM (
+        SELECT b.*, (e_lo + e_hi) / 2 AS e, (r_lo + r_hi) / 2 AS r,
+               ln(list_sum(list_transform(shares, lambda p: pow(p, (e_lo + e_hi) / 2))))
+                 - (e_lo + e_hi) / 2 * list_sum(list_transform(shares, lambda p: pow(p, (e_lo + e_hi) / 2) * ln(p)))
+                   / list_sum(list_transform(shares, lambda p: pow(p, (e_lo + e_hi) / 2))) >= 0.98::DOUBLE * ln(len(shares)) AS enough,
+               pow(list_min(shares), (r_lo + r_hi) / 2 - 1) / list_sum(list_transform(shares, lambda p: pow(p, (r_lo + r_hi) / 2))) <= 4 AS within
+        FROM bisect b, shared WHERE step < 40
+    )
+), found AS (
+    SELECT greatest(
+        CASE WHEN ln(list_sum(shares)) - list_sum(list_transform(shares, lambda p: p * ln(p))) / list_sum(shares) >= 0.98::DOUBLE * ln(len(shares)) THEN 1 ELSE e_lo END,
+        CASE WHEN pow(list_min(shares), -1) / len(shares) <= 4 THEN 0 ELSE r_hi END) AS alpha, shares, total
+    FROM bisect, shared WHERE step = 40
+), plan AS (
+    SELECT source, held, alpha, total,
+           CASE WHEN held > 0 THEN pow(held::DOUBLE / total, alpha) / list_sum(list_transform(shares, lambda p: pow(p, alpha))) ELSE 0 END AS weight
+    FROM sums, found
+), quotas AS (
+    SELECT *, floor(weight * total + 0.5)::BIGINT AS quota, greatest(1, ceil(total / 100000))::BIGINT AS blocks FROM plan
+), passes AS (
+    SELECT *, CASE WHEN held > 0 THEN quota // held ELSE 1 END AS whole, CASE WHEN held > 0 THEN quota % held ELSE 0 END AS rest FROM quotas
+), taken AS (
+    SELECT s.doc_id, s.n_tokens, p.*, e.epoch, md5('8001|' || e.epoch || '|' || s.doc_id) AS place
+    FROM sized s JOIN passes p USING (source), LATERAL (SELECT unnest(range(0, whole + (rest > 0)::INT)) AS epoch) e
+), placed AS (
+    SELECT *, sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY place, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS at_token FROM taken
+)
+SELECT source, doc_id, n_tokens, epoch::INTEGER AS epoch,
+       least(blocks - 1, ((epoch * held + at_token) * blocks) // greatest(quota, 1))::BIGINT AS block,
+       round(alpha, 6) AS alpha, round(weight, 6) AS weight
+FROM placed WHERE epoch < whole OR at_token < rest
+"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": OP1,
     "op2_quality_rules": OP2,
+    "op8_mixing": OP8,
 }

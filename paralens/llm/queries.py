@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, quality_rules, sharding, token_counts
+from . import decontamination, mixing, quality_rules, sharding, token_counts
 from .store import written
 
 
@@ -42,6 +42,15 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to 0.98 of the entropy of equal sources, as many words as they have."""
+    sized = written(read(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("n_tokens")), "sized")
+    plan = written(mixing.weights(sized), "mixture-weights")
+    mixed = mixing.mix(sized, plan).withColumn("source", F.coalesce("source", F.lit("")))
+    rated = plan.select("source", F.round("alpha", 6).alias("alpha"), F.round("weight", 6).alias("weight"))
+    return mixed.join(F.broadcast(rated) if rated.limit(mixing.MAX_BROADCAST + 1).count() <= mixing.MAX_BROADCAST else rated, "source")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near-equal bytes."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
@@ -52,5 +61,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
     "op3_token_counts": op3_token_counts,
+    "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
 }
