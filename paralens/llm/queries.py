@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality_rules, sharding, token_counts
+from . import decontamination, mixing, near_dedup, quality_classifier, quality_rules, sharding, token_counts
 from .store import written
 
 
@@ -42,6 +42,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose four-word SimHash differs in at most 4 bits."""
+    found = near_dedup.near_duplicates(read(spark, sf_dir, "documents"), shingle=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 0.98 of the entropy of equal sources, as many words as they have."""
     sized = written(read(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("n_tokens")), "sized")
@@ -57,10 +63,25 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def held_out(third: int, of: int) -> Column:
+    """Whether crc32 of the id's text leaves this remainder; a null id is held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % of == third, F.lit(True))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from labels outside the held-out third."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = quality_classifier.train(docs, labels.where(~held_out(1, 3)))
+    scored = quality_classifier.score(docs, model)
+    return scored.select("doc_id", held_out(1, 3).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
     "op3_token_counts": op3_token_counts,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
+    "op10_quality_classifier": op10_quality_classifier,
 }
