@@ -177,15 +177,16 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     return fit(rows, np.array(labels, int))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns named in ``carry``, and ``score``."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+    """id, the columns named in ``carry``, the text if ``keep_text``, and ``score``."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # two arrays of DIMENSIONS numbers
     picked = docs.select(F.col(id_col), *(F.col(f"`{c}`") for c in carry), F.col(text_col).cast("string").alias("__text"))
-    schema = T.StructType([*picked.schema[:-1], T.StructField("score", T.DoubleType())])
+    text = [T.StructField(text_col, T.StringType())] if keep_text else []
+    schema = T.StructType([*picked.schema[:-1], *text, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in blocks(batches, "__text"):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sent.value.scores(data, offs))], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: None if keep_text else -1], pa.array(sent.value.scores(data, offs))], names=[f.name for f in schema])
 
     return picked.mapInArrow(run, schema)
