@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, near_dedup, quality_classifier, quality_rules, sharding, token_counts
+from . import decontamination, language_model, mixing, near_dedup, quality_classifier, quality_rules, sharding, token_counts
 from .store import written
 
 
@@ -42,6 +42,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents under a model of six sevenths of them."""
+    return language_model.score(read(spark, sf_dir, "documents"), held_out(2, 7))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose four-word SimHash differs in at most 4 bits."""
     found = near_dedup.near_duplicates(read(spark, sf_dir, "documents"), shingle=4)
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
     "op3_token_counts": op3_token_counts,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
