@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_roots: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,16 +37,23 @@ def _delete_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+def _scratch(spark: SparkSession, label: str) -> str:
+    """A new path under this session's folder, which goes when the session ends."""
+    root = f"{shared_dir(spark)}/paralens-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_delete_quietly, spark, root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
 class Table:
     """A DataFrame written as Parquet; ``drop`` removes the files once nothing reads them."""
 
     def __init__(self, df: DataFrame, label: str, compression: str = "snappy"):
         self.spark = df.sparkSession
-        root = f"{shared_dir(self.spark)}/paralens-{self.spark.sparkContext.applicationId}"
-        self.path = f"{root}/{label}-{uuid.uuid4().hex}"
+        self.path = _scratch(self.spark, label)
         df.write.option("compression", compression).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
-        atexit.register(_delete_quietly, self.spark, root)
 
     def drop(self) -> None:
         _delete(self.spark, self.path)
@@ -54,3 +62,11 @@ class Table:
 def written(df: DataFrame, label: str) -> DataFrame:
     """The same rows, read from a table in the shared folder."""
     return Table(df, label).df
+
+
+def bucketed(df: DataFrame, label: str, buckets: int, key: str, compression: str = "zstd") -> DataFrame:
+    """The rows as a table in buckets of ``key``: grouping by it moves nothing."""
+    spark = df.sparkSession
+    name = f"paralens_{label}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, key).option("compression", compression).option("path", _scratch(spark, label)).saveAsTable(name)
+    return spark.table(name)
