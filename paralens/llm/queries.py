@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_model, mixing, near_dedup, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts
+from . import decontamination, language_model, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts
 from .store import written
 
 
@@ -53,6 +53,11 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the blocks of lines that stand earlier in the corpus."""
+    return line_dedup.dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", "kept_sha256")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 50-byte strings that documents of smaller ids hold."""
     return suffix_dedup.dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
