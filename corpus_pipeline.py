@@ -31,10 +31,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item: one leaked passage is enough to go."""
+    """Documents without any window of a benchmark item: one leaked passage is enough to go. Rows without an id count as one document."""
     found = decontamination.contamination(docs, read(spark, sf_dir, "benchmark"))
-    dirty = found.where(F.size("items") >= 1).select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(*COLUMNS)
+    dirty = found.where(F.size("items") >= 1).select(F.col("doc_id").alias("dirty")).distinct()
+    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("dirty")), "left_anti").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

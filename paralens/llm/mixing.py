@@ -90,10 +90,10 @@ def weights(sized: DataFrame, tokens: str = "n_tokens", source: str = "source",
 def mix(docs: DataFrame, plan: DataFrame, tokens: str = "n_tokens", key: str = "doc_id", source: str = "source", block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
     """The mixture: a row for each time that a row is taken, with ``epoch`` (from 0) and ``block`` (from 0)."""
     mine = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("epoch", "block")]
-    small = plan.select(F.col("source").alias("__source"), "held", "quota", "whole", "rest", F.greatest(F.lit(1), F.ceil(F.col("budget") / block_tokens)).cast("long").alias("__blocks"))
+    small = plan.select(F.col("source").alias("__source"), *(F.col(c).alias(f"__{c}") for c in ("held", "quota", "whole", "rest")), F.greatest(F.lit(1), F.ceil(F.col("budget") / block_tokens)).cast("long").alias("__blocks"))
     if plan.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         small = F.broadcast(small)
-    passes = F.col("whole") + (F.col("rest") > 0).cast("long")
+    passes = F.col("__whole") + (F.col("__rest") > 0).cast("long")
     digits = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.col(f"`{key}`").cast("string")))
     taken = (
         docs.select(*mine, F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__source"))
@@ -109,5 +109,5 @@ def mix(docs: DataFrame, plan: DataFrame, tokens: str = "n_tokens", key: str = "
     before = sums.select(*cell, (F.sum("__sum").over(along) - F.col("__sum")).alias("__before"))
     inside = Window.partitionBy(*cell).orderBy("__order", F.col(f"`{key}`"), tokens).rowsBetween(Window.unboundedPreceding, 0)
     placed = taken.join(before, cell).withColumn("__at", F.col("__before") + F.sum(tokens).over(inside) - F.col(tokens))
-    block = F.least(F.col("__blocks") - 1, F.expr("((epoch * held + __at) * __blocks) div greatest(quota, 1)"))
-    return placed.where((F.col("epoch") < F.col("whole")) | (F.col("__at") < F.col("rest"))).select(*mine, F.col("epoch").cast("int").alias("epoch"), block.cast("long").alias("block"))
+    block = F.least(F.col("__blocks") - 1, F.expr("((epoch * __held + __at) * __blocks) div greatest(__quota, 1)"))
+    return placed.where((F.col("epoch") < F.col("__whole")) | (F.col("__at") < F.col("__rest"))).select(*mine, F.col("epoch").cast("int").alias("epoch"), block.cast("long").alias("block"))
