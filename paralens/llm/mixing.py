@@ -37,8 +37,8 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _alpha(shares: str, target: str, repeats: str) -> str:
-    """SQL of alpha: ``target`` is SQL of the least entropy, ``repeats`` of whether {a} keeps to the limit."""
+def _alpha(shares: str, target: str | None, repeats: str) -> str:
+    """SQL of alpha: ``target`` is SQL of the least entropy, if any, ``repeats`` of whether {a} keeps to the limit."""
     z = f"aggregate({shares}, 0D, (s, p) -> s + power(p, {{a}}))"
     mean = f"aggregate({shares}, 0D, (s, p) -> s + power(p, {{a}}) * ln(p))"
     entropy = f"(ln({z}) - {{a}} * {mean} / {z})"
@@ -47,7 +47,7 @@ def _alpha(shares: str, target: str, repeats: str) -> str:
     middle = {"a": "((b.lo + b.hi) / 2)"}
     by_entropy = f"if({enough.format(a='1D')}, 1D, {bisect.format(n=BISECTIONS, left=enough.format(**middle), end='b.lo')})"
     by_repeats = f"if({repeats.format(a='0D', z=z.format(a='0D'))}, 0D, {bisect.format(n=BISECTIONS, left='NOT ' + repeats.format(z=z.format(**middle), **middle), end='b.hi')})"
-    return f"greatest({by_entropy}, {by_repeats})"
+    return f"greatest({by_entropy}, {by_repeats})" if target else by_repeats
 
 
 def weights(sized: DataFrame, tokens: str = "n_tokens", source: str = "source", budget: float | str = 1.0, target_entropy: float | None = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS) -> DataFrame:
@@ -63,7 +63,7 @@ def weights(sized: DataFrame, tokens: str = "n_tokens", source: str = "source",
         limit = f"(power({ratio}, 1D - {{a}}) <= {float(max_repeats)}D)"
     else:
         limit = f"(power(array_min(shares), {{a}} - 1D) / {{z}} * {float(budget)}D <= {float(max_repeats)}D)"
-    target = f"{float(target_entropy)}D * ln(cast(size(shares) AS DOUBLE))" if target_entropy is not None else "-1D"
+    target = f"{float(target_entropy)}D * ln(cast(size(shares) AS DOUBLE))" if target_entropy is not None else None
     whole = "power(cast(array_max(helds) AS DOUBLE), 1D - alpha) * aggregate(helds, 0D, (s, h) -> s + power(cast(h AS DOUBLE), alpha))"
     chosen = (
         one.withColumn("shares", F.expr("transform(helds, h -> cast(h AS DOUBLE) / total)"))
