@@ -99,6 +99,24 @@ def test_patience():
     assert clients.ask_patiently(Flaky(), "x", 2, 0, waits.append)[0] is None
 
 
+def test_round_trips(spark):
+    class Translator:
+        def ask(self, prompt):
+            head, _, rest = prompt.partition("\n")
+            if "w2" in prompt:
+                raise OSError("down")
+            if "Spanish" in head:
+                return f" es({rest}) ", 1
+            if "English" in head:
+                return rest[3:-1].replace("{b}", "{c}" if "w1" in rest else "{b}"), 1
+            return "equivalent; same", 1
+
+    wordings = spark.createDataFrame([(k, f"w{k} multiply {{a}} by {{b}} for me") for k in range(3)], "id long, text string")
+    rows = {r.id: r for r in cli.round_trips(wordings, tasks.get("mult"), Translator, 2).collect()}
+    assert (rows[0].verdict, rows[0].slots_survived, rows[1].slots_survived) == ("EQUIVALENT", True, False)
+    assert rows[2].spanish is None and rows[2].slots_survived is False
+
+
 def test_command_line_defaults():
     args = cli.parser().parse_args(["run", "--task", "mult", "--model", "m"])
     assert args.call is cli.run and args.limit is None and args.workers == 6
