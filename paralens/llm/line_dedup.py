@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ragged import BASE, SPACED_WORD, U64, Hashes, blocks, lines, mixed
-from .store import Table, bucketed
+from .store import MAX_BUCKETS, Table, bucketed
 
 GROUP_BYTES = 4 << 20
 WINDOW, DIVISOR = 2, 3
@@ -103,7 +103,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """One row a document: id, n_lines, n_chunks, n_removed_chunks, n_removed_lines, kept (the lines left, joined by line feeds) and kept_sha256."""
     id_type = docs.select(F.col(id_col)).schema[0].dataType
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    groups = bucketed(packed(docs, id_col, text_col), "line_groups", max(8, min(4096, -(-size // (4 * GROUP_BYTES)))), "part")
+    groups = bucketed(packed(docs, id_col, text_col), "line_groups", max(8, min(MAX_BUCKETS, -(-size // (4 * GROUP_BYTES)))), "part")
     buckets = max(32, -(-size // (BUCKET_CHUNKS * 256)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: As many as Spark allows a table by default.
+MAX_BUCKETS = 100_000
 _own: dict[str, str] = {}
 _roots: set[str] = set()
 

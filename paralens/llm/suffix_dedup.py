@@ -7,7 +7,8 @@ A byte goes if a string of ``span`` bytes that covers it also starts in a docume
 2. Chunks deal their anchors' hashes to buckets, with a hash of the context, all bytes that a
    window with this anchor can reach. An anchor whose whole context an earlier document holds needs
    nothing more. Anchors with several contexts are in doubt: that is where repeats begin and end.
-3. The windows in doubt meet by anchor. Each bucket builds a suffix array of them, keeps its
+3. The windows in doubt meet by anchor. Those that share no longer stretch around it with another
+   document are set aside; of the rest each bucket builds a suffix array, keeps its
    Burrows-Wheeler transform as runs with the suffix-array entries of the run ends, and streams the
    windows through the runs backwards; each finds the interval of rows with which it has a match of
    ``span`` bytes or more, and the smallest id there decides.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ragged import DOC_MIX, U64, Hashes, blocks, covered, mixed, runs, spread
-from .store import Table, bucketed
+from .store import MAX_BUCKETS, Table, bucketed
 
 SPAN, GRAM = 50, 16
 CHUNK_BYTES = 4 << 20
@@ -204,27 +205,34 @@ class RunLengthIndex:
 
     @staticmethod
     def _sorted(text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix array and its inverse, by doubling from eight bytes; suffixes end at their separators."""
+        """Suffix array and its inverse, by doubling from eight bytes; only what is still tied is sorted again. Suffixes end at their separators."""
         n = len(text)
         word = np.ndarray((n,), ">u8", np.concatenate([text, np.full(8, SEPARATOR, np.uint8)]), strides=(1,)).astype(np.uint64)
-        short = left < 8
-        ones = U64(0xFFFFFFFFFFFFFFFF)
-        word[short] |= ones >> (left[short].astype(U64) * U64(8))
-        order = np.argsort(word, kind="stable")
-        depth = 8
-        key = word
+        ended = left < 8
+        word[ended] |= U64(0xFFFFFFFFFFFFFFFF) >> (left[ended].astype(U64) * U64(8))
+        order = np.argsort(word)
+        word = word[order]
+        short = np.flatnonzero(ended[order])  # equals that have ended stand in the order of their separators
+        order[short] = order[short][np.lexsort((order[short], word[short]))]
+        same = np.zeros(n, bool)  # as the suffix before
+        same[1:] = (word[1:] == word[:-1]) & ~ended[order][1:]
+        rank = np.empty(n, np.int64)
+        slots, depth = np.arange(n), 8
         while True:
-            # A suffix that has ended is told from its equals by where it stands.
-            change = np.ones(n, bool)
-            change[1:] = (key[order][1:] != key[order][:-1]) | (left[order][1:] < depth)
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(change) - 1
-            if change.all():
+            # Ranks are the first slots of groups, so those of settled suffixes stay.
+            rank[order[slots]] = slots[np.maximum.accumulate(np.where(same, 0, np.arange(len(slots))))]
+            tied = same.copy()
+            tied[:-1] |= same[1:]
+            slots = slots[tied]
+            if not len(slots):
                 return order, rank
-            key = rank << 32
-            on = np.flatnonzero(left >= depth)
-            key[on] |= rank[on + depth]
-            order = np.argsort(key, kind="stable")
+            which = order[slots]
+            key = (rank[which] << 32) | rank[which + depth]
+            turn = np.argsort(key)
+            key = key[turn]
+            order[slots] = which[turn]
+            same = np.zeros(len(slots), bool)
+            same[1:] = key[1:] == key[:-1]
             depth *= 2
 
     def backwards(self, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -242,15 +250,54 @@ class RunLengthIndex:
 
 
 def earlier_windows(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """For each byte of the strings, whether the ``span`` bytes from it also stand in a string of a smaller id."""
+    """For each byte of the strings, whether the ``span`` bytes from it also stand in a string of a smaller id.
+
+    Equal strings are indexed once, under their smallest id.
+    """
     out = np.zeros(len(data), bool)
     if not len(sizes):
         return out
-    index = RunLengthIndex(data, sizes, ids, span)
-    stop = np.cumsum(sizes)
-    for step, (which, rows) in enumerate(index.backwards(sizes), 1):
+    starts = np.cumsum(sizes) - sizes
+    _, one, of = np.unique(Hashes(data).of(starts, starts + sizes), return_index=True, return_inverse=True)
+    alike = sizes == sizes[one][of]
+    own = np.flatnonzero(alike)
+    alike[own[np.unique(np.repeat(np.arange(len(own)), sizes[own])[data[spread(starts[own], sizes[own])] != data[spread(starts[one][of[own]], sizes[own])]])]] = False
+    odd = np.flatnonzero(~alike)  # of equal hash but other bytes
+    of[odd] = len(one) + np.arange(len(odd))
+    one = np.concatenate([one, odd])
+    least = np.full(len(one), LAST)
+    np.minimum.at(least, of, ids)
+    size = sizes[one]
+    index = RunLengthIndex(data[spread(starts[one], size)], size, least, span)
+    stop = np.cumsum(size)
+    floor = np.full(int(size.sum()), LAST)
+    for step, (which, rows) in enumerate(index.backwards(size), 1):
         if step >= span:  # matching statistics of at least span bytes from here on
-            out[stop[which] - step] = index.floor(rows) < ids[which]
+            floor[stop[which] - step] = index.floor(rows)
+    return floor[spread((stop - size)[of], sizes)] < np.repeat(ids, sizes)
+
+
+#: Stretches around an anchor of which a shared window shares at least one.
+STRETCHES = 3
+
+
+def may_match(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, offsets: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """Which strings can share a window with one of another id. ``offsets``: where their anchors stand.
+
+    A shared window reaches at least as far left of the anchor as one of the stretches' begins, and then as far right as that one ends.
+    """
+    starts = np.cumsum(sizes) - sizes
+    at, hashes = starts + offsets, Hashes(data)
+    lefts = np.linspace(0, span - GRAM + 1, STRETCHES + 1).astype(np.int64)
+    out = np.zeros(len(sizes), bool)
+    for low, high in zip(lefts[:-1], lefts[1:], strict=True):
+        a, b = at - low, at + span - high + 1
+        inside = np.flatnonzero((a >= starts) & (b <= starts + sizes))
+        _, group = np.unique(hashes.of(a[inside], b[inside]), return_inverse=True)
+        least, most = np.full(len(inside), LAST), np.full(len(inside), -LAST)
+        np.minimum.at(least, group, ids[inside])
+        np.maximum.at(most, group, ids[inside])
+        out[inside[(least < most)[group]]] = True
     return out
 
 
@@ -269,7 +316,7 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
         raise ValueError("span is too short for its anchors")
     id_type = docs.select(F.col(id_col)).schema[0].dataType
     sizes = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    files = max(8, min(4096, -(-sizes // (4 * CHUNK_BYTES))))
+    files = max(8, min(MAX_BUCKETS, -(-sizes // (4 * CHUNK_BYTES))))
     chunks = bucketed(packed(docs, id_col, text_col, span), "chunks", files, "chunk")
     buckets = max(32, -(-(chunks.agg(F.sum("n_anchors")).first()[0] or 0) // BUCKET_ANCHORS))
 
@@ -297,8 +344,8 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
         status = _status(np.concatenate(keys), np.concatenate(doc))
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "status": _cut(status, np.cumsum(size))})
 
-    names = ["chunk", "bucket", "positions", "sizes", "ids", "data"]
-    asked_type = "chunk long, bucket int, positions binary, sizes binary, ids binary, data binary"
+    names = ["chunk", "bucket", "positions", "sizes", "ids", "offsets", "data"]
+    asked_type = "chunk long, bucket int, positions binary, sizes binary, ids binary, offsets binary, data binary"
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
         """What is surely covered (bucket -1), and the windows in doubt by bucket."""
@@ -324,6 +371,7 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
             "positions": pa.concat_arrays([pa.array([runs_of[0].astype(np.int64).tobytes()], pa.binary()), pick(_cut(first.astype(np.int64), stop))]),
             "sizes": pa.concat_arrays([pa.array([runs_of[1].astype(np.int64).tobytes()], pa.binary()), pick(_cut(size.astype(np.int64), stop))]),
             "ids": pa.concat_arrays([pa.array([b""], pa.binary()), pick(_cut(c.ids[c.row[doubt]], stop))]),
+            "offsets": pa.concat_arrays([pa.array([b""], pa.binary()), pick(_cut((c.at[doubt] - first).astype(np.int16), stop))]),
             "data": pa.concat_arrays([pa.array([b""], pa.binary()), pick(_cut(letters, byte_stop))]),
         })
 
@@ -332,7 +380,9 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
         read = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
         at, size, ids, data = read("positions", np.int64), read("sizes", np.int64), read("ids", np.int64), read("data", np.uint8)
         sizes_, ids_, all_data = np.concatenate(size), np.concatenate(ids), np.concatenate(data)
-        hit = earlier_windows(all_data, sizes_, ids_, span)
+        likely = may_match(all_data, sizes_, ids_, np.concatenate(read("offsets", np.int16)).astype(np.int64), span)
+        hit = np.zeros(len(all_data), bool)
+        hit[np.repeat(likely, sizes_)] = earlier_windows(all_data[np.repeat(likely, sizes_)], sizes_[likely], ids_[likely], span)
         place = np.concatenate([spread(a, s) for a, s in zip(at, size, strict=True)])
         ends = np.cumsum([len(d) for d in data])
         starts, stops = [], []
