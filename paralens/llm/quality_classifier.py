@@ -28,7 +28,7 @@ from .ragged import SPACED_WORD, Hashes, blocks, runs
 
 DIMENSIONS = 1 << 18
 BYTE_GRAM = 4
-MAX_TRAIN, MAX_FEATURES = 8000, 30_000_000
+MAX_TRAIN, MAX_FEATURES = 8000, 15_000_000
 SEED = 10_001
 #: Fits of the curve use every fifth training row.
 FOLDS = 5
@@ -79,7 +79,9 @@ class Model:
 
 
 def log_ratios(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np.ndarray:
-    counts = [np.bincount(np.concatenate([r for r, label in zip(rows, y, strict=True) if label == c] or [np.zeros(0, np.int64)]), minlength=DIMENSIONS) + smooth for c in (1, -1)]
+    counts = [np.full(DIMENSIONS, smooth), np.full(DIMENSIONS, smooth)]
+    for r, label in zip(rows, y, strict=True):
+        counts[int(label < 0)][r] += 1  # each feature once a row
     ratio = np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
     ratio[0] = 1.0
     return ratio
@@ -140,10 +142,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
         aside[:] = False
     ratio = log_ratios([r for r, a in zip(rows, aside, strict=True) if not a], y[~aside])
-    unit = []
-    for r in rows:
-        v = ratio[r]
-        unit.append(v / max(float(np.sqrt(v @ v)), 1e-12))
+    ends = np.cumsum([len(r) for r in rows])
+    values = np.zeros(int(ends[-1]), np.float32)  # one array for all rows, so that its memory goes back at once
+    unit = [values[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    for r, v in zip(rows, unit, strict=True):
+        v[:] = ratio[r]
+        v /= max(float(np.sqrt(v @ v)), 1e-12)
     used = np.flatnonzero(~aside)
     w = dual_coordinate_descent([rows[i] for i in used], [unit[i] for i in used], y[used])
     margin = np.array([float(w[r] @ v) for r, v in zip(rows, unit, strict=True)])
@@ -166,15 +170,16 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.binary())], names=["__id", "__label", "features"])
 
     held = chosen.mapInArrow(run, T.StructType([*chosen.schema[:2], T.StructField("features", T.BinaryType())]))
-    rows, labels, total = [], [], 0
+    labels, ends = [], [0]
+    sample_features = np.zeros(MAX_FEATURES, np.int32)  # pages that stay empty take no memory
     for r in held.orderBy(F.xxhash64(F.lit(SEED), F.col("__id")), "__id").toLocalIterator():
-        x = np.frombuffer(bytes(r["features"]), np.int32)
-        total += len(x)
-        if len(rows) >= max_train or total > MAX_FEATURES:
+        x = np.frombuffer(r["features"], np.int32)
+        if len(labels) >= max_train or ends[-1] + len(x) > MAX_FEATURES:
             break
-        rows.append(x)
+        sample_features[ends[-1] : ends[-1] + len(x)] = x
+        ends.append(ends[-1] + len(x))
         labels.append(r["__label"])
-    return fit(rows, np.array(labels, int))
+    return fit([sample_features[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], np.array(labels, int))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:

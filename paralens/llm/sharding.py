@@ -21,7 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEAVY = 100
-SAMPLE_PER_RANGE = 50
+SAMPLE_PER_RANGE = 100
+#: Ranges are of 256 MB, and at least 256 and at most so many.
+MOST_RANGES = 4096
 SEED = 7001
 SMALLEST = -(1 << 63)
 
@@ -49,7 +51,7 @@ def water_level(loads: list[int], total: int) -> list[int]:
     return [max(0, round(level - x)) for x in loads]
 
 
-def shard(docs: DataFrame, shards: int = 16, key_col: str = "doc_id", text_col: str = "text", ranges: int = 512, seed: int = SEED) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, key_col: str = "doc_id", text_col: str = "text", ranges: int | None = None, seed: int = SEED) -> DataFrame:
     """The rows with ``size`` (UTF-8 bytes of the text plus 1), ``shard`` and ``slot`` (0, 1, ... in each shard).
 
     ``key_col`` is an integer. Shards differ by about a hundredth, or by what one larger row brings.
@@ -65,6 +67,7 @@ def shard(docs: DataFrame, shards: int = 16, key_col: str = "doc_id", text_col:
     total, n = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
     if not n:
         return rows.select(*rows.columns[:-2], F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+    ranges = ranges or max(256, min(MOST_RANGES, total >> 28))
     heavy = F.col("size") * (HEAVY * shards) > F.lit(total)
     light = rows.where(~heavy)
 
