@@ -30,6 +30,8 @@ DIMENSIONS = 1 << 18
 BYTE_GRAM = 4
 MAX_TRAIN, MAX_FEATURES = 8000, 15_000_000
 SEED = 10_001
+#: Text bytes whose indicators are held at once.
+AT_ONCE = 1 << 20
 #: Fits of the curve use every fifth training row.
 FOLDS = 5
 
@@ -163,7 +165,7 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     chosen = docs.join(F.broadcast(sample), F.col(id_col) == F.col("__id")).select("__id", "__label", F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in blocks(batches, "__text"):
+        for batch, data, offs in blocks(batches, "__text", AT_ONCE):
             row, feature = features(data, offs)
             ends = np.cumsum(np.bincount(row, minlength=batch.num_rows))
             cells = [feature[a:b].astype(np.int32).tobytes() for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
@@ -191,7 +193,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     schema = T.StructType([*picked.schema[:-1], *text, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in blocks(batches, "__text"):
+        for batch, data, offs in blocks(batches, "__text", AT_ONCE):
             yield pa.RecordBatch.from_arrays([*batch.columns[: None if keep_text else -1], pa.array(sent.value.scores(data, offs))], names=[f.name for f in schema])
 
     return picked.mapInArrow(run, schema)
