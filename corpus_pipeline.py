@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paralens.llm import decontamination, mixing, near_dedup, quality_classifier, sharding
+from paralens.llm import decontamination, mixing, quality_classifier, sharding, similar_texts
 from paralens.llm.queries import held_out, read
 from paralens.llm.store import Table, written
 
@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every group of SimHash near-duplicates."""
-    return near_dedup.keep_one(docs, shingle=4).select(*COLUMNS)
+    """The document of the smallest id of every group that five-word shingles of a similarity of 0.8 or SimHash links join."""
+    return similar_texts.keep_one(docs).select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

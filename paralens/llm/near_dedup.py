@@ -25,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,15 +43,15 @@ SHOWN, PART = 64, 2048
 PAIRS_AT_ONCE = 1 << 21
 
 
-def _fingerprints(data: np.ndarray, offs: np.ndarray, size: int) -> np.ndarray:
+def shingle_hashes(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of each word shingle, text by text, and the number of shingles of each text."""
     from xxhash import xxh64_intdigest
 
     n = len(offs) - 1
-    out = np.zeros(n, np.uint64)
     word = SPACED_WORD[data]
     starts, ends, row = runs(word, offs)
     if not len(starts):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
     keep = word.copy()  # words and one space after each
     keep[1:] |= word[:-1]
     place = np.cumsum(keep) - 1
@@ -64,7 +64,15 @@ def _fingerprints(data: np.ndarray, offs: np.ndarray, size: int) -> np.ndarray:
     of = np.repeat(np.arange(n), shingles)
     end = np.minimum(at + size, (word0 + count)[of]) - 1
     h = np.fromiter((xxh64_intdigest(text[a:b], XX_SEED) for a, b in zip(first[at].tolist(), last[end].tolist(), strict=True)), np.uint64, len(at))
+    return h, shingles
+
+
+def majority(h: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """The fingerprint of each text: bits set in over half its shingles' hashes."""
+    out = np.zeros(len(shingles), np.uint64)
     rows = np.flatnonzero(shingles)
+    if not len(rows):
+        return out
     edge = np.cumsum(shingles[rows])
     ones = np.zeros((len(rows), BITS), np.int64)
     step = 1 << 17
@@ -85,7 +93,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in blocks(batches, "__text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_fingerprints(data, offs, shingle).view(np.int64))], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(majority(*shingle_hashes(data, offs, shingle)).view(np.int64))], names=[id_col, "fp"])
 
     return picked.mapInArrow(run, schema)
 
@@ -114,8 +122,8 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def linked(bucket: np.ndarray, fps: np.ndarray, radius: int, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as (fingerprint, another of its component), of the links within buckets of equal number."""
+def trees(bucket: np.ndarray, fps: np.ndarray, radius: int, refs: np.ndarray, equal: bool = False) -> np.ndarray:
+    """For each fingerprint the index of the root of its tree in a forest of the links within buckets of equal number; ``equal`` ones link too if asked."""
     table = pivot_table(fps, refs)
     order = np.lexsort((table[0], bucket))
     bucket, fps, table = bucket[order], fps[order], table[:, order]
@@ -130,10 +138,20 @@ def linked(bucket: np.ndarray, fps: np.ndarray, radius: int, refs: np.ndarray) -
         for row in table[1:]:
             near = np.abs(row[i] - row[j]) <= radius
             i, j = i[near], j[near]
-        near = (np.bitwise_count(fps[i] ^ fps[j]) <= radius) & (fps[i] != fps[j])
+        near = np.bitwise_count(fps[i] ^ fps[j]) <= radius
+        if not equal:
+            near &= fps[i] != fps[j]
         i, j = i[near], j[near]
         up = np.flatnonzero(tree != np.arange(len(tree)))
         tree = roots(len(fps), np.concatenate([i, up]), np.concatenate([j, tree[up]]))
+    out = np.empty_like(order)
+    out[order] = order[tree]
+    return out
+
+
+def linked(bucket: np.ndarray, fps: np.ndarray, radius: int, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as (fingerprint, another of its component), of the links within buckets of equal number."""
+    tree = trees(bucket, fps, radius, refs)
     child = np.flatnonzero(tree != np.arange(len(tree)))
     return fps[child], fps[tree[child]]
 
@@ -142,6 +160,37 @@ def _part(col: str, first: int, width: int):
     return F.shiftrightunsigned(F.col(col), first).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
+def split_buckets(classes: DataFrame, keys: Column, carry: tuple[str, ...]) -> DataFrame:
+    """``carry``, bucket, pair: a row a key of ``keys``. A bucket that a sample shows to be large is dealt to every pair of its parts, so any two rows of it meet."""
+    rows = classes.select(*carry, F.explode(keys).alias("bucket"))
+    shown = classes.where(F.pmod(F.xxhash64(carry[0]), F.lit(SHOWN)) == 0).select(F.explode(keys).alias("bucket"))
+    large = shown.groupBy("bucket").agg((F.count(F.lit(1)) * SHOWN).alias("n")).where(F.col("n") > 2 * PART)
+    large = written(large.select("bucket", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "large-buckets")
+    if not large.limit(1).count():
+        return rows.withColumn("pair", F.lit(0).cast("long"))
+    mine = F.pmod(F.xxhash64(carry[0], F.lit(1)), F.col("parts")).cast("int")
+    few = large.limit(100_001).count() <= 100_000
+    return rows.join(F.broadcast(large) if few else large, "bucket", "left").select(
+        *carry, "bucket", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
+            F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.shiftleft(F.least(other, mine).cast("long"), 32) + F.greatest(other, mine)))).alias("pair"),
+    )
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The sorted rows of a partition as tables that end where a part of a bucket does."""
+    held = None
+    for batch in batches:
+        more = pa.Table.from_batches([batch])
+        held = more if held is None else pa.concat_tables([held, more])
+        bucket, pair = held["bucket"].to_numpy(), held["pair"].to_numpy()
+        change = np.flatnonzero((bucket[1:] != bucket[:-1]) | (pair[1:] != pair[:-1]))
+        if len(change):  # the last bucket may go on in the next batch
+            yield held.slice(0, int(change[-1]) + 1)
+            held = held.slice(int(change[-1]) + 1)
+    if held is not None and held.num_rows:
+        yield held
+
+
 def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): a spanning forest, bucket by bucket, of all pairs of distinct fingerprints ``fp`` within ``radius`` bits."""
     if len(BLOCKS) - radius != 2:
@@ -149,40 +198,16 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     keys = []
     for k, (x, y) in enumerate(combinations(BLOCKS, 2)):
         keys.append(F.lit(k << 23).cast("long") + F.shiftleft(_part("fp", *x), y[1]) + _part("fp", *y))
-    rows = classes.select("fp", F.explode(F.array(*keys)).alias("bucket"))
-    shown = classes.where(F.pmod(F.xxhash64("fp"), F.lit(SHOWN)) == 0).select("fp", F.explode(F.array(*keys)).alias("bucket"))
-    large = shown.groupBy("bucket").agg((F.count(F.lit(1)) * SHOWN).alias("n")).where(F.col("n") > 2 * PART)
-    large = written(large.select("bucket", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "large-buckets")
-    if large.limit(1).count():
-        few = large.limit(100_001).count() <= 100_000
-        mine = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
-        rows = rows.join(F.broadcast(large) if few else large, "bucket", "left").select(
-            "fp", "bucket", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
-                F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.shiftleft(F.least(other, mine).cast("long"), 32) + F.greatest(other, mine)))).alias("pair"),
-        )
-    else:
-        rows = rows.withColumn("pair", F.lit(0).cast("long"))
-    dealt = rows.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair")
+    dealt = split_buckets(classes, F.array(*keys), ("fp",)).repartition("bucket", "pair").sortWithinPartitions("bucket", "pair")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = pivots()
-        held = [np.zeros(0, np.int64)] * 3
-
-        def found(bucket: np.ndarray, pair: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        for table in whole_buckets(batches):
+            bucket, pair, fp = (table[c].to_numpy() for c in ("bucket", "pair", "fp"))
             number = np.cumsum(np.concatenate([[0], (bucket[1:] != bucket[:-1]) | (pair[1:] != pair[:-1])]))
             several = np.bincount(number)[number] > 1
             a, b = linked(number[several], fp[several].view(np.uint64), radius, refs)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-        for batch in batches:
-            held = [np.concatenate([h, batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("bucket", "pair", "fp"), strict=True)]
-            open_ = (held[0] == held[0][-1]) & (held[1] == held[1][-1]) if len(held[0]) else np.zeros(0, bool)
-            full = int(np.argmax(open_)) if open_.any() else 0  # the last bucket may go on in the next batch
-            if full:
-                yield found(*(h[:full] for h in held))
-                held = [h[full:] for h in held]
-        if len(held[0]):
-            yield found(*held)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -207,15 +232,19 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components still change after {max_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, ``fp`` and ``component_id``, the smallest id that it reaches over links of at most 4 differing bits."""
-    marked = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+def near_classes(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``fp`` and ``component_id`` of each distinct fingerprint of ``marked``."""
     classes = written(marked.groupBy("fp").agg(F.min(id_col).alias("low")), "classes")
     tree = components(links(classes))
     rooted = classes.join(tree, classes["fp"] == tree["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_class = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(by_class, "fp").select(F.col(id_col), "fp", "component_id")
+    return rooted.join(named, "root").select("fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: id, ``fp`` and ``component_id``, the smallest id that it reaches over links of at most 4 differing bits."""
+    marked = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    return marked.join(near_classes(marked, id_col), "fp").select(F.col(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,8 +7,12 @@ import xxhash
 from paralens.llm import near_dedup as n
 
 
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
 def fingerprint(text, k):
-    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    w = words(text)
     if not w:
         return 0
     h = [xxhash.xxh64_intdigest(" ".join(w[i : i + k]).encode(), 42) for i in range(max(1, len(w) - k + 1))]

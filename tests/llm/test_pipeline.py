@@ -31,11 +31,10 @@ def test_quality_stage_keeps_what_the_classifier_accepts(spark, stages):
 
 
 def test_near_duplicates_by_brute_force(stages):
-    from test_near_dedup import components, fingerprint
+    from test_similar_texts import groups
 
     rows = sorted((r.doc_id, r.text) for r in stages[1].collect())
-    label = components([fingerprint(t, 4) for _, t in rows], [i for i, _ in rows])
-    assert sorted(ids(stages[2])) == sorted(set(label))
+    assert sorted(ids(stages[2])) == sorted(set(groups(*zip(*rows, strict=True))))
 
 
 def test_contaminated_documents_go(spark, stages):
