@@ -136,7 +136,7 @@ TESTED = f"""{RANKED}, base AS (
 NORM = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9{{}} ]+', ' ', 'g'), ' +', ' ', 'g'))"
 REPLIES = """replies AS (
     SELECT doc_id AS id, CASE quality WHEN 1 THEN concat(' equivalent ; same question, ', toxic) WHEN 0 THEN 'Different;drops the task' END AS reply, text
-    FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 3 <> 0
+    FROM documents LEFT JOIN labels USING (doc_id)
 ), judged AS (
     SELECT id, coalesce(substr(upper(trim(split_part(reply, ';', 1))), 1, 12), 'UNJUDGED') AS verdict,
            coalesce(substr(trim(CASE WHEN contains(reply, ';') THEN substr(reply, strpos(reply, ';') + 1) ELSE '' END), 1, 200), '') AS reason
@@ -159,12 +159,12 @@ FROM (SELECT p, text, t, regexp_extract_all(t, '\{{[^}}]*\}}') AS f FROM (SELECT
 
 MULT_REASONS = f"WITH candidates AS (SELECT {TEMPLATES} FROM documents), checked AS ({reasons(['a', 'b'], chr(10) + chr(32) * 4 + 'WHEN regexp_matches(t, ' + repr('[0-9]{3,}') + ') THEN ' + repr('contains a 3+ digit number, which could be a leaked answer'))})"
 ENTAIL_REASONS = f"""WITH candidates AS (
-    SELECT doc_id AS p, replace(concat('{{rule}} {{fact}} {{target}} YES no ', substr(text, 1, 100), CASE WHEN doc_id % 2 = 0 THEN ' Unknown?' ELSE '{{x}}' END), chr(10), ' ') AS text FROM documents
+    SELECT doc_id AS p, replace(concat('{{rule}} {{fact}} {{target}} YES no ', text, CASE WHEN doc_id % 2 = 0 THEN ' Unknown?' ELSE '{{x}}' END), chr(10), ' ') AS text FROM documents
 ) SELECT p, reason FROM ({reasons(['rule', 'fact', 'target'], ''.join(f"WHEN NOT regexp_matches(lower(t), {chr(39)}{chr(92)}b{w}{chr(92)}b{chr(39)}) THEN {chr(39)}does not name the option {chr(39) * 2}{w}{chr(39) * 3} " for w in fixed.LABEL_WORDS))})"""
 PAIRS = """pairs AS (
     SELECT conv_id AS p, turn::VARCHAR AS i, text AS first, CASE WHEN conv_id % 7 = 0 THEN NULL WHEN conv_id % 5 = 0 THEN concat(text, '!') ELSE text END AS second,
            CASE WHEN conv_id % 7 = 0 THEN 'timeout' END AS e
-    FROM conversations WHERE role = 'user'
+    FROM conversations
 )"""
 MULT_VALUES = ", ".join(f"({k}, {x.slots['a']}, {x.slots['b']})" for k, x in enumerate(get("mult").items))
 CONTENT = ", ".join(f"({k}, '{p}', '{q}')" for k, (p, q) in enumerate(fixed.CONDITIONALS))
@@ -189,7 +189,7 @@ FROM (SELECT unnest(range(0, {HOURS + 1})) AS b) LEFT JOIN counts ON b = bin""",
 SELECT b AS bin, round(1 + 89 * b / 20::DOUBLE, 9) AS low, round(1 + 89 * (b + 1) / 20::DOUBLE, 9) AS high, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, 20)) AS b) LEFT JOIN counts ON b = bin""",
     "best_worst": f"""WITH {GRADED}, {accounts()}, a AS (SELECT * FROM accounts WHERE strict_accuracy IS NOT NULL)
 SELECT (SELECT p FROM a ORDER BY strict_accuracy DESC, p LIMIT 1) AS best, round(max(strict_accuracy), 9) AS best_value, (SELECT p FROM a ORDER BY strict_accuracy, p LIMIT 1) AS worst, round(min(strict_accuracy), 9) AS worst_value FROM a""",
-    "canonical_rank": f"""WITH {SPARSE}, {DENSE}, own AS (SELECT avg(c) AS a FROM dense WHERE p = 1), kept AS (SELECT p, avg(c) AS acc FROM whole WHERE p % 2 = 0 GROUP BY p)
+    "canonical_rank": f"""WITH {SPARSE}, {DENSE}, own AS (SELECT avg(c) AS a FROM dense WHERE p = 1), kept AS (SELECT p, avg(c) AS acc FROM whole GROUP BY p)
 SELECT round(max(a), 9) AS canonical_accuracy, round(avg((acc <= a)::INT), 9) AS canonical_percentile FROM kept, own""",
     "cochran_q": f"WITH {DENSE}, {cochran('dense')} SELECT k, b, round({Q}, 9) AS q FROM margins",
     "cochran_q_sparse": f"WITH {SPARSE}, {cochran('whole')} SELECT k, b, round({Q}, 9) AS q FROM margins",
@@ -217,7 +217,7 @@ FROM null_values, seen""",
 )
 SELECT ord::INT AS ord, name, round(rho, 9) AS rho, round(p, 9) AS p, round(share_with_feature, 9) AS share_with_feature, round(max(step) OVER (ORDER BY p, ord ROWS UNBOUNDED PRECEDING), 9) AS p_holm FROM stepped
 UNION ALL SELECT ord::INT, name, round(rho, 9), p, round(share_with_feature, 9), NULL FROM ps WHERE p IS NULL""",
-    "holm": """WITH t AS (SELECT p_partkey AS ord, p_name AS name, p_size / 2000::DOUBLE AS p, p_brand FROM part WHERE p_partkey < 500),
+    "holm": """WITH t AS (SELECT p_partkey AS ord, p_name AS name, p_size / 2000::DOUBLE AS p, p_brand FROM part),
 s AS (SELECT *, least(1, (count(*) OVER (PARTITION BY p_brand) - row_number() OVER (PARTITION BY p_brand ORDER BY p, ord) + 1) * p) AS step FROM t)
 SELECT ord, name, round(p, 9) AS p, p_brand, round(max(step) OVER (PARTITION BY p_brand ORDER BY p, ord ROWS UNBOUNDED PRECEDING), 9) AS p_holm FROM s""",
     "normalise_dedup": f"SELECT min(doc_id) AS id, norm, count(*) AS copies FROM (SELECT doc_id, {NORM.format('text')} AS norm FROM documents) GROUP BY norm",
@@ -238,15 +238,15 @@ SELECT k AS call, style, axis FROM (SELECT unnest(range(0, 200)) AS k) JOIN comb
     "round_trip_rate": f"WITH {REPLIES} SELECT {TALLY}, {RATE}, count(*) FILTER (id % 5 = 0) AS slots_survived FROM judged",
     "verdict_parse": f"WITH {REPLIES} SELECT id, verdict, reason FROM judged",
     "equivalence_filter": f"WITH {REPLIES}, {GRADED}, {accounts()} SELECT p, attempts, round(strict_accuracy, 9) AS strict_accuracy FROM accounts WHERE p = 0 OR p IN (SELECT id FROM judged WHERE verdict LIKE 'EQUIV%')",
-    "work_list": f"""WITH t AS (SELECT {TEMPLATES} FROM documents WHERE doc_id % 6 = 0), items AS (SELECT * FROM (VALUES {MULT_VALUES}) AS v(ord, a, b)),
-every AS (SELECT p, concat('mult-', a, 'x', b) AS i, concat('What is ', a, ' times ', b, '? ', substr(text, 1, 20)) AS raw, a, b, ord FROM t, items)
+    "work_list": f"""WITH t AS (SELECT {TEMPLATES} FROM documents), items AS (SELECT * FROM (VALUES {MULT_VALUES}) AS v(ord, a, b)),
+every AS (SELECT p, concat('mult-', a, 'x', b) AS i, concat('What is ', a, ' times ', b, '? ', text) AS raw, a, b, ord FROM t, items)
 SELECT p, i, replace(replace(raw, '{{a}}', a::VARCHAR), '{{b}}', b::VARCHAR) AS prompt, md5(concat_ws('|', '{fixed.SEED_ORDER}', p)) AS turn, ord FROM every
 WHERE NOT (i = 'mult-79x92' AND p IN (SELECT doc_id FROM labels))""",
-    "render_prompt": f"WITH t AS (SELECT {TEMPLATES} FROM documents WHERE doc_id % 6 <> 3) SELECT p, replace(replace(text, '{{a}}', p::VARCHAR), '{{b}}', '{{a}}') AS prompt FROM t",
+    "render_prompt": f"WITH t AS (SELECT {TEMPLATES} FROM documents) SELECT p, replace(replace(text, '{{a}}', p::VARCHAR), '{{b}}', '{{a}}') AS prompt FROM t",
     "repeat_agreement": f"WITH {PAIRS} SELECT count(*) AS n, count(*) FILTER (first = second) AS identical, count(e) AS failed, round(count(*) FILTER (first = second) / nullif(count(*), 0)::DOUBLE, 9) AS rate FROM pairs",
     "repeat_disagreements": f"WITH {PAIRS} SELECT p, i, substr(first, 1, 160) AS first, substr(second, 1, 160) AS second FROM pairs WHERE e IS NULL AND first <> second ORDER BY p, i LIMIT 12",
     "discover_runs": """WITH found AS (SELECT DISTINCT lang AS task, translate(source, '1', '-') AS slug FROM documents),
-metas AS (SELECT DISTINCT lang AS task, translate(source, '1', ':') AS model FROM documents WHERE doc_id % 2 = 0),
+metas AS (SELECT DISTINCT lang AS task, translate(source, '1', ':') AS model FROM documents),
 known AS (SELECT task, translate(model, ':/', '--') AS slug, min(model) AS model FROM metas GROUP BY 1, 2)
 SELECT task, coalesce(model, slug) AS model, slug FROM found LEFT JOIN known USING (task, slug)""",
     "mult_items": f"SELECT ord, concat('mult-', a, 'x', b) AS key, (a * b)::VARCHAR AS answer, a::VARCHAR AS a, b::VARCHAR AS b FROM (VALUES {MULT_VALUES}) AS v(ord, a, b)",

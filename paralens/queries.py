@@ -53,7 +53,7 @@ def _replies(spark: SparkSession, d: str) -> DataFrame:
     """Judge's replies: labelled quality decides the verdict, the rest has no reply."""
     labels = table(spark, d, "labels")
     said = F.expr("CASE quality WHEN 1 THEN concat(' equivalent ; same question, ', toxic) WHEN 0 THEN 'Different;drops the task' END")
-    docs = table(spark, d, "documents").where("doc_id % 3 <> 0")
+    docs = table(spark, d, "documents")
     return docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("id"), said.alias("reply"), "text")
 
 
@@ -127,7 +127,7 @@ def best_worst(spark: SparkSession, d: str) -> DataFrame:
 @query
 def canonical_rank(spark: SparkSession, d: str) -> DataFrame:
     every = _accuracies(spark, d)
-    return _rounded(accounting.canonical_rank(every.where("p % 2 = 0"), _dense_accuracies(spark, d), canonical=1, value="acc"))
+    return _rounded(accounting.canonical_rank(every, _dense_accuracies(spark, d), canonical=1, value="acc"))
 
 
 def _dense_accuracies(spark: SparkSession, d: str) -> DataFrame:
@@ -186,7 +186,7 @@ def feature_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def holm(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").selectExpr("p_partkey AS ord", "p_name AS name", "p_size / 2000.0D AS p", "p_brand").where("ord < 500")
+    p = table(spark, d, "part").selectExpr("p_partkey AS ord", "p_name AS name", "p_size / 2000.0D AS p", "p_brand")
     return _rounded(inference.holm(p, ["p_brand"]))
 
 
@@ -210,7 +210,7 @@ def validate_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def validate_label_reasons(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("p"), F.expr("concat('{rule} {fact} {target} YES no ', substr(text, 1, 100), CASE WHEN doc_id % 2 = 0 THEN ' Unknown?' ELSE '{x}' END)").alias("text"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("p"), F.expr("concat('{rule} {fact} {target} YES no ', text, CASE WHEN doc_id % 2 = 0 THEN ' Unknown?' ELSE '{x}' END)").alias("text"))
     one_line = rows.withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
     return pool.validated(one_line, tasks.get("entail")).select("p", "reason")
 
@@ -263,7 +263,7 @@ def equivalence_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def work_list(spark: SparkSession, d: str) -> DataFrame:
-    wordings = templates(spark, d).where("p % 6 = 0").select(F.col("p").alias("id"), F.concat(F.lit("What is {a} times {b}? "), F.substring("text", 1, 20)).alias("text"))
+    wordings = templates(spark, d).select(F.col("p").alias("id"), F.concat(F.lit("What is {a} times {b}? "), "text").alias("text"))
     items = tasks.items(spark, tasks.get("mult"))
     done = table(spark, d, "labels").select(F.col("doc_id").alias("p"), F.lit("mult-79x92").alias("i"), F.lit("x").alias("r"), F.lit(None).cast("string").alias("e"))
     return pool.work_list(wordings, items, done).select("p", "i", "prompt", "turn", "ord")
@@ -272,7 +272,7 @@ def work_list(spark: SparkSession, d: str) -> DataFrame:
 @query
 def render_prompt(spark: SparkSession, d: str) -> DataFrame:
     slots = F.create_map(F.lit("a"), F.col("p").cast("string"), F.lit("b"), F.lit("{a}"))
-    return templates(spark, d).where("p % 6 <> 3").select("p", text.rendered(F.col("text"), slots).alias("prompt"))
+    return templates(spark, d).select("p", text.rendered(F.col("text"), slots).alias("prompt"))
 
 
 @query
@@ -281,7 +281,7 @@ def repeat_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "conversations").where("role = 'user'").select(F.col("conv_id").alias("p"), F.col("turn").cast("string").alias("i"), F.col("text").alias("first"))
+    asked = table(spark, d, "conversations").select(F.col("conv_id").alias("p"), F.col("turn").cast("string").alias("i"), F.col("text").alias("first"))
     again = F.expr("CASE WHEN p % 7 = 0 THEN NULL WHEN p % 5 = 0 THEN concat(first, '!') ELSE first END")
     return asked.select("p", "i", "first", again.alias("second"), F.expr("CASE WHEN p % 7 = 0 THEN 'timeout' END").alias("e"))
 
@@ -295,7 +295,7 @@ def repeat_disagreements(spark: SparkSession, d: str) -> DataFrame:
 def discover_runs(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     names = docs.select(F.concat(F.col("lang"), F.lit("__"), F.translate("source", "1", "-"), F.lit("__"), F.lpad(F.col("doc_id").cast("string"), 3, "0"), F.lit(".jsonl")).alias("name"))
-    metas = docs.where("doc_id % 2 = 0").select(F.col("lang").alias("task"), F.translate("source", "1", ":").alias("model"))
+    metas = docs.select(F.col("lang").alias("task"), F.translate("source", "1", ":").alias("model"))
     return logs.runs(names, metas.distinct())
 
 

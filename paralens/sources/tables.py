@@ -17,9 +17,9 @@ WHEN 2 THEN concat(substr({ANSWER}, 1, 1), ',', substr({ANSWER}, 2)) WHEN 7 THEN
 WHEN 3 THEN 'I cannot say' WHEN 8 THEN concat('It is 00', {ANSWER}, ' or maybe 7') WHEN 4 THEN NULL ELSE concat('about ', {ANSWER}, ' or 99999999999999999999999') END AS r,
 {ANSWER} AS answer"""
 TEMPLATES = """doc_id AS p,
-CASE doc_id % 6 WHEN 0 THEN concat('Please multiply {a} by {b}. ', substr(text, 1, 200)) WHEN 1 THEN concat(substr(text, 1, 200), ' Think step by step about {a}?')
-WHEN 2 THEN concat('You are a careful assistant. Only the number. ', substr(text, 1, 150), ' {b}') WHEN 3 THEN text
-WHEN 4 THEN concat('1. Read {a} 2. **Reply** at once; no explanation. ', substr(text, 1, 100)) ELSE concat('FIRST: COMPUTE {a} x {b} NOW. ', substr(text, 1, 300)) END AS text"""
+CASE doc_id % 6 WHEN 0 THEN concat('Please multiply {a} by {b}. ', text) WHEN 1 THEN concat(text, ' Think step by step about {a}?')
+WHEN 2 THEN concat('You are a careful assistant. Only the number. ', text, ' {b}') WHEN 3 THEN text
+WHEN 4 THEN concat('1. Read {a} 2. **Reply** at once; no explanation. ', text) ELSE concat('FIRST: COMPUTE {a} x {b} NOW. ', text) END AS text"""
 
 
 def responses(spark: SparkSession, directory: str) -> DataFrame:
