@@ -15,10 +15,10 @@ A byte goes if a string of ``span`` bytes that covers it also starts in a docume
 4. Chunks gather the answers, mark what is covered and hash what is left.
 
 So work follows the bytes of the corpus, however often a passage repeats: copies collapse in step 2
-into one entry an anchor, and each entry is 8 bytes and a one-byte answer. The chunks are a bucketed
+into one entry an anchor, and each entry is 12 bytes and a one-byte answer. The chunks are a bucketed
 table in the shared folder and never move; a lost executor reads them again.
 
-Contexts count as equal if 64 bits of hashes besides the bucket agree; everything in doubt is compared by its bytes.
+Contexts count as equal if 64 bits of their own hashes and 32 bits of their anchors' agree; everything in doubt is compared by its bytes.
 Null texts are empty; null ids come after all others and, like rows of one id, remove nothing from each other; an
 empty table gives an empty result. Ids are integers; only the id and text columns are read.
 """
@@ -86,12 +86,12 @@ class Chunk:
         self.low = np.maximum(self.offs[self.row], self.at - (span - GRAM))
         self.high = np.minimum(self.offs[self.row + 1], self.at + span)
 
-    def keys(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Bucket of each anchor, and 32 bits each of its hash and its context's."""
+    def keys(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bucket of each anchor, 32 more bits of its hash, and the 64 of its context's."""
         hashes = Hashes(self.data)
         h = hashes.of(self.at, self.at + GRAM)
         c = mixed(hashes.of(self.low, self.high) + (self.at - self.low).astype(U64) * DOC_MIX)
-        return (((h >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64), ((h & LOW) << U64(32)) | (c & LOW)
+        return (((h >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64), (h & LOW).astype(np.uint32), c
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -127,17 +127,17 @@ def _chunk(table: pa.Table | pa.RecordBatch, k: int, span: int) -> Chunk:
     return Chunk(_ids(cell("ids").values), read("data", np.uint8), read("sizes", np.int32), (at, at - back, at - back + more), span)
 
 
-def _status(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def _status(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """FULL where an earlier document has the whole context; DOUBT for the rest of anchors with several contexts."""
-    out = np.zeros(len(key), np.uint8)
-    if not len(key):
+    out = np.zeros(len(anchor), np.uint8)
+    if not len(anchor):
         return out
-    order = np.argsort(key)
-    key, doc = key[order], doc[order]
-    fresh = np.concatenate([[True], key[1:] != key[:-1]])
+    order = np.lexsort((context, anchor))
+    anchor, context, doc = anchor[order], context[order], doc[order]
+    fresh = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])])
     heads = np.flatnonzero(fresh)
     earliest = np.minimum.reduceat(doc, heads)
-    anchor = (key[heads] >> U64(32)).astype(np.int64)
+    anchor = anchor[heads]
     group = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     several = np.minimum.reduceat(earliest, group) < np.maximum.reduceat(earliest, group)
     several = np.repeat(several, np.diff(np.append(group, len(heads))))
@@ -324,7 +324,7 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for k in range(batch.num_rows):
                 c = _chunk(batch, k, span)
-                bucket, key = c.keys(buckets)
+                bucket, anchor, context = c.keys(buckets)
                 order, ends = _pieces(bucket, buckets)
                 per_doc = np.zeros((buckets, len(c.ids)), np.int32)
                 np.add.at(per_doc, (bucket, c.row), 1)
@@ -332,16 +332,17 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
                 number = batch.column(batch.schema.get_field_index("chunk"))[k].as_py()
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(buckets, number)), pa.array(np.arange(buckets), pa.int32()), pa.array([steps] * buckets, pa.binary()),
-                    pa.array([x.tobytes() for x in per_doc], pa.binary()), _cut(key[order], ends),
-                ], names=["chunk", "bucket", "ids", "per_doc", "keys"])
+                    pa.array([x.tobytes() for x in per_doc], pa.binary()), _cut(anchor[order], ends), _cut(context[order], ends),
+                ], names=["chunk", "bucket", "ids", "per_doc", "hashes", "contexts"])
 
     def judge(table: pa.Table) -> pa.Table:
-        doc, keys, size = [], [], []
-        for ids, per_doc, key in zip(*(table.column(c).to_pylist() for c in ("ids", "per_doc", "keys")), strict=True):
+        doc, anchor, context, size = [], [], [], []
+        for ids, per_doc, h, c in zip(*(table.column(x).to_pylist() for x in ("ids", "per_doc", "hashes", "contexts")), strict=True):
             doc.append(np.repeat(np.cumsum(np.frombuffer(ids, np.int64)), np.frombuffer(per_doc, np.int32)))
-            keys.append(np.frombuffer(key, np.uint64))
-            size.append(len(keys[-1]))
-        status = _status(np.concatenate(keys), np.concatenate(doc))
+            anchor.append(np.frombuffer(h, np.uint32))
+            context.append(np.frombuffer(c, np.uint64))
+            size.append(len(anchor[-1]))
+        status = _status(np.concatenate(anchor), np.concatenate(context), np.concatenate(doc))
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "status": _cut(status, np.cumsum(size))})
 
     names = ["chunk", "bucket", "positions", "sizes", "ids", "offsets", "data"]
@@ -350,7 +351,7 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
         """What is surely covered (bucket -1), and the windows in doubt by bucket."""
         c = _chunk(left, 0, span)
-        bucket, _ = c.keys(buckets)
+        bucket = c.keys(buckets)[0]
         order, ends = _pieces(bucket, buckets)
         status = np.zeros(len(order), np.uint8)
         begin = np.concatenate([[0], ends[:-1]])
@@ -410,7 +411,7 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
         ], names=out_schema.names)
 
     columns = ["chunk", "ids", "data", "sizes", "anchors", "firsts"]
-    dealt = chunks.select(*columns).mapInArrow(deal, "chunk long, bucket int, ids binary, per_doc binary, keys binary")
+    dealt = chunks.select(*columns).mapInArrow(deal, "chunk long, bucket int, ids binary, per_doc binary, hashes binary, contexts binary")
     judged = Table(dealt.groupBy("bucket").applyInArrow(judge, "chunk long, bucket int, status binary"), "anchor-status", "zstd")
     by_chunk = chunks.select(*columns).groupBy("chunk")
     asked = Table(by_chunk.cogroup(judged.df.groupBy("chunk")).applyInArrow(settle, asked_type), "windows-in-doubt", "zstd")

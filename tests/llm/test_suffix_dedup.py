@@ -61,6 +61,31 @@ def test_every_window_has_its_anchor():
     assert [seen[k] == 1 for k in range(4951)] == [row[k] == row[k + 49] for k in range(4951)]
 
 
+def test_contexts_whose_hashes_share_32_bits(spark):
+    """Of many contexts of one anchor, two whose hashes agree in their low half."""
+    rng = np.random.default_rng(2)
+    grams = rng.integers(97, 123, (200_000, s.GRAM)).astype(np.uint8)
+    word = np.ascontiguousarray(grams).view("<u8")
+    h = (word[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ (word[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F))
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    gram = grams[np.argmin(h * np.uint64(0x94D049BB133111EB))]
+    left, n = s.SPAN - s.GRAM, 200_000
+    every = rng.integers(97, 123, (n, left + s.SPAN)).astype(np.uint8)
+    every[:, left : s.SPAN] = gram
+    starts = np.arange(n) * every.shape[1]
+    hashes = s.Hashes(every.ravel())
+    c = s.mixed(hashes.of(starts, starts + every.shape[1]) + np.full(n, left, np.uint64) * s.DOC_MIX) & s.LOW
+    order = np.argsort(c)
+    alike = np.flatnonzero(c[order][1:] == c[order][:-1])
+    assert len(alike)
+    rows = [(k, every[order[x]].tobytes()) for k, x in enumerate(np.stack([alike, alike + 1], axis=1).ravel())]
+    assert all(s.anchors(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].tolist() == [left] for _, t in rows)
+    df = spark.createDataFrame([(k, t.decode()) for k, t in rows], "doc_id long, text string")
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in s.dedup(df).collect()}
+    assert found == brute(rows) and not any(f[1] for f in found.values())
+
+
 def test_odd_rows(odd, none):
     rows = s.dedup(odd).collect()
     assert len(rows) == odd.count() and sum(r.n_removed == r.n_bytes > 0 for r in rows) == 1  # the second long text
