@@ -2,17 +2,21 @@
 
 A rolling hash over the hashes of WINDOW lines ends a chunk after a line whenever it is divisible by
 DIVISOR, so boundaries depend on nearby lines alone: lines inserted before a passage shift it
-without changing its chunks. Chunks of two lines or more that hold a word and stand more than once
-in the corpus are compared byte by byte, and all occurrences but the first (smallest id, then
-place) are removed.
-
-Texts are packed into bucketed groups that never move. Groups deal the hashes of their chunks to
+without changing its chunks. A repeat seldom begins and ends at a chunk's edge, so the pairs of
+neighbouring lines are matched beside the chunks and carry the match line by line to its ends.
+Blocks, which are those pairs and the chunks of more lines, that hold a word and stand more than
+once in the corpus are compared byte by byte, and all occurrences but the first (smallest id, then
+place) are removed. So every repeat of two lines or more goes, whatever stands around it, if each
+two lines of it hold a word. Occurrences may overlap: a run of equal lines keeps one. The first of
+equal lines is never removed.
+
+Texts are packed into bucketed groups that never move. Groups deal the hashes of their blocks to
 buckets; a bucket answers which of them it has seen twice; only of those a group sends the bytes,
-once each however often they occur in it, and gets back where the first occurrence stands. A chunk
+once each however often they occur in it, and gets back where the first occurrence stands. A block
 that every document holds is thus one entry a group.
 
 Null texts are one empty line; null ids come after all others; rows of one id count as one
-document, so a chunk at the same place of both stays in both; an empty table gives an empty result.
+document, so a block at the same place of both stays in both; an empty table gives an empty result.
 Ids are integers; only the id and text columns are read.
 """
 
@@ -29,17 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ragged import BASE, SPACED_WORD, U64, Hashes, blocks, lines, mixed
+from .ragged import BASE, SPACED_WORD, U64, Hashes, blocks, covered, lines, mixed, spread
 from .store import MAX_BUCKETS, Table, bucketed
 
 GROUP_BYTES = 4 << 20
 WINDOW, DIVISOR = 2, 3
-BUCKET_CHUNKS = 200_000
+BUCKET_BLOCKS = 200_000
 LAST = np.iinfo(np.int64).max
 
 
 class Lines:
-    """The texts of one group, cut into chunks of lines."""
+    """The texts of one group, cut into chunks of lines, and the blocks of them that are matched."""
 
     def __init__(self, ids: np.ndarray, data: np.ndarray, sizes: np.ndarray):
         self.ids, self.data = ids, data
@@ -54,19 +58,24 @@ class Lines:
         cut = mixed(roll) % U64(DIVISOR) == 0
         new = np.ones(len(h), bool)
         new[1:] = cut[:-1] | (self.row[1:] != self.row[:-1])
-        self.chunk_of = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(h))[: len(first)] - 1
+        self.chunk_first = np.flatnonzero(new)
+        chunk_last = np.append(self.chunk_first[1:], len(h))[: len(self.chunk_first)] - 1
         total = np.concatenate([[0], np.cumsum(SPACED_WORD[data], dtype=np.int64)])
-        low, high = self.starts[first], self.ends[last]
-        self.n_chunks = np.bincount(self.row[first], minlength=len(ids))
-        self.number = np.flatnonzero((last > first) & (total[high] > total[low]))
-        self.low, self.high, self.doc = low[self.number], high[self.number], self.row[first][self.number]
-        self.hash = hashes.of(self.low, self.high)
+        pair, long = np.flatnonzero(self.row[:-1] == self.row[1:]), np.flatnonzero(chunk_last > self.chunk_first + 1)
+        first, last = np.concatenate([pair, self.chunk_first[long]]), np.concatenate([pair + 1, chunk_last[long]])
+        picked = np.flatnonzero(total[self.ends[last]] > total[self.starts[first]])
+        picked = picked[np.argsort(first[picked], kind="stable")]
+        self.first, self.last = first[picked], last[picked]
+        self.begin, self.stop, self.doc = self.starts[self.first], self.ends[self.last], self.row[self.first]
+        self.hash = hashes.of(self.begin, self.stop)
+        # Every line of every block, by its number, with the bytes of the block.
+        count = self.last - self.first + 1
+        self.chunk_of, self.number = np.arange(len(h)), spread(self.first, count)
+        self.low, self.high = np.repeat(self.begin, count), np.repeat(self.stop, count)
 
     def place(self) -> np.ndarray:
-        """Where in its text each chunk stands."""
-        return self.low - self.offs[self.doc]
+        """Where in its text each block stands."""
+        return self.begin - self.offs[self.doc]
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -100,11 +109,13 @@ def _slices(ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, n_lines, n_chunks, n_removed_chunks, n_removed_lines, kept (the lines left, joined by line feeds) and kept_sha256."""
+    """One row a document: id, n_lines, n_chunks, n_removed_chunks (of which no line is left), n_removed_lines, kept (the lines left, joined by line feeds) and kept_sha256."""
     id_type = docs.select(F.col(id_col)).schema[0].dataType
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    text = F.col(text_col).cast("string")
+    feeds = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    size, n_lines = (x or 0 for x in docs.agg(F.sum(F.octet_length(text)), F.sum(feeds + 1)).first())
     groups = bucketed(packed(docs, id_col, text_col), "line_groups", max(8, min(MAX_BUCKETS, -(-size // (4 * GROUP_BYTES)))), "part")
-    buckets = max(32, -(-size // (BUCKET_CHUNKS * 256)))
+    buckets = max(32, -(-size // (BUCKET_BLOCKS * 256)), -(-n_lines // BUCKET_BLOCKS))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,20 +134,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), "again": pa.array([again[a:b].tobytes() for a, b in _slices(ends)], pa.binary())})
 
     def repeated(x: Lines, right: pa.Table) -> list[np.ndarray]:
-        """By bucket, the chunks whose hash stands more than once, in the order of the hashes dealt."""
+        """By bucket, the blocks whose hash stands more than once, in the order of the hashes dealt."""
         order, ends = _by_bucket(x.hash, buckets)
         flags = dict(zip(right.column("bucket").to_pylist(), right.column("again").to_pylist(), strict=True))
         return [order[a:b][np.frombuffer(flags[k], np.uint8) == 1] for k, (a, b) in enumerate(_slices(ends))]
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Each distinct chunk in doubt with its first occurrence in this group."""
+        """Each distinct block in doubt with its first occurrence in this group."""
         x = _lines(left, 0)
         place, raw = x.place(), x.data.tobytes()
         rows: dict[str, list] = {"bucket": [], "texts": [], "ids": [], "places": []}
-        for bucket, chunks in enumerate(repeated(x, right)):
+        for bucket, found in enumerate(repeated(x, right)):
             first: dict[bytes, tuple[int, int]] = {}
-            for c in chunks.tolist():
-                text, at = raw[x.low[c] : x.high[c]], (int(x.ids[x.doc[c]]), int(place[c]))
+            for c in found.tolist():
+                text, at = raw[x.begin[c] : x.stop[c]], (int(x.ids[x.doc[c]]), int(place[c]))
                 first[text] = min(first.get(text, at), at)
             if first:
                 rows["bucket"].append(bucket)
@@ -150,7 +161,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         })
 
     def solve(table: pa.Table) -> pa.Table:
-        """The first occurrence anywhere of each chunk that a group asked about, equal bytes being equal chunks."""
+        """The first occurrence anywhere of each block that a group asked about, equal bytes being equal blocks."""
         first: dict[bytes, tuple[int, int]] = {}
         asked = list(zip(*(table.column(c).to_pylist() for c in ("texts", "ids", "places")), strict=True))
         for texts, ids, places in asked:
@@ -170,14 +181,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         n, place, raw = len(x.ids), x.place(), x.data.tobytes()
         flags, answers = right.filter(pa.compute.is_valid(right.column("again"))), right.filter(pa.compute.is_valid(right.column("ids")))
         told = {b: (i, p) for b, i, p in zip(*(answers.column(c).to_pylist() for c in ("bucket", "ids", "places")), strict=True)}
-        gone = np.zeros(len(x.low), bool)
-        for bucket, chunks in enumerate(repeated(x, flags)):
+        gone = np.zeros(len(x.begin), bool)
+        for bucket, found in enumerate(repeated(x, flags)):
             nth: dict[bytes, int] = {}
-            for c in chunks.tolist():
-                k = nth.setdefault(raw[x.low[c] : x.high[c]], len(nth))
+            for c in found.tolist():
+                k = nth.setdefault(raw[x.begin[c] : x.stop[c]], len(nth))
                 ids, places = told[bucket]
                 gone[c] = (ids[k], places[k]) != (int(x.ids[x.doc[c]]), int(place[c]))
-        line_gone = np.isin(x.chunk_of, x.number[gone])
+        line_gone = covered(x.first[gone], x.last[gone] + 1, len(x.row))
+        chunk_doc = x.row[x.chunk_first]
+        chunk_gone = np.logical_and.reduceat(line_gone, x.chunk_first) if len(chunk_doc) else line_gone
         touched = np.bincount(x.row[line_gone], minlength=n)
         count = np.bincount(x.row, minlength=n)
         edge = np.concatenate([[0], np.cumsum(count)])
@@ -188,7 +201,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 texts.append(b"\n".join(raw[x.starts[k] : x.ends[k]] for k in keep.tolist()))
             else:
                 texts.append(raw[x.offs[d] : x.offs[d + 1]])
-        numbers = (count, x.n_chunks, np.bincount(x.doc[gone], minlength=n), touched)
+        numbers = (count, np.bincount(chunk_doc, minlength=n), np.bincount(chunk_doc[chunk_gone], minlength=n), touched)
         return pa.Table.from_arrays([
             left.column("ids").combine_chunks().values, *(pa.array(v.astype(np.int64)) for v in numbers), pa.array(texts, pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
         ], names=schema.names)

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 
 from paralens.llm import line_dedup as d
 
@@ -30,6 +31,21 @@ def test_boundaries_resist_shifts():
     assert len(a & b) >= len(a) - 2 and len(a) > 2
 
 
+@pytest.mark.parametrize("size", range(2, 11))
+def test_short_passages_between_other_lines(spark, size):
+    """The later copy of a passage goes whole, and nothing around it."""
+    rows, kept = [], {}
+    for k in range(12):
+        passage = [f"passage {k} line {j}" for j in range(size)]
+        for i in (k, 50 + k):
+            around = [[f"text {i} line {j} {side}" for j in range(k % 4)] for side in "ab"]
+            rows.append((i, "\n".join([*around[0], *passage, *around[1]])))
+            kept[i] = "\n".join([*around[0], *(passage if i < 50 else []), *around[1]])
+    found = d.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: bytes(r.kept).decode() for r in found} == kept
+    assert all(r.n_removed_lines == (size if r.doc_id >= 50 else 0) for r in found)
+
+
 def test_odd_rows(odd, none):
     rows = d.dedup(odd).collect()
     assert len(rows) == odd.count() and all(r.n_lines == 1 for r in rows)
