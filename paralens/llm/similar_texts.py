@@ -3,9 +3,9 @@
 SimHash links of 4 bits miss most pairs at that similarity: their fingerprints differ in up to 14
 of 64 bits, and no table of blocks of bits holds all links that wide. Here buckets come from minima
 of shingle hashes (BANDS keys of BAND_ROWS minima each: a pair of similarity 0.8 shares one with
-probability 0.998). In a bucket pivot distance tables discard the pairs whose fingerprints differ in more than
-REACH bits (four deviations above the mean distance at similarity 0.8), and what survives is compared
-by its whole shingle sets. A bucket gives a spanning forest of its links: a text that is linked is only compared with
+probability 0.998). In a bucket only bounds that hold for any two sets discard pairs: those on their sizes, and
+on the shingles that just one of both has, which are no fewer than the parities, or the counts, of shingles by
+hash range differ in all. What survives is compared by its whole shingle sets. A bucket gives a spanning forest of its links: a text that is linked is only compared with
 those that are not yet, so a group of near copies costs its size, not its pairs.
 
 Texts with equal shingle sets are one class and cost one row. Buckets that a sample shows to be
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .near_dedup import components, majority, near_classes, pivots, shingle_hashes, split_buckets, trees, whole_buckets
+from .near_dedup import components, majority, near_classes, shingle_hashes, split_buckets, whole_buckets
 from .ragged import U64, blocks, flat, mixed, spread
 from .store import written
 
@@ -34,18 +34,19 @@ SIMHASH_WORDS, WORDS = 4, 5
 #: Similarity of links, as a fraction in whole numbers.
 OVER, UNDER = 4, 5
 BANDS, BAND_ROWS = 12, 4
-REACH = 20
+#: Hash ranges by which shingles are counted: their first bits.
+RANGE_BITS = 8
 #: Shingles compared at once.
 COMPARED = 1 << 22
 
 
 def _profile(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Fingerprint of each text, whether it has words, and its bucket keys followed by two sums over its set of shingles."""
+    """Fingerprint of each text, whether it has words, and its bucket keys followed by two sums over its set of shingles and their number."""
     fp = majority(*shingle_hashes(data, offs, SIMHASH_WORDS))
     h, shingles = shingle_hashes(data, offs, WORDS)
     n, rows = len(offs) - 1, np.flatnonzero(shingles)
     if not len(rows):
-        return fp, shingles > 0, [np.zeros(n, U64)] * (BANDS + 2)
+        return fp, shingles > 0, [np.zeros(n, U64)] * (BANDS + 3)
     first = (np.cumsum(shingles) - shingles)[rows]
     columns = []
     for band in range(BANDS):
@@ -61,6 +62,7 @@ def _profile(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     new = np.concatenate([[True], (s[1:] != s[:-1]) | (of[1:] != of[:-1])])
     for salt in (1, 2):
         columns.append(np.add.reduceat(np.where(new, mixed(s + U64(salt)), U64(0)), first))
+    columns.append(np.add.reduceat(new.astype(U64), first))
     out = []
     for c in columns:
         every = np.zeros(n, U64)
@@ -70,9 +72,9 @@ def _profile(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ``fp`` (SimHash of four-word shingles), ``s1`` and ``s2`` (equal if the sets of five-word shingles are), ``keys`` (buckets)."""
+    """id, ``fp`` (SimHash of four-word shingles), ``s1`` and ``s2`` (equal if the sets of five-word shingles are), ``n`` (shingles in the set), ``keys`` (buckets)."""
     picked = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
-    longs = [T.StructField(c, T.LongType()) for c in ("fp", "s1", "s2")]
+    longs = [T.StructField(c, T.LongType()) for c in ("fp", "s1", "s2", "n")]
     schema = T.StructType([picked.schema[0], *longs, T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +83,7 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             keys = np.stack([c[some] for c in columns[:BANDS]], axis=1).ravel()
             ends = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.view(np.int64)) for c in (fp, *columns[BANDS:])), lists], names=[id_col, "fp", "s1", "s2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.view(np.int64)) for c in (fp, *columns[BANDS:])), lists], names=[id_col, "fp", "s1", "s2", "n", "keys"])
 
     return picked.mapInArrow(run, schema)
 
@@ -103,17 +105,31 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return picked.mapInArrow(run, "node long, shingles binary")
 
 
-def similar(fps: np.ndarray, held: np.ndarray, offs: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """A spanning forest, as indices (a, b), of the similar pairs of one bucket with sets ``held[offs[k] : offs[k + 1]]``."""
+def parities(held: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Of each set ``held[offs[k] : offs[k + 1]]`` (none is empty) the parity of its shingles by their last six bits."""
+    return np.bitwise_xor.reduceat(U64(1) << (held[offs[0] : offs[-1]] & 63).astype(U64), offs[:-1] - offs[0])
+
+
+def similar(marks: np.ndarray, held: np.ndarray, offs: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """A spanning forest, as indices (a, b), of the similar pairs of one bucket with sets ``held[offs[k] : offs[k + 1]]`` and ``parities`` marks.
+
+    With a similarity of OVER / UNDER two sets have at most (UNDER - OVER) / (UNDER + OVER) of their shingles, counted
+    in both, apart from each other; each of those changes one parity and one count.
+    """
     size = np.diff(offs)
+    where = np.repeat(np.arange(len(size)) << RANGE_BITS, size) + (held[offs[0] : offs[-1]] >> (32 - RANGE_BITS))
+    counts = np.bincount(where, minlength=len(size) << RANGE_BITS).astype(np.int32).reshape(len(size), -1)
     left = np.argsort(size, kind="stable")
     a, b = [], []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = (np.bitwise_count(fps[left] ^ fps[x]) <= REACH) & (UNDER * np.minimum(size[left], size[x]) >= OVER * np.maximum(size[left], size[x]))
-            may = left[near]
+            may = left[UNDER * np.minimum(size[left], size[x]) >= OVER * np.maximum(size[left], size[x])]
+            apart = (UNDER - OVER) * (size[may] + size[x]) // (UNDER + OVER)
+            near = np.bitwise_count(marks[may] ^ marks[x]) <= apart
+            may, apart = may[near], apart[near]
+            may = may[np.abs(counts[may] - counts[x]).sum(axis=1) <= apart]
             own = held[offs[x] : offs[x + 1]]
             linked = np.zeros(len(may), bool)
             portion = np.cumsum(size[may]) // COMPARED
@@ -143,35 +159,34 @@ def _runs_of(table: pa.Table) -> np.ndarray:
 
 
 def similar_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b): a spanning forest, bucket by bucket, of the similar pairs of ``classes`` (node, fp, keys)."""
-    rows = split_buckets(classes, F.col("keys"), ("node", "fp"))
+    """(a, b): a spanning forest, bucket by bucket, of the similar pairs of ``classes`` (node, n, keys)."""
+    rows = split_buckets(classes, F.col("keys"), ("node", "n"))
     order = ("bucket", "pair")
 
     def in_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs = pivots()
+        """Rows with another of their bucket whose number of shingles allows the similarity."""
         for table in whole_buckets(batches):
-            number = _runs_of(table)
-            several = np.flatnonzero(np.bincount(number)[number] > 1)
-            fp = table["fp"].to_numpy()[several].view(U64)
-            tree = trees(number[several], fp, REACH, refs, equal=True)
-            stays = several[np.bincount(tree, minlength=len(several))[tree] > 1]
-            yield from table.take(pa.array(stays)).combine_chunks().to_batches()
+            number, n = _runs_of(table), table["n"].to_numpy()
+            order = np.lexsort((n, number))
+            next_to = (number[order][1:] == number[order][:-1]) & (UNDER * n[order][:-1] >= OVER * n[order][1:])
+            stays = np.zeros(len(n), bool)
+            stays[order[1:][next_to]] = stays[order[:-1][next_to]] = True
+            yield from table.filter(pa.array(stays)).combine_chunks().to_batches()
 
     alive = written(rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(in_reach, rows.schema), "buckets-in-reach")
     wanted = alive.select(F.col("node").alias("__node")).distinct()
     texts = docs.join(wanted, F.col(id_col).cast("long") == F.col("__node"), "left_semi").dropDuplicates([id_col])
     sets = written(shingle_sets(texts, id_col, text_col), "shingle-sets")
-    full = alive.join(sets, "node").select("bucket", "pair", "node", "fp", "shingles").repartition(*order).sortWithinPartitions(*order)
+    full = alive.join(sets, "node").select("bucket", "pair", "node", "shingles").repartition(*order).sortWithinPartitions(*order)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_buckets(batches):
             number, node = _runs_of(table), table["node"].to_numpy()
-            fp = table["fp"].to_numpy().view(U64)
             data, offs = flat(table["shingles"])
             held, offs = np.frombuffer(data.tobytes(), "<u4"), offs // 4
             begin = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(number)]])
             for low, high in zip(begin[:-1], begin[1:], strict=True):
-                for x, y in zip(*similar(fp[low:high], held, offs[low : high + 1]), strict=True):
+                for x, y in zip(*similar(parities(held, offs[low : high + 1]), held, offs[low : high + 1]), strict=True):
                     yield pa.RecordBatch.from_arrays([pa.array(node[low + x]), pa.array(node[low + y])], names=["a", "b"])
 
     return full.mapInArrow(compared, "a long, b long")
@@ -180,8 +195,8 @@ def similar_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", t
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row of the smallest id of every group of documents that similarity or SimHash links join, one row an id."""
     marked = written(profiles(docs, id_col, text_col), "profiles")
-    shared = marked.groupBy("s1", "s2").agg(F.min_by(F.struct("fp", "keys"), F.col(id_col)).alias("of"), F.min(id_col).cast("long").alias("node"))
-    classes = written(shared.select("s1", "s2", "node", "of.fp", "of.keys"), "shingle-classes")
+    shared = marked.groupBy("s1", "s2").agg(F.min_by(F.struct("n", "keys"), F.col(id_col)).alias("of"), F.min(id_col).cast("long").alias("node"))
+    classes = written(shared.select("s1", "s2", "node", "of.n", "of.keys"), "shingle-classes")
     by_print = near_classes(marked, id_col)
     # A document belongs to one class of equal sets and to one component of fingerprints: both are named by an id of theirs.
     pairs = marked.groupBy("fp", "s1", "s2").agg(F.count(F.lit(1)).alias("n"))

@@ -62,6 +62,37 @@ def test_keeps_one_of_each_group(spark, texts, monkeypatch, part):
     assert sorted(r.doc_id for r in similar_texts.keep_one(docs).collect()) == sorted(set(expected))
 
 
+def test_texts_with_looped_passages(spark):
+    """Sets of 0.8 and more whose fingerprints are far apart, as one text repeats a passage."""
+    rng = random.Random(7)
+    draw = lambda n: [f"w{rng.randrange(100_000)}" for _ in range(n)]
+    texts = []
+    for plain, looped, times in [(300, 40, 20), (200, 40, 10), (100, 30, 5)] * 4:
+        a, b = draw(plain), draw(looped)
+        texts += [" ".join(a + b), " ".join([*a[:50], "changed", *a[51:], *b * times])]
+    fps = [fingerprint(t, 4) for t in texts]
+    assert max((x ^ y).bit_count() for x, y in zip(fps[::2], fps[1::2], strict=True)) > 20
+    expected = sorted(set(groups(range(len(texts)), texts)))
+    assert expected == list(range(0, len(texts), 2))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in similar_texts.keep_one(docs).collect()) == expected
+
+
+@pytest.mark.parametrize("n", [5, 60, 400, 3000])
+def test_bounds_keep_every_similar_pair(n):
+    """Against all pairs of sets around the limit."""
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 1 << 32, n, dtype=np.uint32)
+    sets = [np.unique(np.concatenate([base[: n - k], rng.integers(0, 1 << 32, m, dtype=np.uint32)])) for k in range(0, n // 4 + 1, max(1, n // 40)) for m in (0, n // 20, n // 9, n // 5)]
+    for x in range(len(sets)):
+        for y in range(x):
+            two = [sets[x], sets[y]]
+            held, offs = np.concatenate(two), np.array([0, len(two[0]), len(two[0]) + len(two[1])])
+            a, _ = similar_texts.similar(similar_texts.parities(held, offs), held, offs)
+            both = len(np.intersect1d(*two))
+            assert bool(a) == (5 * both >= 4 * (offs[2] - both))
+
+
 def test_a_bucket_gives_a_forest_of_its_links():
     sets = [np.arange(k, k + 100, dtype=np.uint32) for k in range(0, 60, 5)]
     offs = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
