@@ -203,7 +203,7 @@ class Segment:
 
 
 def search(index: DataFrame, queries: Queries, slop: int | None = None) -> DataFrame:
-    """One row a document: segment, place, id, n_words, spans (merged ranges of hit words, end exclusive) and items (distinct ids that match).
+    """One row a document: segment, place, id, n_words, spans (merged ranges of hit words, end exclusive) and items (ids of the rows of the benchmark that match).
 
     Exact phrases, or with ``slop`` proximity matches, whose spans are the anchors alone.
     """
@@ -267,7 +267,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 8, item_id: s
             every = every.unionByName(more)
         out = every.groupBy("segment", "place").agg(
             F.first("id").alias("id"), F.first("n_words").alias("n_words"),
-            F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+            F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.flatten(F.collect_list("items")).alias("items"),
         )
     start = F.struct(F.lit(0).alias("reach"), F.lit(0).cast("long").alias("n"))
     longer = F.aggregate(
@@ -275,4 +275,4 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 8, item_id: s
         lambda s, x: F.struct(F.greatest(s["reach"], x["after"]).alias("reach"), (s["n"] + F.greatest(F.lit(0), x["after"] - F.greatest(s["reach"], x["first"]))).alias("n")),
         lambda s: s["n"],
     )
-    return out.select(F.col("id").alias(id_col), "n_words", longer.alias("n_hit"), "spans", "items")
+    return out.select(F.col("id").alias(id_col), "n_words", longer.alias("n_hit"), "spans", F.array_distinct("items").alias("items"))

@@ -44,6 +44,14 @@ def test_equals_brute_force(spark, docs, texts, items, block):
     assert [found[k] for k in range(len(texts))] == expected and any(e[1] for e in expected)
 
 
+@pytest.mark.parametrize("block", [d.BLOCK_WINDOWS, 1])
+def test_rows_of_one_item_count_once(spark, block):
+    docs = spark.createDataFrame([(1, "a b c d and e f g h"), (2, "e f g h"), (3, "k l m n a b c d")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (5, "e f g h"), (6, "k l m n")], "item_id long, text string")
+    found = {r.doc_id: sorted(r["items"]) for r in d.contamination(docs, bench, 4, block_windows=block).collect()}
+    assert found == {1: [5], 2: [5], 3: [5, 6]}
+
+
 def test_index_without_vocabulary_finds_the_same(docs, texts, items):
     q = d.query_block([x for x in items if x[0] is not None and x[1]], 8)
     found = {r.id: sorted(set(r["items"])) for r in d.search(d.build_index(docs), q).collect()}
