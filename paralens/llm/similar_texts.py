@@ -12,7 +12,8 @@ Texts with equal shingle sets are one class and cost one row. Buckets that a sam
 large are split into pairs of parts, as near_dedup does. SimHash links of 4 bits hold as well.
 
 A text of fewer words is one shingle; texts without words are one class, null ones among them. Rows
-without an id join others only by an equal set or fingerprint. Shingles are 64-bit hashes in classes and buckets, and
+without an id go by a hash of their text beyond 2**62, so each distinct text counts as a document of its own,
+after those with smaller ids. Shingles are 64-bit hashes in classes and buckets, and
 32 bits of them in the comparison. Only the id and text columns are read; ids are integers.
 """
 
@@ -193,17 +194,19 @@ def similar_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", t
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of the smallest id of every group of documents that similarity or SimHash links join, one row an id."""
-    marked = written(profiles(docs, id_col, text_col), "profiles")
-    shared = marked.groupBy("s1", "s2").agg(F.min_by(F.struct("n", "keys"), F.col(id_col)).alias("of"), F.min(id_col).cast("long").alias("node"))
+    """The row of the smallest id of every group of documents that similarity or SimHash links join, one row an id and one a text without id."""
+    beyond = F.shiftrightunsigned(F.xxhash64(F.col(text_col).cast("string")), 2) + F.lit(1 << 62)
+    docs = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), beyond))
+    marked = written(profiles(docs, "__key", text_col), "profiles")
+    shared = marked.groupBy("s1", "s2").agg(F.min_by(F.struct("n", "keys"), "__key").alias("of"), F.min("__key").alias("node"))
     classes = written(shared.select("s1", "s2", "node", "of.n", "of.keys"), "shingle-classes")
-    by_print = near_classes(marked, id_col)
+    by_print = near_classes(marked, "__key")
     # A document belongs to one class of equal sets and to one component of fingerprints: both are named by an id of theirs.
     pairs = marked.groupBy("fp", "s1", "s2").agg(F.count(F.lit(1)).alias("n"))
     pairs = pairs.join(by_print, "fp").join(classes.select("s1", "s2", "node"), ["s1", "s2"])
-    same = pairs.select(F.col("node").alias("a"), F.col("component_id").cast("long").alias("b"))
-    edges = similar_links(docs, classes.where("node IS NOT NULL"), id_col, text_col).unionAll(same.where("a <> b"))
+    same = pairs.select(F.col("node").alias("a"), F.col("component_id").alias("b"))
+    edges = similar_links(docs, classes, "__key", text_col).unionAll(same.where("a <> b"))
     tree = components(edges)
-    named = pairs.select("node").unionAll(pairs.select(F.col("component_id").cast("long").alias("node"))).distinct()
+    named = pairs.select("node").unionAll(pairs.select(F.col("component_id").alias("node"))).distinct()
     kept = named.join(tree, "node", "left").select(F.coalesce("root", "node").alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])
+    return docs.join(kept, F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key"]).drop("__key")

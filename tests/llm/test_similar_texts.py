@@ -102,6 +102,17 @@ def test_a_bucket_gives_a_forest_of_its_links():
     assert similar_texts.similar(np.zeros(2, np.uint64), far, np.array([0, 100, 200])) == ([], [])
 
 
+def test_texts_without_an_id_stay(spark):
+    """Distinct ones each, near and equal ones once, and none that a document with an id has nearly."""
+    rng = random.Random(9)
+    one, two, three = ([f"w{rng.randrange(100_000)}" for _ in range(120)] for _ in range(3))
+    join = " ".join
+    rows = [(None, join(one)), (None, join(two)), (None, join(two)), (None, join([*two[:-1], "changed"])), (None, join([*three[:-1], "changed"])), (7, join(three)), (None, None)]
+    kept = [(r.doc_id, r.text) for r in similar_texts.keep_one(spark.createDataFrame(rows, "doc_id int, text string")).collect()]
+    assert len(kept) == 4 and {(None, join(one)), (7, join(three)), (None, None)} < set(kept)
+    assert (None, join(two)) in kept or (None, join([*two[:-1], "changed"])) in kept
+
+
 def test_odd_rows(odd, none):
     kept = similar_texts.keep_one(odd)
     rows = [(r.doc_id, r.text) for r in kept.collect()]
