@@ -55,6 +55,8 @@ FEATURES: dict[str, tuple[str, Callable[[Column], Column]]] = {
     "format_before_slot": ("names the format before the problem", _format_first),
 }
 NAMES = tuple(FEATURES)
+#: Features that are amounts; all others are there or not.
+COUNTED = ("chars", "words", "sentences", "slot_position")
 
 
 def with_features(df: DataFrame, text: str = "text") -> DataFrame:
@@ -62,7 +64,7 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select("*", *(make(F.col(text)).alias(name) for name, (_, make) in FEATURES.items()))
 
 
-def long_features(df: DataFrame, key: str = "p", text: str = "text") -> DataFrame:
-    """A row for each wording and feature: key, ord, name, x."""
+def long_features(df: DataFrame, key: str = "p", text: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each wording and feature: key, columns named in ``others``, ord, name, x."""
     cells = F.array(*(F.struct(F.lit(k).alias("ord"), F.lit(name).alias("name"), make(F.col(text)).alias("x")) for k, (name, (_, make)) in enumerate(FEATURES.items())))
-    return df.select(key, F.inline(cells))
+    return df.select(key, *others, F.inline(cells))

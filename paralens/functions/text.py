@@ -63,15 +63,26 @@ def rejection(text: Column, slots: tuple[str, ...], task: str, balanced: bool =
     return out
 
 
-def rendered(template: Column, slots: Column) -> Column:
-    """The template with every named slot of the map filled in, one pass over its placeholders.
-
-    Values may hold braces: the template is cut at its placeholders first.
-    """
+def cut(template: Column, strict: bool = False) -> Column:
+    """(texts, names): what stands between the template's placeholders, and these; ``strict`` raises an error for braces of none."""
     texts = F.split(template, fixed.SLOT, -1)
-    names = F.concat(F.regexp_extract_all(template, F.lit(fixed.SLOT), 0), F.array(F.lit("{}")))
-    value = lambda name: F.try_element_at(slots, F.substring(name, F.lit(2), F.length(name) - 2))
-    return F.array_join(F.zip_with(texts, names, lambda t, k: F.concat(t, F.when(k == "{}", "").otherwise(F.coalesce(value(k), k)))), "")
+    names = F.transform(F.regexp_extract_all(template, F.lit(fixed.SLOT), 0), lambda k: F.substring(k, F.lit(2), F.length(k) - 2))
+    if strict:
+        stray = F.regexp_replace(template, fixed.SLOT, "").rlike(r"[{}]")
+        texts = F.when(stray, F.raise_error(F.concat(F.lit("wording has a single brace: "), template))).otherwise(texts)
+    return F.struct(texts.alias("texts"), names.alias("names"))
+
+
+def filled(parts: Column, slots: Column, strict: bool = False) -> Column:
+    """A cut template with every named slot of the map filled in. Placeholders without a value stay as they are, or, if ``strict``, raise an error."""
+    missing = lambda k: F.raise_error(F.concat(F.lit("no value for {"), k, F.lit("}"))) if strict else F.concat(F.lit("{"), k, F.lit("}"))
+    values = F.transform(parts["names"], lambda k: F.coalesce(F.try_element_at(slots, k), missing(k)))
+    return F.array_join(F.zip_with(parts["texts"], values, lambda t, v: F.concat(t, F.coalesce(v, F.lit("")))), "")
+
+
+def rendered(template: Column, slots: Column, strict: bool = False) -> Column:
+    """The template filled in, one pass over its placeholders: values may hold braces."""
+    return filled(cut(template, strict), slots, strict)
 
 
 def verdict(reply: Column) -> Column:

@@ -1,8 +1,9 @@
 """Resampling and inference on the wording by item matrix, in long form (p, i, c).
 
 Random orders come from md5 digests of seed, repetition and keys, with the key as tie-break, so a
-result depends neither on partitioning nor on the engine. Every window is partitioned by
-repetition, and whatever can be is an aggregate with map-side combining.
+result depends neither on partitioning nor on the engine. Orders within a repetition are taken in
+cells of the digest's leading digits once a repetition outgrows a window, and whatever can be is an
+aggregate with map-side combining.
 """
 
 from __future__ import annotations
@@ -11,13 +12,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..store import written
+from .ordered import running
 
+#: Rows of one group that one window sorts.
+WINDOW_ROWS = 1_000_000
+#: Distinct values whose ranks are sent to every executor, 30 bytes each.
+BROADCAST_RANKS = 1_000_000
 
 def order_key(*parts: object) -> Column:
     """A reproducible pseudo-random key."""
     return F.md5(F.concat_ws("|", *(x.cast("string") if isinstance(x, Column) else F.lit(str(x)) for x in parts)))
 
 
+def shuffled(df: DataFrame, by: list[str], digest: Column, tie: str, rows: int, out: str = "nth") -> DataFrame:
+    """The rows with their place in each group along a random order. ``rows``: how many the largest group has, at most.
+
+    A digest's leading digits cut large groups into even cells, whose sizes say what lies before each.
+    """
+    digits = 0
+    while rows > WINDOW_ROWS * 16**digits:
+        digits += 1
+    drawn = df.withColumn("__digest", digest)
+    if not digits:
+        return drawn.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy("__digest", tie))).drop("__digest")
+    drawn = drawn.withColumn("__cell", F.substring("__digest", 1, digits))
+    sizes = drawn.groupBy(*by, "__cell").agg(F.count(F.lit(1)).alias("__n"))
+    along = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)
+    before = sizes.select(*by, "__cell", (F.sum("__n").over(along) - F.col("__n")).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy(*by, "__cell").orderBy("__digest", tie))
+    return drawn.withColumn("__nth", nth).join(before, [*by, "__cell"]).withColumn(out, F.col("__before") + F.col("__nth")).drop("__digest", "__cell", "__n", "__nth", "__before")
+
+
 def complete(cells: DataFrame, n_items: int) -> DataFrame:
     """Cells of wordings that have all items."""
     full = cells.groupBy("p").agg(F.count_distinct("i").alias("n")).where(F.col("n") == n_items).select("p")
@@ -51,11 +77,13 @@ def cochran_q(cells: DataFrame) -> DataFrame:
 
 def permutation_null(cells: DataFrame, reps: int = 1000, seed: int = fixed.SEED_PERMUTATION) -> DataFrame:
     """A row a repetition: q, sd and range when each item keeps its number of correct wordings and chance says which."""
+    cells = written(cells.select("p", "i", "c"), "cells")  # read once a table, not once a branch
     _, columns = _margins(cells)
-    totals = item_totals(cells)
-    drawn = cells.select("p", "i").join(totals, "i").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    nth = F.row_number().over(Window.partitionBy("rep", "i").orderBy(order_key(seed, F.col("rep"), F.col("i"), F.col("p")), "p"))
-    g = drawn.select("rep", "p", (nth <= F.col("l")).cast("long").alias("c")).groupBy("rep", "p").agg(F.sum("c").alias("g"))
+    totals = cells.groupBy("i").agg(F.sum("c").cast("long").alias("l"), F.count(F.lit(1)).alias("n"))
+    most = totals.agg(F.max("n")).first()[0] or 0
+    drawn = cells.select("p", "i").join(totals.drop("n"), "i").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    placed = shuffled(drawn, ["rep", "i"], order_key(seed, F.col("rep"), F.col("i"), F.col("p")), "p", most)
+    g = placed.select("rep", "p", (F.col("nth") <= F.col("l")).cast("long").alias("c")).groupBy("rep", "p").agg(F.sum("c").alias("g"))
     c = F.col
     by_rep = g.groupBy("rep").agg(
         F.count(F.lit(1)).alias("k"), F.sum("g").alias("sum_g"), F.sum(c("g") * c("g")).alias("squares_g"), F.max("g").alias("most"), F.min("g").alias("least")
@@ -74,6 +102,7 @@ def upper_p(observed: Column, null: Column) -> Column:
 
 def spread_test(cells: DataFrame, reps: int = 1000, seed: int = fixed.SEED_PERMUTATION) -> DataFrame:
     """One row: Q, deviation and range of the accuracies against their permutation null."""
+    cells = written(cells.select("p", "i", "c"), "cells")
     rows, columns = _margins(cells)
     c = F.col
     limits = cells.groupBy("p").agg(F.sum("c").cast("long").alias("g")).agg(F.max("g").alias("most"), F.min("g").alias("least"))
@@ -122,16 +151,21 @@ def split_half_reliability(cells: DataFrame, reps: int = 200, seed: int = fixed.
 
 
 def ranked(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
-    """The rows with twice their average rank (a whole number; equals share one) within ``by``. Only distinct values are ordered."""
+    """The rows with twice their average rank (a whole number; equals share one) within ``by``. Only distinct values are ordered.
+
+    ``df`` is read twice: pass a stored table.
+    """
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.select(*by, value, (2 * F.sum("__n").over(w) - F.col("__n") + 1).cast("long").alias(out))
-    return df.join(ranks, [*by, value])
+    ranks = running(counts, by, value, "__n", "__upto").select(*by, value, (2 * F.col("__upto") - F.col("__n") + 1).cast("long").alias(out))
+    ranks = written(ranks, "ranks")
+    few = ranks.limit(BROADCAST_RANKS + 1).count() <= BROADCAST_RANKS
+    return df.join(F.broadcast(ranks) if few else ranks, [*by, value])
 
 
 def rank_pairs(long: DataFrame) -> DataFrame:
-    """(p, ord, name, x, y) with doubled ranks rx and ry in each feature."""
-    return ranked(ranked(long, "x", ["name"], "rx"), "y", ["name"], "ry")
+    """(p, ord, name, x, y) with doubled ranks rx and ry in each feature, stored."""
+    long = written(long, "features")
+    return written(ranked(ranked(long, "x", ["name"], "rx"), "y", ["name"], "ry"), "feature-ranks")
 
 
 def _whole(x: Column) -> Column:
@@ -159,13 +193,18 @@ def spearman_permutation_p(pairs: DataFrame, reps: int = 2000, seed: int = fixed
     Ranks don't change under permutation, so only the sum of their products is taken again, in whole
     numbers, from one shuffle of the wordings a repetition that all features share.
     """
-    own = spearman(pairs)
-    first = pairs.groupBy("p").agg(F.min_by("ry", "ord").alias("ry"))
-    drawn = first.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    by_rep = Window.partitionBy("rep")
-    placed = drawn.select("rep", "p", "ry", F.row_number().over(by_rep.orderBy(order_key(seed, F.col("rep"), F.col("p")), "p")).alias("nth"), F.row_number().over(by_rep.orderBy("p")).alias("at"))
-    shuffled = placed.select("rep", "p", F.col("at").alias("k")).join(placed.select("rep", F.col("nth").alias("k"), F.col("ry").alias("other")), ["rep", "k"])
-    products = pairs.select("p", "ord", "rx").join(shuffled, "p").groupBy("rep", "ord").agg(F.sum(F.col("rx") * F.col("other")).alias("xy"))
+    own = written(spearman(pairs), "correlations")  # a row a feature
+    orders = sorted(r[0] for r in own.select("ord").collect())
+    rx = [F.max(F.when(F.col("ord") == k, F.col("rx"))).alias(f"rx{k}") for k in orders]
+    wide = running(pairs.groupBy("p").agg(F.min_by("ry", "ord").alias("ry"), *rx).withColumn("one", F.lit(1)), [], "p", "one", "at")
+    wide = written(wide, "ranks-by-wording")
+    drawn = wide.select("p", "ry").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    placed = shuffled(drawn, ["rep"], order_key(seed, F.col("rep"), F.col("p")), "p", wide.count())
+    # The accuracy drawn as k-th goes to the k-th wording by id.
+    moved = placed.select("rep", F.col("nth").alias("at"), F.col("ry").alias("other")).join(wide.drop("p", "ry", "one"), "at")
+    sums = moved.groupBy("rep").agg(*(F.sum(F.col(f"rx{k}") * F.col("other")).alias(f"xy{k}") for k in orders))
+    cells = F.array(*(F.struct(F.lit(k).alias("ord"), F.col(f"xy{k}").alias("xy")) for k in orders)) if orders else F.expr("array(named_struct('ord', 0, 'xy', 0L))")
+    products = sums.select("rep", F.inline(cells))
     c = F.col
     hits = products.join(F.broadcast(own), "ord").groupBy("ord", "name").agg(
         F.max("rho").alias("rho"), F.count_if(F.abs(_covariance(c("n"), c("xy"), c("sx"), c("sy"))) >= F.abs(c("cov"))).alias("hits")
@@ -189,8 +228,9 @@ def feature_table(long: DataFrame, reps: int = 2000, seed: int = fixed.SEED_SPEA
 
     A constant feature is a test with p = 1; with constant accuracies nothing is a test.
     """
-    tested = spearman_permutation_p(rank_pairs(long), reps, seed)
-    kinds = long.groupBy("name").agg(
+    pairs = rank_pairs(long)
+    tested = spearman_permutation_p(pairs, reps, seed)
+    kinds = pairs.groupBy("name").agg(
         F.count_distinct("x").alias("values"), F.min("y").alias("low"), F.max("y").alias("high"),
         F.when(F.bool_and(F.col("x").isin(0.0, 1.0)), F.avg("x")).alias("share_with_feature"),
     )

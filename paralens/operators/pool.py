@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text
 from ..tasks import Task
 from .inference import order_key
+from .ordered import numbered
+
+#: Items of a task, which are written out in the plan of its work list.
+MOST_ITEMS = 1000
 
 
 def candidate_rows(replies: DataFrame, reply: str = "reply", order: str = "ord") -> DataFrame:
@@ -43,9 +47,9 @@ def extended(pool: DataFrame, candidates: DataFrame, source: str = "generated")
     """The pool (id, style, text, source) and behind it the valid candidates (ord, style, text) that are new to it, numbered on in order."""
     known = pool.select(text.normalised(F.col("text")).alias("norm"))
     fresh = first_of_each(candidates).join(known, "norm", "left_anti")
-    last = pool.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("last"))
-    nth = F.row_number().over(Window.orderBy("ord"))  # a pool of wordings is small
-    added = fresh.join(F.broadcast(last)).select((F.col("last") + nth).cast("long").alias("id"), "style", "text", F.lit(source).alias("source"))
+    last = pool.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("last")).first()[0]
+    nth = F.col("__nth") + F.lit(last)
+    added = numbered(fresh, ["ord"], "__nth").select(nth.cast("long").alias("id"), "style", "text", F.lit(source).alias("source"))
     return pool.select("id", "style", "text", "source").unionByName(added)
 
 
@@ -84,7 +88,16 @@ def work_list(pool: DataFrame, items: DataFrame, done: DataFrame, limit: int | N
     """
     wordings = pool.orderBy("id").limit(first) if first is not None else pool
     asked = done.where("e IS NULL OR r IS NOT NULL") if retry_failed else done
-    every = wordings.select(F.col("id").alias("p"), "text").join(F.broadcast(items.select(F.col("key").alias("i"), "slots", "ord")))  # a few dozen items
-    left = every.join(asked.select("p", "i").distinct(), ["p", "i"], "left_anti")
-    out = left.select("p", "i", text.rendered(F.col("text"), F.col("slots")).alias("prompt"), order_key(seed, F.col("p")).alias("turn"), "ord")
+    listed = items.select("key", "slots", "ord").limit(MOST_ITEMS + 1).collect()
+    if len(listed) > MOST_ITEMS:
+        raise ValueError(f"a task has at most {MOST_ITEMS} items")
+    every = F.array(*(
+        F.struct(F.lit(x["key"]).alias("i"), F.lit(x["ord"]).alias("ord"), F.create_map(*(F.lit(v) for pair in sorted(x["slots"].items()) for v in pair)).alias("slots")) for x in listed
+    ))
+    # Keys before texts: a wording meets the set of its own answered items, at most one entry an item, and is copied only for what is left.
+    answered = asked.where(F.col("i").isin([x["key"] for x in listed])).groupBy("p").agg(F.collect_set("i").alias("__had"))
+    open_ = wordings.select(F.col("id").alias("p"), text.cut(F.col("text"), strict=True).alias("parts"), order_key(seed, F.col("id")).alias("turn")).join(answered, "p", "left")
+    missing = F.filter(every, lambda x: ~F.coalesce(F.array_contains("__had", x["i"]), F.lit(False)))
+    left = open_.select("p", "parts", "turn", F.explode(missing).alias("x"))
+    out = left.select("p", F.col("x.i").alias("i"), text.filled(F.col("parts"), F.col("x.slots"), strict=True).alias("prompt"), "turn", F.col("x.ord").alias("ord"))
     return out.orderBy("turn", "p", "ord").limit(limit) if limit is not None else out

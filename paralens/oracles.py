@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions import fixed
-from .queries import HOURS, REPS
+from .queries import DONE, HOURS, PERMUTATIONS, SHUFFLES, SPLITS
 from .sources.tables import RESPONSES, TEMPLATES
 from .tasks import get
 
@@ -56,7 +56,7 @@ Q = "CASE WHEN k >= 2 AND k * sum_l <> squares_l THEN (k - 1) * (k * squares_g -
 
 def null_distribution(cells: str) -> str:
     return f"""{cochran(cells)}, drawn AS (
-    SELECT rep, p, i, l FROM {cells} JOIN (SELECT i, sum(c) AS l FROM {cells} GROUP BY i) USING (i), (SELECT unnest(range(0, {REPS}))::INT AS rep)
+    SELECT rep, p, i, l FROM {cells} JOIN (SELECT i, sum(c) AS l FROM {cells} GROUP BY i) USING (i), (SELECT unnest(range(0, {PERMUTATIONS}))::INT AS rep)
 ), chosen AS (
     SELECT rep, p, (row_number() OVER (PARTITION BY rep, i ORDER BY md5(concat_ws('|', '{fixed.SEED_PERMUTATION}', rep, i, p)), p) <= l)::INT AS c FROM drawn
 ), sums AS (
@@ -73,7 +73,7 @@ def null_distribution(cells: str) -> str:
 def halves(cells: str) -> str:
     return f"""drawn AS (
     SELECT rep, i, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws('|', '{fixed.SEED_SPLIT}', rep, i)), i) AS nth, count(*) OVER (PARTITION BY rep) // 2 AS size
-    FROM (SELECT DISTINCT i FROM {cells}), (SELECT unnest(range(0, {REPS}))::INT AS rep)
+    FROM (SELECT DISTINCT i FROM {cells}), (SELECT unnest(range(0, {SPLITS}))::INT AS rep)
 ), scored AS (
     SELECT rep, p, sum(CASE WHEN nth <= size THEN c ELSE 0 END)::BIGINT AS a, sum(CASE WHEN nth > size AND nth <= 2 * size THEN c ELSE 0 END)::BIGINT AS b
     FROM {cells} JOIN drawn USING (i) GROUP BY rep, p
@@ -123,14 +123,14 @@ TESTED = f"""{RANKED}, base AS (
     SELECT p, ry FROM pairs WHERE name = 'chars'
 ), shuffled AS (
     SELECT rep, p, ry, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws('|', '{fixed.SEED_SPEARMAN}', rep, p)), p) AS nth, row_number() OVER (PARTITION BY rep ORDER BY p) AS k
-    FROM base, (SELECT unnest(range(0, {REPS}))::INT AS rep)
+    FROM base, (SELECT unnest(range(0, {SHUFFLES}))::INT AS rep)
 ), moved AS (
     SELECT a.rep, a.p, b.ry AS other FROM shuffled a JOIN shuffled b ON a.rep = b.rep AND a.k = b.nth
 ), products AS (
     SELECT rep, name, sum(rx * other) AS xy FROM pairs JOIN moved USING (p) GROUP BY rep, name
 ), tested AS (
     SELECT name, any_value(ord) AS ord, any_value(rho) AS rho,
-           CASE WHEN any_value(rho) IS NOT NULL THEN (count(*) FILTER (abs(n * products.xy - sx * sy) >= abs(cov)) + 1) / {REPS + 1}::DOUBLE END AS p
+           CASE WHEN any_value(rho) IS NOT NULL THEN (count(*) FILTER (abs(n * products.xy - sx * sy) >= abs(cov)) + 1) / {SHUFFLES + 1}::DOUBLE END AS p
     FROM products JOIN rhos USING (name) GROUP BY name
 )"""
 NORM = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9{{}} ]+', ' ', 'g'), ' +', ' ', 'g'))"
@@ -241,7 +241,7 @@ SELECT k AS call, style, axis FROM (SELECT unnest(range(0, 200)) AS k) JOIN comb
     "work_list": f"""WITH t AS (SELECT {TEMPLATES} FROM documents), items AS (SELECT * FROM (VALUES {MULT_VALUES}) AS v(ord, a, b)),
 every AS (SELECT p, concat('mult-', a, 'x', b) AS i, concat('What is ', a, ' times ', b, '? ', text) AS raw, a, b, ord FROM t, items)
 SELECT p, i, replace(replace(raw, '{{a}}', a::VARCHAR), '{{b}}', b::VARCHAR) AS prompt, md5(concat_ws('|', '{fixed.SEED_ORDER}', p)) AS turn, ord FROM every
-WHERE NOT (i = 'mult-79x92' AND p IN (SELECT doc_id FROM labels))""",
+WHERE NOT EXISTS (FROM labels WHERE doc_id = p AND i = {list(DONE)}[doc_id % {len(DONE)} + 1])""",
     "render_prompt": f"WITH t AS (SELECT {TEMPLATES} FROM documents) SELECT p, replace(replace(text, '{{a}}', p::VARCHAR), '{{b}}', '{{a}}') AS prompt FROM t",
     "repeat_agreement": f"WITH {PAIRS} SELECT count(*) AS n, count(*) FILTER (first = second) AS identical, count(e) AS failed, round(count(*) FILTER (first = second) / nullif(count(*), 0)::DOUBLE, 9) AS rate FROM pairs",
     "repeat_disagreements": f"WITH {PAIRS} SELECT p, i, substr(first, 1, 160) AS first, substr(second, 1, 160) AS second FROM pairs WHERE e IS NULL AND first <> second ORDER BY p, i LIMIT 12",

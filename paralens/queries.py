@@ -14,8 +14,10 @@ from .operators import accounting, describe, equivalence, inference, pool
 from .sources import responses as logs
 from .sources.tables import dense_cells, responses, sparse_cells, table, templates
 
-REPS = 50
+PERMUTATIONS, SPLITS, SHUFFLES = 1000, 200, 2000
 HOURS = 24
+#: Items that the stand-in log of work_list has answers to, one a wording.
+DONE = tuple(x.key for x in tasks.get("mult").items[::5])
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,8 +47,8 @@ def _accuracies(spark: SparkSession, d: str) -> DataFrame:
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
     """(p, ord, name, x, y): features of templates, and as accuracies the share of items that labels and lengths make up."""
-    y = table(spark, d, "documents").select(F.col("doc_id").alias("p"), (F.col("n_chars") % 25 / F.lit(24.0)).alias("y"))
-    return feature_columns.long_features(templates(spark, d)).join(y, "p")
+    rows = templates(spark, d, "n_chars % 25 / 24.0D AS y")
+    return feature_columns.long_features(rows, "p", others=("y",))
 
 
 def _replies(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +108,7 @@ def describe_parsed(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def describe_groups(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(describe.describe(table(spark, d, "orders"), "o_totalprice", ["o_orderpriority"]), 4)
+    return _rounded(describe.describe_continuous(table(spark, d, "orders"), "o_totalprice", ["o_orderpriority"]), 4)
 
 
 @query
@@ -146,22 +148,22 @@ def cochran_q_sparse(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def permutation_null(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(inference.permutation_null(dense_cells(spark, d), REPS))
+    return _rounded(inference.permutation_null(dense_cells(spark, d), PERMUTATIONS))
 
 
 @query
 def spread_test(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(inference.spread_test(inference.complete(sparse_cells(spark, d), HOURS), REPS))
+    return _rounded(inference.spread_test(inference.complete(sparse_cells(spark, d), HOURS), PERMUTATIONS))
 
 
 @query
 def split_half(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(inference.split_halves(dense_cells(spark, d), REPS))
+    return _rounded(inference.split_halves(dense_cells(spark, d), SPLITS))
 
 
 @query
 def split_half_reliability(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(inference.split_half_reliability(inference.complete(sparse_cells(spark, d), HOURS), REPS))
+    return _rounded(inference.split_half_reliability(inference.complete(sparse_cells(spark, d), HOURS), SPLITS))
 
 
 @query
@@ -176,12 +178,12 @@ def feature_spearman(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def spearman_perm_p(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(inference.spearman_permutation_p(inference.rank_pairs(_features(spark, d)), REPS).select("name", "rho", "p"))
+    return _rounded(inference.spearman_permutation_p(inference.rank_pairs(_features(spark, d)), SHUFFLES).select("name", "rho", "p"))
 
 
 @query
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(inference.feature_table(_features(spark, d), REPS))
+    return _rounded(inference.feature_table(_features(spark, d), SHUFFLES))
 
 
 @query
@@ -265,7 +267,7 @@ def equivalence_filter(spark: SparkSession, d: str) -> DataFrame:
 def work_list(spark: SparkSession, d: str) -> DataFrame:
     wordings = templates(spark, d).select(F.col("p").alias("id"), F.concat(F.lit("What is {a} times {b}? "), "text").alias("text"))
     items = tasks.items(spark, tasks.get("mult"))
-    done = table(spark, d, "labels").select(F.col("doc_id").alias("p"), F.lit("mult-79x92").alias("i"), F.lit("x").alias("r"), F.lit(None).cast("string").alias("e"))
+    done = table(spark, d, "labels").select(F.col("doc_id").alias("p"), F.element_at(F.array(*map(F.lit, DONE)), (F.col("doc_id") % len(DONE) + 1).cast("int")).alias("i"), F.lit("x").alias("r"), F.lit(None).cast("string").alias("e"))
     return pool.work_list(wordings, items, done).select("p", "i", "prompt", "turn", "ord")
 
 
@@ -312,8 +314,6 @@ def entail_items(spark: SparkSession, d: str) -> DataFrame:
 @query
 def analysis_summary(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: grade, account, keep usable wordings, describe."""
-    rows = _graded(spark, d)
-    kept = rows.join(accounting.usable(rows, 20).where("failed * 3 < attempts").select("p"), "p", "left_semi")
-    accounts = accounting.by_wording(kept)
-    parts = [describe.describe(accounts, f"{k}_accuracy").select(F.lit(k).alias("measure"), "*") for k in ("strict", "parsed", "lenient")]
-    return _rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    accounts = _accounts(spark, d).where("attempts >= 20 AND error * 3 < attempts")
+    measured = describe.describe_each(accounts, ["strict_accuracy", "parsed_accuracy", "lenient_accuracy"])
+    return _rounded(measured.withColumn("measure", F.replace("measure", F.lit("_accuracy"), F.lit(""))))

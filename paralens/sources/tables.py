@@ -27,8 +27,8 @@ def responses(spark: SparkSession, directory: str) -> DataFrame:
     return table(spark, directory, "lineitem").selectExpr(*_columns(RESPONSES))
 
 
-def templates(spark: SparkSession, directory: str) -> DataFrame:
-    return table(spark, directory, "documents").selectExpr(*_columns(TEMPLATES))
+def templates(spark: SparkSession, directory: str, *others: str) -> DataFrame:
+    return table(spark, directory, "documents").selectExpr(*_columns(TEMPLATES), *others)
 
 
 def dense_cells(spark: SparkSession, directory: str) -> DataFrame:

@@ -1,8 +1,10 @@
+from itertools import accumulate
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paralens.operators import accounting, describe, inference
+from paralens.operators import accounting, describe, inference, ordered
 
 
 def cells(spark, matrix):
@@ -93,3 +95,30 @@ def test_canonical_without_a_grade_is_null(spark):
     df = spark.createDataFrame([(3, 0.5), (1, 0.7)], "p long, strict_accuracy double")
     r = accounting.canonical_rank(df, df).first()
     assert r.canonical_accuracy is None and r.canonical_percentile is None
+
+
+def test_places_across_ranges(spark):
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 AS x", "id % 3 AS g")
+    rows = ordered.numbered(df, ["x"], "nth").collect()
+    assert all(r.nth == r.x + 1 for r in rows) and len(rows) == 1000
+    sums = {(r.g, r.x): r.upto for r in ordered.running(df, ["g"], "x", "x", "upto").collect()}
+    for g in range(3):
+        xs = sorted(x for h, x in sums if h == g)
+        assert [sums[g, x] for x in xs] == list(accumulate(xs))
+
+
+def test_random_orders_in_cells_are_the_same(spark, monkeypatch):
+    df = spark.range(300).selectExpr("id AS p", "id % 2 AS g")
+    digest = inference.order_key(1, F.col("p"))
+    plain = {(r.p, r.nth) for r in inference.shuffled(df, ["g"], digest, "p", 150).collect()}
+    monkeypatch.setattr(inference, "WINDOW_ROWS", 5)
+    assert plain == {(r.p, r.nth) for r in inference.shuffled(df, ["g"], digest, "p", 150).collect()}
+
+
+def test_order_statistics_of_continuous_columns(spark):
+    df = spark.createDataFrame([("a", float(x)) for x in (4, 1, 3, 2, 2)] + [(None, 7.0), ("b", None)], "g string, x double")
+    few, many = ({r.g: r for r in f(df, "x", ["g"]).collect()} for f in (describe.describe, describe.describe_continuous))
+    assert few == many and many[None].median == 7.0 and many["b"].n == 0 and many["a"].p25 == 2.0
+    assert describe.describe(df, "x").first() == describe.describe_continuous(df, "x").first()
+    empty = describe.describe_continuous(df.where("g = 'z'"), "x").first()
+    assert empty.n == 0 and empty.median is None

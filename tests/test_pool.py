@@ -39,6 +39,14 @@ def test_rendering_is_one_pass(spark):
     assert [r[0] for r in df.select(text.rendered(F.col("t"), F.col("s"))).collect()] == ["x {b} y 2{b} {no}", "plain", ""]
 
 
+@pytest.mark.parametrize("wording", ["x {c} {a}", "x } {a}", "{ {a}"])
+def test_strict_rendering_raises(spark, wording):
+    df = spark.createDataFrame([(wording, {"a": "1"})], "t string, s map<string,string>")
+    assert df.select(text.rendered(F.col("t"), F.col("s"))).count() == 1
+    with pytest.raises(Exception, match="no value|single brace"):
+        df.select(text.rendered(F.col("t"), F.col("s"), strict=True)).collect()
+
+
 def test_first_of_equal_wordings_stays(spark):
     df = spark.createDataFrame([(2, "multiply  {a} by {b}!"), (1, "Multiply {a} by {b}."), (3, "Other {a} {b}")], "ord long, text string")
     rows = {r["text"]: r["copies"] for r in pool.first_of_each(df).collect()}
