@@ -26,6 +26,12 @@ def with_answers(responses: DataFrame, items: DataFrame) -> DataFrame:
     return joined.withColumn("answer", checked)
 
 
+def latest(responses: DataFrame, order: str = "at") -> DataFrame:
+    """The last record by ``order`` of each call (p, i): a retry replaces what failed before it."""
+    rest = [F.col(c) for c in responses.columns if c not in ("p", "i")]
+    return responses.groupBy("p", "i").agg(F.max_by(F.struct(*rest), F.col(order)).alias("__last")).select("p", "i", "__last.*")
+
+
 def _share(part: Column, whole: Column) -> Column:
     """Null, which is not zero, where nothing could be measured."""
     return F.try_divide(part.cast("double"), whole.cast("double"))

@@ -42,11 +42,13 @@ class Analysis:
 
 
 def analyse(responses: DataFrame, items: DataFrame, pool: DataFrame, kind: str, n_items: int, equivalent: DataFrame | None = None, permutations: int = 1000, splits: int = 200, reps: int = 2000) -> Analysis:
-    """``responses`` (p, i, r), ``items`` (key, answer), ``pool`` (id, text) and, where a check was made, ``equivalent`` (p).
+    """``responses`` (p, i, r and, if calls were repeated, at), ``items`` (key, answer), ``pool`` (id, text) and, where a check was made, ``equivalent`` (p).
 
-    Wordings count if every item has a response and no call failed. The equivalence filter comes
+    The last record of a call counts. Wordings count if every item has a response and no call failed. The equivalence filter comes
     after that; the canonical accuracy is looked up before it.
     """
+    if "at" in responses.columns:
+        responses = accounting.latest(responses).drop("at")
     rows = accounting.graded(accounting.with_answers(responses, items), kind)
     usable = accounting.usable(rows, n_items)
     kept = rows.join(usable.where("kept").select("p"), "p", "left_semi")
@@ -55,8 +57,7 @@ def analyse(responses: DataFrame, items: DataFrame, pool: DataFrame, kind: str,
     whole = equivalence.only_equivalent(everyone, equivalent)
     matrix = equivalence.only_equivalent(inference.complete(cells, n_items), equivalent).cache()
     wordings = pool.select(F.col("id").alias("p"), "text")
-    long = long_features(whole.select("p", F.col("strict_accuracy").alias("y")).join(wordings, "p").select("p", "text"), "p")
-    scored = long.join(whole.select("p", F.col("strict_accuracy").alias("y")), "p")
+    scored = long_features(whole.select("p", F.col("strict_accuracy").alias("y")).join(wordings, "p"), "p", others=("y",))
     return Analysis(
         per_wording=whole, accounting=accounting.totals(whole), unfiltered=describe.describe(everyone, "strict_accuracy"), strict=describe.describe(whole, "strict_accuracy"),
         parsed_only=describe.describe(whole, "parsed_accuracy"), lenient=describe.describe(whole, "lenient_accuracy"),

@@ -11,6 +11,8 @@ STRING, LONG, INT, DOUBLE = T.StringType(), T.LongType(), T.IntegerType(), T.Dou
 
 #: The append-only log: wording p, item i, response r (null: the call failed), tokens n, milliseconds ms, error e.
 RESPONSE = _struct(p=LONG, i=STRING, r=STRING, n=LONG, ms=LONG, e=STRING)
+#: The same with ``at``, the microsecond of the append: of several records of a call the last counts.
+LOG = T.StructType([*RESPONSE, T.StructField("at", LONG)])
 ITEM = _struct(task=STRING, ord=INT, key=STRING, slots=T.MapType(STRING, STRING), answer=STRING)
 WORDING = _struct(id=LONG, style=STRING, text=STRING, source=STRING)
 POOL = _struct(

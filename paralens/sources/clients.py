@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 
 from ..schemas import RESPONSE
 
+#: The server's request fields and options.
+FIELDS = {"stream": False, "keep_alive": "10m", "think": False}
 OPTIONS = {"temperature": 0.0, "top_p": 1.0, "seed": 20260803, "num_predict": 200}
 
 
@@ -35,7 +37,7 @@ class HttpClient:
     headers: dict[str, str] = field(default_factory=dict)
 
     def ask(self, prompt: str) -> tuple[str, int | None]:
-        body = json.dumps({"model": self.model, "prompt": prompt, "stream": False, "options": self.options}).encode()
+        body = json.dumps({"model": self.model, "prompt": prompt, "options": self.options, **FIELDS}).encode()
         request = urllib.request.Request(self.url, data=body, headers={"Content-Type": "application/json", **self.headers})
         with urllib.request.urlopen(request, timeout=self.timeout) as reply:
             found = json.load(reply)
@@ -50,6 +52,33 @@ class HttpClient:
             pass
 
 
+@dataclass
+class GeneratorClient:
+    """Posts to a generator of the ``generateContent`` kind, whose replies come in parts. Made without a key it raises: nothing else needs one."""
+
+    url: str
+    model: str
+    temperature: float = 1.0
+    max_tokens: int = 4096
+    key: str = field(default="", repr=False)
+    timeout: float = 180.0
+
+    def __post_init__(self) -> None:
+        if not self.key:
+            raise ValueError("the generator needs a key; analysing what has been collected does not")
+
+    def ask(self, prompt: str) -> tuple[str, int | None]:
+        body = {"contents": [{"parts": [{"text": prompt}]}], "generationConfig": {"temperature": self.temperature, "maxOutputTokens": self.max_tokens}}
+        request = urllib.request.Request(f"{self.url}/{self.model}:generateContent?key={self.key}", data=json.dumps(body).encode(), headers={"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+            found = json.load(reply)
+        return "".join(part.get("text", "") for part in _at(found, ("candidates", 0, "content", "parts"))), None
+
+    def delay(self, attempt: int) -> float:
+        """Seconds before the next attempt: 1, 2, 4, ..."""
+        return float(1 << (attempt - 1))
+
+
 _REQUIRED = object()
 
 
@@ -75,13 +104,14 @@ class Replay:
 def ask_patiently(client: Any, prompt: str, retries: int = 3, pause: float = 1.5, wait: Callable[[float], None] = time.sleep) -> tuple[str | None, int | None, str | None]:
     """(text, tokens, None), or (None, None, error) once every attempt has failed: a failed call is never an empty answer."""
     error = "no attempt"
+    delay = getattr(client, "delay", lambda attempt: pause * attempt)
     for attempt in range(1, retries + 1):
         try:
             return (*client.ask(prompt), None)
         except Exception as e:
             error = f"{type(e).__name__}: {e}"
             if attempt < retries:
-                wait(pause * attempt)
+                wait(delay(attempt))
     return None, None, error
 
 

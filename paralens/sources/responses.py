@@ -29,14 +29,15 @@ def log_glob(directory: str, task: str, model: str) -> str:
 
 
 def read_log(spark: SparkSession, directory: str, task: str, model: str) -> DataFrame:
-    """All responses of a run with their ``file``; none if there is no log yet."""
+    """All responses of a run with their ``file`` and ``at``, their place in the log: by file name, then line; none if there is no log yet."""
+    place = F.struct(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
     try:
-        rows = spark.read.schema(schemas.RESPONSE).json(log_glob(directory, task, model))
+        rows = spark.read.schema(schemas.RESPONSE).json(log_glob(directory, task, model)).select("*", place.alias("at"))
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
             raise
-        rows = spark.createDataFrame([], schemas.RESPONSE)
-    return rows.where("p IS NOT NULL").withColumn("file", F.input_file_name())
+        rows = spark.createDataFrame([], schemas.RESPONSE).select("*", F.expr("named_struct('file', '', 'start', 0L, 'line', 0L)").alias("at"))
+    return rows.where("p IS NOT NULL").withColumn("file", F.col("at.file"))
 
 
 def done_keys(log: DataFrame) -> DataFrame:
@@ -54,6 +55,11 @@ def runs(names: DataFrame, metas: DataFrame) -> DataFrame:
     """(task, model) of every run that has a log, by task and model; the slug stands for a model without a description."""
     stem = F.regexp_extract("name", r"^(.+)__[^_]*\.jsonl\z", 1)
     found = names.select(F.split(stem, "__", 2)[0].alias("task"), F.expr(r"regexp_extract(name, '^.+?__(.+)__[^_]*[.]jsonl$', 1)").alias("slug")).where("slug <> ''").distinct()
+    return named(found, metas)
+
+
+def named(found: DataFrame, metas: DataFrame) -> DataFrame:
+    """(task, model, slug) of runs (task, slug), the model's name taken from run descriptions where there are any."""
     known = metas.select("task", "model", F.translate("model", ":/", "--").alias("slug")).groupBy("task", "slug").agg(F.min("model").alias("model"))
     return found.join(known, ["task", "slug"], "left").select("task", F.coalesce("model", "slug").alias("model"), "slug").orderBy("task", "model")
 

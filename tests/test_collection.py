@@ -1,10 +1,11 @@
+import argparse
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from paralens import cli, report, schemas, tasks
-from paralens.operators import pool
+from paralens.operators import accounting, pool
 from paralens.plans.analysis import analyse
 from paralens.sources import clients, responses, sinks
 from paralens.streaming.accounting import log_stream, running_accounts
@@ -121,3 +122,88 @@ def test_command_line_defaults():
     args = cli.parser().parse_args(["run", "--task", "mult", "--model", "m"])
     assert args.call is cli.run and args.limit is None and args.workers == 6
     assert cli.parser().parse_args(["analyze"]).permutations == 1000
+
+
+def test_last_record_of_a_call_counts(spark):
+    rows = spark.createDataFrame([(1, "a", None, 1), (1, "a", "5", 2), (1, "b", "6", 1)], "p long, i string, r string, at long")
+    assert {(r.p, r.i, r.r) for r in accounting.latest(rows).collect()} == {(1, "a", "5"), (1, "b", "6")}
+
+
+def test_named_logs_are_in_order(spark, tmp_path):
+    line = lambda r: json.dumps({"p": 1, "i": "x", "r": r, "n": 1, "ms": 5})
+    (tmp_path / "mult__m__000.jsonl").write_text(line("first") + "\n" + line("second") + "\n")
+    (tmp_path / "mult__m__001.jsonl").write_text("\n".join(line(f"later {k}") for k in range(9)))
+    assert [r.r for r in accounting.latest(responses.read_log(spark, str(tmp_path), "mult", "m")).collect()] == ["later 8"]
+
+
+def test_generator_client(monkeypatch):
+    sent = {}
+
+    class Reply:
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+        def read(self, *_):
+            return json.dumps({"candidates": [{"content": {"parts": [{"text": "a"}, {}, {"text": "b"}]}}]})
+
+    monkeypatch.setattr(clients.urllib.request, "urlopen", lambda request, timeout: sent.update(url=request.full_url, body=json.loads(request.data)) or Reply())
+    client = clients.GeneratorClient("http://x/models", "m", key="k")
+    assert client.ask("hello") == ("ab", None) and sent["url"] == "http://x/models/m:generateContent?key=k"
+    assert sent["body"]["contents"][0]["parts"][0]["text"] == "hello" and [client.delay(k) for k in (1, 2, 3)] == [1.0, 2.0, 4.0]
+    with pytest.raises(ValueError):
+        clients.GeneratorClient("http://x", "m")
+
+
+def test_commands_from_end_to_end(spark, tmp_path, monkeypatch):
+    """All five commands with answers replayed; one call fails first and is right when retried."""
+    task = tasks.get("mult")
+    marks = str(tmp_path / "marks")
+
+    class Model:
+        def ask(self, prompt):
+            import os
+            import re
+
+            a, b = map(int, re.findall(r"[0-9]+", prompt)[:2])
+            if (a, b) == (79, 92) and not os.path.exists(marks):
+                raise OSError("down")
+            return str(a * b + ("Please" in prompt)), 3
+
+    class Generator:
+        def ask(self, prompt):
+            if prompt.startswith("Rewrite"):
+                return "1. Multiply {a} by {b} and say the plain integer only.\n2. Please work out {a} times {b} now, plain integer.\n3. Multiply {a}!", None
+            head, _, rest = prompt.partition("\n")
+            return ("DIFFERENT; no" if "Please" in rest else "EQUIVALENT; same") if "EQUIVALENT" in head else rest, None
+
+    monkeypatch.setattr(cli, "_client", lambda args: Model)
+    monkeypatch.setattr(cli, "_generator", lambda args, temperature: Generator)
+    patient = clients.ask_patiently
+    monkeypatch.setattr(clients, "ask_patiently", lambda client, prompt, retries, pause: patient(client, prompt, 1, 0))
+
+    def call(*argv):
+        args = cli.parser().parse_args(["--results", str(tmp_path), *argv])
+        args.call(spark, args)
+
+    call("paraphrase", "--task", "mult", "--model", "g", "--calls", "2", "--workers", "2")
+    made = json.loads((tmp_path / "paraphrases_mult.json").read_text())
+    assert [w["id"] for w in made["paraphrases"]] == [0, 1, 2] and made["raw_candidates"] == 6 and len(made["rejected"]) == 2 and made["duplicates_dropped"] == 2
+    call("equiv", "--task", "mult", "--model", "g", "--backtranslate", "2")
+    assert json.loads((tmp_path / "equivalence_mult.json").read_text())["equivalent_ids"] == [0, 1]
+    call("run", "--task", "mult", "--model", "m:1", "--limit", "30")
+    call("run", "--task", "mult", "--model", "m:1")
+    log = cli._log(spark, argparse.Namespace(results=str(tmp_path)))
+    assert log.count() == 72 and log.where("r IS NULL").count() == 3
+    (tmp_path / "marks").touch()
+    call("run", "--task", "mult", "--model", "m:1", "--retry-failed")
+    assert cli._log(spark, argparse.Namespace(results=str(tmp_path))).count() == 75
+    call("repeat", "--task", "mult", "--model", "m:1", "--sample", "10")
+    told = json.loads((tmp_path / "repeat_mult__m-1.json").read_text())
+    assert (told["n"], told["identical"]) == (10, 10)
+    call("analyze", "--permutations", "20", "--splits", "10")
+    (one,) = json.loads((tmp_path / "analysis.json").read_text())["runs"]
+    assert one["model"] == "m:1" and one["unfiltered"]["n"] == 3 and one["strict"]["n"] == 2 and one["strict"]["mean"] == 1.0 and one["paraphrases_dropped_for_failed_calls"] == 0
+    assert "m:1" in (tmp_path / "index.html").read_text() and task.name in (tmp_path / "index.html").read_text()
