@@ -1,23 +1,25 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 ``build_index`` turns the training texts into segments of a few megabytes. A segment is one row: its
-documents, its terms in order, and for every term the sorted word positions at which it occurs.
+documents, its terms with their bytes, and for every term the sorted word positions at which it occurs.
 Segments are partitioned by document, so no posting ever moves, a term that every document holds
-costs no more than its own positions, and a lost executor only rebuilds segments. The stored table is then
-searched for windows of the test items: in every segment a window starts from its rarest term's
-list, and the lists of its other terms, rarest first, are intersected after subtracting their
-offsets in the window. Test items are a stated query set and are sent to the segments in blocks of
-bounded size.
-
-Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lowering A-Z. Null texts have none; items with a
-null id or no words match nothing; repeated documents are matched one by one; rows of one item id count as
-one item; empty tables give empty or clean results. Only id and text columns are read.
+costs no more than its own positions, and a lost executor only rebuilds segments. The stored index holds every
+word and serves any benchmark. It is searched for windows of the test items: in every segment a window
+starts from its rarest term's list, and the lists of its other terms, rarest first, are intersected
+after subtracting their offsets in the window. Test items are a stated query set: they are read and sent to the
+segments in blocks of bounded size, each searched and its matches stored before the next is read.
+
+Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lowering A-Z and equal if their bytes are. Null texts have none;
+items with a null id or no words match nothing; repeated documents are matched one by one; rows of one item id count as
+one item; empty tables give empty or clean results. A text longer than a segment is a segment of its own.
+Only id and text columns are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ragged import LOWER, PLAIN_WORD, Hashes, blocks, flat, runs, spread
+from ..store import Table, written
+from .ragged import LOWER, PLAIN_WORD, Hashes, Ranges, blocks, flat, identity, runs, spread
 
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 #: Windows sent to the executors at once, at most 8 bytes a word of them.
 BLOCK_WINDOWS = 200_000
 #: Candidate positions held at once while lists are intersected.
@@ -40,33 +43,42 @@ class Queries:
     """A block of windows over the distinct words of its items."""
 
     items: list  # the id of each item
-    terms: np.ndarray  # hashes of the distinct words, sorted
+    terms: np.ndarray  # hashes of the distinct words
     chars: np.ndarray  # their bytes, one word after another
     ends: np.ndarray
     windows: np.ndarray  # a row a window: indexes into terms, -1 beyond its length
     item: np.ndarray  # which item each window is of
 
 
-def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    lowered = LOWER[data]
-    starts, ends, row = runs(PLAIN_WORD[lowered], offs)
-    return lowered, starts, ends, row, Hashes(lowered).of(starts, ends)
+class Words:
+    """The lowered words of a block of texts: where they stand, which texts they are of, and which are equal."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray):
+        self.lowered = LOWER[data]
+        self.starts, ends, self.row = runs(PLAIN_WORD[self.lowered], offs)
+        self.size = ends - self.starts
+        hashes = Hashes(self.lowered)
+        h = hashes.of(self.starts, ends)
+        self.term, self.first = identity(hashes, h, self.starts, self.size)
+        self.hash = h[self.first]
+
+    def chars(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the distinct words, and where each ends."""
+        size = self.size[self.first]
+        return self.lowered[spread(self.starts[self.first], size)], np.cumsum(size)
 
 
 def query_block(items: list[tuple], size: int) -> Queries:
     """Windows of ``size`` words of (id, text) items; a shorter item is one window."""
-    data, offs = flat(pa.array([t for _, t in items], pa.string()))
-    lowered, starts, ends, row, h = _words(data, offs)
-    terms, first, index = np.unique(h, return_index=True, return_inverse=True)
-    lengths = ends[first] - starts[first]
-    count = np.bincount(row, minlength=len(items))
+    w = Words(*flat(pa.array([t for _, t in items], pa.string())))
+    count = np.bincount(w.row, minlength=len(items))
     word0 = np.cumsum(count) - count
     n = np.where(count == 0, 0, np.maximum(count - size + 1, 1))
     item = np.repeat(np.arange(len(items)), n)
     at = spread(word0, n)[:, None] + np.arange(size)
     inside = np.arange(size) < np.minimum(count, size)[item][:, None]
-    windows = np.where(inside, index[np.minimum(at, max(0, len(index) - 1))] if len(index) else -1, -1)
-    return Queries([i for i, _ in items], terms, lowered[spread(starts[first], lengths)], np.cumsum(lengths), windows.astype(np.int32), item)
+    windows = np.where(inside, w.term[np.minimum(at, max(0, len(w.term) - 1))] if len(w.term) else -1, -1)
+    return Queries([i for i, _ in items], w.hash, *w.chars(), windows.astype(np.int32), item)
 
 
 def query_blocks(items: DataFrame, size: int, id_col: str, text_col: str, limit: int = BLOCK_WINDOWS) -> Iterator[Queries]:
@@ -83,45 +95,27 @@ def query_blocks(items: DataFrame, size: int, id_col: str, text_col: str, limit:
         yield query_block(held, size)
 
 
-def build_index(docs: DataFrame, vocabulary: list[Queries] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a segment. With ``vocabulary``, postings of other words than those are left out and words are compared byte by byte; without, terms are 64-bit hashes."""
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a segment, with the postings of all words."""
     picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    kind = picked.schema[0].dataType
-    schema = T.StructType([
-        T.StructField("segment", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("n_words", T.BinaryType()),
-        T.StructField("terms", T.BinaryType()), T.StructField("ends", T.BinaryType()), T.StructField("positions", T.BinaryType()),
-    ])
+    binary = ("n_words", "terms", "chars", "char_ends", "ends", "positions")
+    schema = T.StructType([T.StructField("segment", T.LongType()), T.StructField("ids", T.ArrayType(picked.schema[0].dataType)), *(T.StructField(c, T.BinaryType()) for c in binary)])
     names = [f.name for f in schema]
-    if vocabulary is not None:
-        terms = np.concatenate([q.terms for q in vocabulary] or [np.zeros(0, np.uint64)])
-        ends = np.concatenate([np.diff(q.ends, prepend=0) for q in vocabulary] or [np.zeros(0, np.int64)])
-        chars = np.concatenate([q.chars for q in vocabulary] or [np.zeros(0, np.uint8)])
-        starts = np.cumsum(ends) - ends
-        _, one = np.unique(terms, return_index=True)
-        known, known_at, known_len = terms[one], starts[one], ends[one]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
         for batch, data, offs in blocks(batches, "__text", SEGMENT_BYTES):
-            lowered, starts, ends, row, h = _words(data, offs)
-            at = np.arange(len(h))
-            if vocabulary is not None:
-                place = np.searchsorted(known, h)
-                hit = np.zeros(len(h), bool)
-                ok = place < len(known)
-                hit[ok] = known[place[ok]] == h[ok]
-                at, place = np.flatnonzero(hit), place[hit]
-                size = (ends - starts)[at]
-                fits = size == known_len[place]
-                at, place, size = at[fits], place[fits], size[fits]
-                if len(at):
-                    alike = lowered[spread(starts[at], size)] == chars[spread(known_at[place], size)]
-                    at = at[np.logical_and.reduceat(alike, np.cumsum(size) - size)]
-            order = np.argsort(h[at], kind="stable")
-            sorted_h = h[at][order]
-            last = np.flatnonzero(np.append(sorted_h[1:] != sorted_h[:-1], np.ones(min(1, len(sorted_h)), bool)))
-            n_words = np.bincount(row, minlength=batch.num_rows).astype(np.int32)
-            arrays = [n_words, sorted_h[last], (last + 1).astype(np.int32), at[order].astype(np.int32)]
+            w = Words(data, offs)
+            # Terms are in the order of their hashes; of equal hashes but other bytes there can be several.
+            order = np.argsort(w.hash, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            term = rank[w.term]
+            size = w.size[w.first][order]
+            arrays = [
+                np.bincount(w.row, minlength=batch.num_rows).astype(np.int32), w.hash[order], w.lowered[spread(w.starts[w.first][order], size)], np.cumsum(size).astype(np.int32),
+                np.cumsum(np.bincount(term, minlength=len(order))).astype(np.int32), np.argsort(term, kind="stable").astype(np.int32),
+            ]
             ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array([number]), ids, *(pa.array([a.tobytes()], pa.binary()) for a in arrays)], names=names)
             number += 1
@@ -132,20 +126,37 @@ def build_index(docs: DataFrame, vocabulary: list[Queries] | None = None, id_col
 class Segment:
     """The postings of one index row."""
 
-    def __init__(self, n_words: bytes, terms: bytes, ends: bytes, positions: bytes):
+    def __init__(self, n_words: bytes, terms: bytes, chars: bytes, char_ends: bytes, ends: bytes, positions: bytes):
         self.n_words = np.frombuffer(n_words, np.int32).astype(np.int64)
         self.word0 = np.cumsum(self.n_words) - self.n_words
         self.terms = np.frombuffer(terms, np.uint64)
+        self.chars = Ranges(np.frombuffer(chars, np.uint8))
+        self.char_ends = np.frombuffer(char_ends, np.int32).astype(np.int64)
         self.ends = np.frombuffer(ends, np.int32).astype(np.int64)
         self.positions = np.frombuffer(positions, np.int32).astype(np.int64)
         self.counts = np.diff(self.ends, prepend=0)
         self.keys = (np.repeat(np.arange(len(self.terms)), self.counts) << 32) | self.positions
 
+    def find(self, queries: Queries) -> np.ndarray:
+        """The term here that each word of the queries is, or -2."""
+        out = np.full(len(queries.terms), -2)
+        size, mine = np.diff(queries.ends, prepend=0), np.diff(self.char_ends, prepend=0)
+        starts, words = queries.ends - size, Ranges(queries.chars)
+        at = np.searchsorted(self.terms, queries.terms)
+        left = np.flatnonzero(at < len(self.terms))
+        while len(left):  # once, unless other words have the same hash
+            left = left[self.terms[at[left]] == queries.terms[left]]
+            same = mine[at[left]] == size[left]
+            same[same] = words.alike(starts[left[same]], size[left[same]], self.chars, (self.char_ends - mine)[at[left[same]]])
+            out[left[same]] = at[left[same]]
+            left = left[~same]
+            at[left] += 1
+            left = left[at[left] < len(self.terms)]
+        return out
+
     def _ready(self, queries: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows all of whose words occur here: their numbers, terms and columns by rising frequency."""
-        at = np.minimum(np.searchsorted(self.terms, queries.terms), max(0, len(self.terms) - 1))
-        here = self.terms[at] == queries.terms if len(self.terms) else np.zeros(len(queries.terms), bool)
-        local = np.append(np.where(here, at, -2), -1)[queries.windows]
+        local = np.append(self.find(queries), -1)[queries.windows]
         rows = np.flatnonzero((local != -2).all(1) & (local[:, 0] >= 0)) if local.size else np.zeros(0, np.int64)
         local = local[rows]
         often = np.where(local >= 0, self.counts[local] if len(self.counts) else 0, np.iinfo(np.int64).max)
@@ -227,7 +238,7 @@ def search(index: DataFrame, queries: Queries, slop: int | None = None) -> DataF
         for batch in batches:
             for k in range(batch.num_rows):
                 cell = lambda name: batch.column(batch.schema.get_field_index(name))[k]  # noqa: E731, B023
-                s = Segment(*(cell(c).as_py() for c in ("n_words", "terms", "ends", "positions")))
+                s = Segment(*(cell(c).as_buffer() for c in ("n_words", "terms", "chars", "char_ends", "ends", "positions")))
                 n = len(s.n_words)
                 if slop is None:
                     w, first, after = s.phrases(queries)
@@ -252,27 +263,39 @@ def search(index: DataFrame, queries: Queries, slop: int | None = None) -> DataF
     return index.mapInArrow(run, schema)
 
 
+def documents_of(index: DataFrame) -> DataFrame:
+    """segment, place, id and n_words of every document of an index."""
+    id_type = index.schema["ids"].dataType.elementType
+    schema = T.StructType([T.StructField("segment", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("id", id_type), T.StructField("n_words", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for segment, ids, n_words in zip(*batch.columns, strict=True):
+                n = np.frombuffer(n_words.as_buffer(), np.int32).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), segment.as_py())), pa.array(np.arange(len(n)), pa.int32()), ids.values, pa.array(n)], names=[f.name for f in schema])
+
+    return index.select("segment", "ids", "n_words").mapInArrow(run, schema)
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = 8, item_id: str = "item_id", item_text: str = "text", id_col: str = "doc_id", text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row a document: id, n_words, n_hit, spans and items, after building, storing and searching the index."""
-    from .store import written
-
-    asked = list(query_blocks(items, window, item_id, item_text, block_windows)) or [query_block([], window)]
-    index = written(build_index(docs, asked, id_col, text_col), "postings")
-    found = [search(index, q) for q in asked]
-    if len(found) == 1:
-        out = found[0]
-    else:
-        every = found[0]
-        for more in found[1:]:
-            every = every.unionByName(more)
-        out = every.groupBy("segment", "place").agg(
-            F.first("id").alias("id"), F.first("n_words").alias("n_words"),
-            F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.flatten(F.collect_list("items")).alias("items"),
-        )
+    index = written(build_index(docs, id_col, text_col), "postings")
+    matches = []
+    for block in query_blocks(items, window, item_id, item_text, block_windows):  # the driver holds one block at a time
+        found = search(index, block).where(F.size("items") > 0).select("segment", "place", "spans", "items")
+        matches.append(Table(found, "matches").df)
+    every = documents_of(index)
+    if not matches:
+        matches = [search(index.limit(0), query_block([], window)).select("segment", "place", "spans", "items")]
+    merged = reduce(DataFrame.unionByName, matches).groupBy("segment", "place").agg(
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
+    )
     start = F.struct(F.lit(0).alias("reach"), F.lit(0).cast("long").alias("n"))
     longer = F.aggregate(
         "spans", start,
         lambda s, x: F.struct(F.greatest(s["reach"], x["after"]).alias("reach"), (s["n"] + F.greatest(F.lit(0), x["after"] - F.greatest(s["reach"], x["first"]))).alias("n")),
         lambda s: s["n"],
     )
-    return out.select(F.col("id").alias(id_col), "n_words", longer.alias("n_hit"), "spans", F.array_distinct("items").alias("items"))
+    spans, listed = (F.coalesce(c, F.array()).cast(merged.schema[c].dataType).alias(c) for c in ("spans", "items"))
+    out = every.join(merged, ["segment", "place"], "left").select("id", "n_words", spans, listed)
+    return out.select(F.col("id").alias(id_col), "n_words", longer.alias("n_hit"), "spans", "items")

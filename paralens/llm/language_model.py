@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ragged import LOWER, SPACED_WORD, Hashes, blocks, mixed, runs
-from .store import Table
+from ..store import Table
 
 CHUNK_BYTES = 8 << 20
 #: Distinct tokens of chunks that a bucket adds up.

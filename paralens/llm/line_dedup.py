@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ragged import BASE, SPACED_WORD, U64, Hashes, blocks, covered, lines, mixed, spread
-from .store import MAX_BUCKETS, Table, bucketed
+from ..store import MAX_BUCKETS, Table, bucketed
 
 GROUP_BYTES = 4 << 20
 WINDOW, DIVISOR = 2, 3

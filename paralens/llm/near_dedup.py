@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ragged import LOWER, SPACED_WORD, blocks, runs, spread
-from .store import Table, written
+from ..store import Table, written
 
 BITS = 64
 RADIUS = 4

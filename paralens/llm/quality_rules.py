@@ -4,14 +4,14 @@
 keeps one failure bit a rule. Policies are masks over those bits: applying a version, or finding
 what each rule costs, is bitwise arithmetic on the stored ledger and never touches the texts again.
 
-Null texts have no words; a null id is kept as it is; repeated rows are measured one by one; an
+Equal lines and windows are found by hash and compared by bytes. Null texts have no words; a null id is kept as it is; repeated rows are measured one by one; an
 empty table gives an empty ledger. Only the id and text columns are read, so other columns can
 have any name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,6 +58,26 @@ POLICIES = (
 )
 
 
+def _repeated(key: np.ndarray, row: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray], text: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Which items equal an earlier one of their row, and which any other one. ``key``: hashes with the row; ``same``: of pairs, whether they are equal.
+
+    Equal neighbours by hash are compared; should any differ, items go by their bytes.
+    """
+    later, several = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    order = np.argsort(key, kind="stable")
+    pair = np.flatnonzero(key[order][1:] == key[order][:-1])
+    a, b = order[pair], order[pair + 1]
+    if ((row[a] == row[b]) & same(a, b)).all():
+        later[b] = several[a] = several[b] = True
+        return later, several
+    first: dict[tuple[int, bytes], int] = {}
+    for k in np.unique(np.concatenate([a, b])).tolist():
+        at = first.setdefault((int(row[k]), text(k)), k)
+        if at != k:
+            later[k] = several[k] = several[at] = True
+    return later, several
+
+
 def _block(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     n = len(offs) - 1
     word = SPACED_WORD[data]
@@ -68,16 +88,25 @@ def _block(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     l_starts, l_ends, l_row = lines(data, offs)
     total = np.concatenate([[0], np.cumsum(word, dtype=np.int64)])
     full = total[l_ends] > total[l_starts]
-    key, l_row = in_row(hashes.of(l_starts[full], l_ends[full]), l_row[full]), l_row[full]
-    order = np.argsort(key, kind="stable")
-    again = order[1:][key[order][1:] == key[order][:-1]]
-    dup_lines = np.bincount(l_row[again], minlength=n)
+    l_starts, l_ends, l_row = l_starts[full], l_ends[full], l_row[full]
+    size = l_ends - l_starts
+    alike = lambda a, b: (size[a] == size[b]) & hashes.alike(l_starts[a], np.minimum(size[a], size[b]), hashes, l_starts[b])
+    later, _ = _repeated(in_row(hashes.of(l_starts, l_ends), l_row), l_row, alike, lambda k: hashes.text(int(l_starts[k]), int(size[k])))
+    dup_lines = np.bincount(l_row[later], minlength=n)
 
     key, at = windows(hashes.of(starts, ends), row, REPEAT_WINDOW)
-    key = in_row(key, row[at])
-    order = np.argsort(key)
-    same = key[order][1:] == key[order][:-1]
-    found = at[order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]] if len(key) else at
+    length = ends - starts
+
+    def alike_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.ones(len(a), bool)
+        for k in range(REPEAT_WINDOW):
+            x, y = at[a] + k, at[b] + k
+            out &= (length[x] == length[y]) & hashes.alike(starts[x], np.minimum(length[x], length[y]), hashes, starts[y])
+        return out
+
+    spaced = lambda k: b" ".join(hashes.text(int(starts[j]), int(length[j])) for j in range(at[k], at[k] + REPEAT_WINDOW))
+    _, several = _repeated(in_row(key, row[at]), row[at], alike_words, spaced)
+    found = at[several]
     hit = covered(found, found + REPEAT_WINDOW, len(row))
     repeat = np.bincount(row[hit], minlength=n)
     return [words, per_row(word & CODE_POINT[data], offs), per_row(SYMBOLS[data], offs), per_row(data == 10, offs) + 1, dup_lines, repeat]

@@ -124,17 +124,85 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-class Hashes:
-    """64-bit hashes of any ranges of one buffer, each in constant time from prefix sums."""
+#: The low 0 to 8 bytes of a word.
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+
+
+def _mixed_words(word: np.ndarray, a: np.uint64, b: np.uint64) -> np.ndarray:
+    """A bijection of 64-bit words; ``word`` is not changed."""
+    h = word * a
+    h ^= h >> U64(32)
+    h *= b
+    h ^= h >> U64(29)
+    return h
+
+
+class Ranges:
+    """Ranges of one buffer: their bytes as 8-byte words, and whether two are equal."""
 
     def __init__(self, data: np.ndarray):
+        self.data = np.concatenate([data, np.zeros(8, np.uint8)])
+        self.words = np.ndarray((len(data) + 1,), "<u8", self.data, strides=(1,))
+
+    def text(self, start: int, size: int) -> bytes:
+        return self.data[start : start + size].tobytes()
+
+    def alike(self, starts: np.ndarray, size: np.ndarray, other: Ranges, at: np.ndarray) -> np.ndarray:
+        """Whether ``size`` bytes from each of ``starts`` equal as many of ``other`` from ``at``."""
+        mask = _LOW_BYTES[np.minimum(size, 8)]
+        out = (self.words[starts] & mask) == (other.words[at] & mask)
+        long = np.flatnonzero(out & (size > 8))
+        if len(long):
+            more = (size[long] - 1) // 8
+            of, step = np.repeat(long, more), spread(np.ones(len(long), np.int64), more)
+            place = np.minimum(8 * step, size[of] - 8)  # the last word ends where the range does
+            out[of[self.words[starts[of] + place] != other.words[at[of] + place]]] = False
+        return out
+
+
+class Hashes(Ranges):
+    """64-bit hashes of any ranges of one buffer, each in constant time from prefix sums.
+
+    A range's hash is a polynomial of its 8-byte substrings, each mixed first, so that strings on whose letters
+    a polynomial is zero (as Thue-Morse words and their complements) mean nothing. Hashes only pick candidates:
+    whoever needs identity compares bytes (``identity``) or a second hash (another ``salt``).
+    """
+
+    def __init__(self, data: np.ndarray, salt: int = 0):
+        super().__init__(data)
         power, self.inverse = _power_tables(len(data) + 1)
+        self.mix = (MIX_A + U64(2 * salt), MIX_B + U64(4 * salt))
         self.total = np.zeros(len(data) + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * power[: len(data)], out=self.total[1:])
+        mixed_ = _mixed_words(self.words[: len(data)], *self.mix)
+        mixed_ *= power[: len(data)]
+        np.cumsum(mixed_, out=self.total[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.total[ends] - self.total[starts]) * self.inverse[starts]
-        return mixed(h + (ends - starts).astype(U64) * DOC_MIX)
+        size = ends - starts
+        h = (self.total[np.maximum(ends - 7, starts)] - self.total[starts]) * self.inverse[starts]
+        short = np.flatnonzero(size < 8)
+        h[short] = _mixed_words(self.words[starts[short]] & _LOW_BYTES[size[short]], *self.mix)
+        return mixed(h + size.astype(U64) * DOC_MIX)
+
+
+def identity(ranges: Ranges, h: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each range that only ranges of the same bytes share, and of each number one range. ``h``: their hashes.
+
+    Numbers follow the hashes, those of ranges whose hash other bytes have as well come last.
+    """
+    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    alike = (size == size[first][number]) & ranges.alike(starts, np.minimum(size, size[first][number]), ranges, starts[first][number])
+    if not alike.all():
+        own: dict[bytes, int] = {}
+        extra = []
+        for k in np.flatnonzero(~alike).tolist():
+            text = ranges.text(int(starts[k]), int(size[k]))
+            if text not in own:
+                own[text] = len(first) + len(own)
+                extra.append(k)
+            number[k] = own[text]
+        first = np.concatenate([first, np.array(extra, np.int64)])
+    return number, first
 
 
 def windows(h: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

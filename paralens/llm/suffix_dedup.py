@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ragged import DOC_MIX, U64, Hashes, blocks, covered, mixed, runs, spread
-from .store import MAX_BUCKETS, Table, bucketed
+from ..store import MAX_BUCKETS, Table, bucketed
 
 SPAN, GRAM = 50, 16
 CHUNK_BYTES = 4 << 20

@@ -9,7 +9,7 @@ Pre-tokens follow the library's byte-level pattern, found from character classes
 regular expression; a character's class is asked of the library's own pre-tokenizer once, as its
 Unicode tables decide. Added special tokens inside texts count as one token each.
 
-Null texts are empty (0 tokens, 0 bytes); repeated rows count one by one; a null id is kept as it
+Equal pre-tokens are found by hash and compared by bytes. Null texts are empty (0 tokens, 0 bytes); repeated rows count one by one; a null id is kept as it
 is; columns other than the id and text are ignored. A text is never cut.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ragged import CODE_POINT, Hashes, blocks, spread
+from .ragged import CODE_POINT, Hashes, Ranges, blocks, identity, spread
 
 OTHER, LETTER, NUMBER, SPACE, UNKNOWN = 0, 1, 2, 3, 255
 NO_RANK = np.int32(1 << 30)
@@ -59,7 +59,9 @@ class Vocabulary:
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int64)
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
         self.kind = np.full(0x110000, UNKNOWN, np.uint8)
-        self.known, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        #: Hashes, sorted, of pre-tokens met before, with where their bytes are kept, how many these are, and their counts.
+        self.known, self.place, self.length, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.chars = Ranges(np.zeros(0, np.uint8))
 
     def kinds(self, code: np.ndarray) -> np.ndarray:
         """The class of each code point."""
@@ -167,6 +169,19 @@ class Vocabulary:
             starts, is_special = starts[~within | cut[starts]], is_special[~within | cut[starts]]
         return starts, np.append(starts[1:], n)[: len(starts)], is_special
 
+    def _remember(self, h: np.ndarray, tokens: np.ndarray, some: np.ndarray, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> None:
+        some = some[np.unique(h[some], return_index=True)[1]]
+        some = some[~np.isin(h[some], self.known)]
+        if not len(some):
+            return
+        held = self.chars.data[:-8]
+        at = len(held) + np.cumsum(size[some]) - size[some]
+        self.chars = Ranges(np.concatenate([held, data[spread(starts[some], size[some])]]))
+        order = np.argsort(np.concatenate([self.known, h[some]]), kind="stable")
+        join = lambda old, new: np.concatenate([old, new])[order]
+        self.known, self.place = join(self.known, h[some]), join(self.place, at)
+        self.length, self.counts = join(self.length, size[some]), join(self.counts, tokens[some])
+
     def count(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Tokens of each row."""
         rows = len(offs) - 1
@@ -176,20 +191,20 @@ class Vocabulary:
         row = np.searchsorted(offs, starts, "right") - 1
         total = np.bincount(row[special], minlength=rows)
         starts, ends, row = starts[~special], ends[~special], row[~special]
-        h, first, back = np.unique(Hashes(data).of(starts, ends), return_index=True, return_inverse=True)
+        hashes, size = Hashes(data), ends - starts
+        h = hashes.of(starts, ends)
+        back, first = identity(hashes, h, starts, size)
+        h, s, size = h[first], starts[first], size[first]
         tokens = np.zeros(len(h), np.int32)
         at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
-        old = self.known[at] == h if len(self.known) else np.zeros(len(h), bool)
-        tokens[old] = self.counts[at[old]]
-        new = np.flatnonzero(~old)
+        met = self.known[at] == h if len(self.known) else np.zeros(len(h), bool)
+        met[met] = self.length[at[met]] == size[met]
+        met[met] = hashes.alike(s[met], size[met], self.chars, self.place[at[met]])
+        tokens[met] = self.counts[at[met]]
+        new = np.flatnonzero(~met)
         if len(new):
-            s, size = starts[first[new]], (ends - starts)[first[new]]
-            tokens[new] = self.merge(self.byte_id[data[spread(s, size)]], size)
-            room = new[: max(0, REMEMBERED - len(self.known))]
-            if len(room):
-                known = np.concatenate([self.known, h[room]])
-                order = np.argsort(known)
-                self.known, self.counts = known[order], np.concatenate([self.counts, tokens[room]])[order]
+            tokens[new] = self.merge(self.byte_id[data[spread(s[new], size[new])]], size[new])
+            self._remember(h, tokens, new[: max(0, REMEMBERED - len(self.known))], data, s, size)
         return total + np.bincount(row, weights=tokens[back], minlength=rows).astype(np.int64)
 
 

@@ -1,8 +1,14 @@
+import gc
 import re
+import weakref
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 from paralens.llm import decontamination as d
+from paralens.llm import ragged
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -52,12 +58,65 @@ def test_rows_of_one_item_count_once(spark, block):
     assert found == {1: [5], 2: [5], 3: [5, 6]}
 
 
-def test_index_without_vocabulary_finds_the_same(docs, texts, items):
+def test_index_serves_any_benchmark(docs, texts, items):
     q = d.query_block([x for x in items if x[0] is not None and x[1]], 8)
     found = {r.id: sorted(set(r["items"])) for r in d.search(d.build_index(docs), q).collect()}
     assert [found[k] for k in range(len(texts))] == [e[2] for e in brute(texts, [x for x in items if x[0] is not None])]
 
 
+def test_blocks_are_held_one_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"word{k} is in item {k} and nowhere else") for k in range(5)], "doc_id long, text string")
+    alive, most = [], []
+    made = d.query_block
+
+    def block(items, size):
+        gc.collect()
+        most.append(sum(r() is not None for r in alive))
+        q = made(items, size)
+        alive.append(weakref.ref(q))
+        return q
+
+    monkeypatch.setattr(d, "query_block", block)
+    bench = spark.createDataFrame([(k, f"word{k} is in item") for k in range(5)], "item_id long, text string").coalesce(1)
+    found = {r.doc_id: r["items"] for r in d.contamination(docs, bench, 4, block_windows=1).collect()}
+    assert found == {k: [k] for k in range(5)} and len(alive) == 5 and max(most) <= 1
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_words_are_told_apart_by_bytes(spark, thue_morse, collide, monkeypatch):
+    if collide:
+        monkeypatch.setattr(ragged.Hashes, "of", lambda self, a, b: np.full(len(a), 7, np.uint64))
+    a, b = thue_morse
+    docs = [(1, a), (2, b), (3, f"{a} {b}"), (4, "x y")]
+    bench = [(7, a), (8, b), (9, "y")]
+    q = d.query_block(bench, 8)
+    (row,) = [r for batch in _segments(docs) for r in batch.to_pylist()]
+    s = d.Segment(*(row[c] for c in ("n_words", "terms", "chars", "char_ends", "ends", "positions")))
+    w, first, _ = s.phrases(q)
+    assert sorted(zip(s.doc_of(first).tolist(), q.item[w].tolist(), strict=True)) == [(0, 0), (1, 1), (2, 0), (2, 1), (3, 2)]
+
+
+def _segments(docs):
+    """What the index's tasks make of these documents."""
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        schema = T.StructType([T.StructField("__id", T.LongType()), T.StructField("__text", T.StringType())])
+
+        def mapInArrow(self, run, schema):
+            batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([t for _, t in docs])], names=["__id", "__text"])
+            return list(run(iter([batch])))
+
+    context = d.TaskContext
+    d.TaskContext = type("", (), {"get": staticmethod(lambda: type("", (), {"partitionId": staticmethod(lambda: 0)}))})
+    try:
+        return d.build_index(Docs())
+    finally:
+        d.TaskContext = context
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a x x b"), (2, "b a"), (3, "a x x x b"), (4, "a"), (5, "b")], "doc_id long, text string")
     found = d.search(d.build_index(docs), d.query_block([(7, "a b")], 2), slop=3)

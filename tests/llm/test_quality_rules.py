@@ -1,6 +1,11 @@
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from paralens.llm import quality_rules as q
+from paralens.llm import ragged
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -21,6 +26,15 @@ def test_measures_equal_brute_force(docs, texts):
     assert [found[k] for k in range(len(texts))] == [brute(t) for t in texts]
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_lines_and_windows_are_told_apart_by_bytes(thue_morse, collide, monkeypatch):
+    if collide:
+        monkeypatch.setattr(ragged.Hashes, "of", lambda self, a, b: np.full(len(a), 7, np.uint64))
+    a, b = thue_morse
+    texts = [f"{a}\n{b}", f"{a}\n{b}\n{a}", " ".join([a, b] * 6), " ".join([a] * 7 + [b]), "", "x y z", f"{a} x x x x {b} x x x x", *("one two three four five six one two three four five",) * 2]
+    assert list(zip(*(x.tolist() for x in q._block(*ragged.flat(pa.array(texts)))), strict=True)) == [brute(t) for t in texts]
+
+
 def test_bits_policies_and_ablations(docs):
     stored = q.ledger(q.measure(docs)).cache()
     rows = stored.collect()

@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from paralens.llm import ragged
 from paralens.llm.ragged import flat
 from paralens.llm.token_counts import Vocabulary, count_tokens
 
@@ -28,6 +30,16 @@ def test_random_strings_equal_the_library(library):
     assert Vocabulary(PATH).count(*flat(pa.array(texts))).tolist() == counts(library, texts)
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_pre_tokens_are_told_apart_by_bytes(library, thue_morse, collide, monkeypatch):
+    if collide:
+        monkeypatch.setattr(ragged.Hashes, "of", lambda self, a, b: np.full(len(a), 7, np.uint64))
+    texts = [*thue_morse, "one two three one", thue_morse[1] + " " + thue_morse[0]]
+    vocabulary = Vocabulary(PATH)
+    for _ in range(2):  # the second time from what was remembered
+        assert vocabulary.count(*flat(pa.array(texts))).tolist() == counts(library, texts)
+
+
 def test_corpus_equals_the_library(docs, texts, library):
     found = {r.doc_id: (r.n_bytes, r.n_tokens) for r in count_tokens(docs, PATH).collect()}
     assert [found[k] for k in range(len(texts))] == list(zip((len(t.encode()) for t in texts), counts(library, texts), strict=True))
