@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paralens.llm import decontamination, mixing, quality_classifier, sharding, similar_texts
 from paralens.llm.queries import held_out, read
-from paralens.llm.store import Table, written
+from paralens.store import Table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
