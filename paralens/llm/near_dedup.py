@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ragged import LOWER, SPACED_WORD, blocks, runs, spread
+from .ragged import LOWER, SPACED_WORD, U64, Ranges, blocks, runs, spread
 from ..store import Table, written
 
 BITS = 64
@@ -41,12 +41,77 @@ XX_SEED = 42
 #: Part of the fingerprints that show which buckets are large, and how many of a bucket's go to one part.
 SHOWN, PART = 64, 2048
 PAIRS_AT_ONCE = 1 << 21
+#: Text bytes that are hashed at once.
+AT_ONCE = 1 << 20
+#: Fingerprints that more than this part of all rows share are sent to every executor: there are fewer than so many.
+HOT = 10_000
+
+
+#: The primes and rotations of XXH64, fixed values.
+P1, P2, P3, P4, P5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+#: Longer ranges are hashed one by one.
+LONG = 2048
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << U64(by)) | (x >> U64(64 - by))
+
+
+def _lane(x: np.ndarray) -> np.ndarray:
+    return _turned(x * P2, 31) * P1
+
+
+def xxh64(ranges: Ranges, starts: np.ndarray, size: np.ndarray, seed: int = XX_SEED) -> np.ndarray:
+    """XXH64 of ranges of a buffer, all of them a step at a time."""
+    words = ranges.words
+    out = np.full(len(starts), (seed + int(P5)) % (1 << 64), U64)
+    at, left = starts.copy(), size.copy()
+    whole = np.flatnonzero((size >= 32) & (size <= LONG))
+    if len(whole):
+        first = (seed + int(P1) + int(P2), seed + int(P2), seed, seed - int(P1))
+        lanes = [np.full(len(whole), x % (1 << 64), U64) for x in first]
+        here = np.arange(len(whole))
+        while len(here):
+            place = at[whole[here]]
+            for k, lane in enumerate(lanes):
+                lane[here] = _turned(lane[here] + words[place + 8 * k] * P2, 31) * P1
+            at[whole[here]] += 32
+            left[whole[here]] -= 32
+            here = here[left[whole[here]] >= 32]
+        h = _turned(lanes[0], 1) + _turned(lanes[1], 7) + _turned(lanes[2], 12) + _turned(lanes[3], 18)
+        for lane in lanes:
+            h = (h ^ _lane(lane)) * P1 + P4
+        out[whole] = h
+    out += size.astype(U64)
+    for _ in range(3):
+        i = np.flatnonzero((left >= 8) & (size <= LONG))
+        out[i] = _turned(out[i] ^ _lane(words[at[i]]), 27) * P1 + P4
+        at[i] += 8
+        left[i] -= 8
+    i = np.flatnonzero((left >= 4) & (size <= LONG))
+    out[i] = _turned(out[i] ^ ((words[at[i]] & U64(0xFFFFFFFF)) * P1), 23) * P2 + P3
+    at[i] += 4
+    left[i] -= 4
+    for _ in range(3):
+        i = np.flatnonzero((left >= 1) & (size <= LONG))
+        out[i] = _turned(out[i] ^ ((words[at[i]] & U64(0xFF)) * P5), 11) * P1
+        at[i] += 1
+        left[i] -= 1
+    out ^= out >> U64(33)
+    out *= P2
+    out ^= out >> U64(29)
+    out *= P3
+    out ^= out >> U64(32)
+    long = np.flatnonzero(size > LONG)  # few bytes a text hold few of these
+    if len(long):
+        from xxhash import xxh64_intdigest
+
+        out[long] = [xxh64_intdigest(ranges.text(a, n), seed) for a, n in zip(starts[long].tolist(), size[long].tolist(), strict=True)]
+    return out
 
 
 def shingle_hashes(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """XXH64 of each word shingle, text by text, and the number of shingles of each text."""
-    from xxhash import xxh64_intdigest
-
     n = len(offs) - 1
     word = SPACED_WORD[data]
     starts, ends, row = runs(word, offs)
@@ -55,7 +120,7 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.nd
     keep = word.copy()  # words and one space after each
     keep[1:] |= word[:-1]
     place = np.cumsum(keep) - 1
-    text = np.where(word, LOWER[data], 32)[keep].astype(np.uint8).tobytes()
+    text = Ranges(np.where(word, LOWER[data], 32)[keep].astype(np.uint8))
     first, last = place[starts], place[ends - 1] + 1
     count = np.bincount(row, minlength=n)
     word0 = np.cumsum(count) - count
@@ -63,8 +128,7 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.nd
     at = spread(word0, shingles)
     of = np.repeat(np.arange(n), shingles)
     end = np.minimum(at + size, (word0 + count)[of]) - 1
-    h = np.fromiter((xxh64_intdigest(text[a:b], XX_SEED) for a, b in zip(first[at].tolist(), last[end].tolist(), strict=True)), np.uint64, len(at))
-    return h, shingles
+    return xxh64(text, first[at], last[end] - first[at]), shingles
 
 
 def majority(h: np.ndarray, shingles: np.ndarray) -> np.ndarray:
@@ -92,7 +156,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
     schema = T.StructType([picked.schema[0], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in blocks(batches, "__text"):
+        for batch, data, offs in blocks(batches, "__text", AT_ONCE):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(majority(*shingle_hashes(data, offs, shingle)).view(np.int64))], names=[id_col, "fp"])
 
     return picked.mapInArrow(run, schema)
@@ -233,22 +297,23 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 
 
 def near_classes(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``fp`` and ``component_id`` of each distinct fingerprint of ``marked``."""
-    classes = written(marked.groupBy("fp").agg(F.min(id_col).alias("low")), "classes")
+    """``fp``, ``n`` (rows) and ``component_id`` of each distinct fingerprint of ``marked``."""
+    classes = written(marked.groupBy("fp").agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("n")), "classes")
     tree = components(links(classes))
-    rooted = classes.join(tree, classes["fp"] == tree["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(tree, classes["fp"] == tree["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rooted.join(named, "root").select("fp", "component_id")
+    return written(rooted.join(named, "root").select("fp", "n", "component_id"), "components")
+
+
+def with_classes(marked: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``marked`` with their fingerprint's ``component_id``. A fingerprint of very many rows is never one task's: such ones are few and broadcast."""
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(classes.where(F.col("n") * HOT > F.lit(total)).select("fp", "component_id"))  # fewer than HOT rows
+    cold = classes.where(F.col("n") * HOT <= F.lit(total)).select("fp", "component_id")
+    return marked.join(hot, "fp").unionByName(marked.join(hot.select("fp"), "fp", "left_anti").join(cold, "fp"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, ``fp`` and ``component_id``, the smallest id that it reaches over links of at most 4 differing bits."""
     marked = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    return marked.join(near_classes(marked, id_col), "fp").select(F.col(id_col), "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of the smallest id of every component, one row an id."""
-    found = near_duplicates(docs, shingle, id_col, text_col)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])
+    return with_classes(marked, near_classes(marked, id_col)).select(F.col(id_col), "fp", "component_id")

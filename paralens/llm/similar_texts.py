@@ -1,20 +1,25 @@
-"""Documents of near-equal wording: five-word shingles with a Jaccard similarity of 0.8 or more.
+"""Documents of near-equal wording: five-word shingles with a Jaccard similarity of 0.8 or more, or SimHash links.
 
 SimHash links of 4 bits miss most pairs at that similarity: their fingerprints differ in up to 14
-of 64 bits, and no table of blocks of bits holds all links that wide. Here buckets come from minima
+of 64 bits, and no table of blocks of bits holds all links that wide. So buckets come from minima
 of shingle hashes (BANDS keys of BAND_ROWS minima each: a pair of similarity 0.8 shares one with
-probability 0.998). In a bucket only bounds that hold for any two sets discard pairs: those on their sizes, and
-on the shingles that just one of both has, which are no fewer than the parities, or the counts, of shingles by
-hash range differ in all. What survives is compared by its whole shingle sets. A bucket gives a spanning forest of its links: a text that is linked is only compared with
-those that are not yet, so a group of near copies costs its size, not its pairs.
-
-Texts with equal shingle sets are one class and cost one row. Buckets that a sample shows to be
-large are split into pairs of parts, as near_dedup does. SimHash links of 4 bits hold as well.
-
-A text of fewer words is one shingle; texts without words are one class, null ones among them. Rows
-without an id go by a hash of their text beyond 2**62, so each distinct text counts as a document of its own,
-after those with smaller ids. Shingles are 64-bit hashes in classes and buckets, and
-32 bits of them in the comparison. Only the id and text columns are read; ids are integers.
+probability 0.998), and whole shingle sets decide.
+
+1. Texts with equal shingle sets are one class and cost one row.
+2. In every bucket all classes are compared with the first one. That is a row a class, not a pair, and
+   buckets mostly have the same first, so most of these rows are alike and compared once. What is linked
+   is joined to components.
+3. Only buckets in which several components are left compare the classes of different ones with each
+   other, in parts of bounded size: every two parts of a bucket meet in one group.
+
+So a group of near copies costs its size. Only bounds that hold for any two sets discard pairs: those on their
+sizes, and on the shingles that just one of both has, which are no fewer than their counts by hash range
+differ in all. A bucket of many classes that are no near copies of its first is still dealt in pairs of parts.
+
+A text of fewer words is one shingle; texts without words are one class, null ones among them. Of a group the row of
+the smallest id stays, rows without one last, and of equal ids the first as stored; ids need be neither there nor
+unique. An empty table keeps nothing; other columns, of any name, come back as they are. Shingles are 64-bit hashes in
+classes and buckets, and 32 bits of them in the comparison.
 """
 
 from __future__ import annotations
@@ -25,26 +30,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .near_dedup import components, majority, near_classes, shingle_hashes, split_buckets, whole_buckets
-from .ragged import U64, blocks, flat, mixed, spread
 from ..store import written
+from .near_dedup import AT_ONCE, components, majority, near_classes, shingle_hashes, whole_buckets, with_classes
+from .ragged import U64, blocks, mixed, spread
 
-SIMHASH_WORDS, WORDS = 4, 5
+WORDS = 5
 #: Similarity of links, as a fraction in whole numbers.
 OVER, UNDER = 4, 5
 BANDS, BAND_ROWS = 12, 4
 #: Hash ranges by which shingles are counted: their first bits.
 RANGE_BITS = 8
-#: Shingles compared at once.
-COMPARED = 1 << 22
+#: Shingles compared at once, and of one part of a bucket.
+COMPARED, PART_SHINGLES = 1 << 20, 1 << 20
+ROW = "__row"
 
 
 def _profile(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Fingerprint of each text, whether it has words, and its bucket keys followed by two sums over its set of shingles and their number."""
-    fp = majority(*shingle_hashes(data, offs, SIMHASH_WORDS))
     h, shingles = shingle_hashes(data, offs, WORDS)
+    fp = majority(h, shingles)
     n, rows = len(offs) - 1, np.flatnonzero(shingles)
     if not len(rows):
         return fp, shingles > 0, [np.zeros(n, U64)] * (BANDS + 3)
@@ -55,7 +60,8 @@ def _profile(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
         for k in range(BAND_ROWS):
             turn = mixed(U64(band * BAND_ROWS + k + 1) * U64(0x9E3779B97F4A7C15)) | U64(1)
             v = h * turn
-            key = mixed(key + np.minimum.reduceat(v ^ (v >> U64(32)), first))
+            v ^= v >> U64(32)
+            key = mixed(key + np.minimum.reduceat(v, first))
         columns.append(key)
     of = np.repeat(np.arange(len(rows)), shingles[rows])
     order = np.lexsort((h, of))
@@ -73,49 +79,41 @@ def _profile(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ``fp`` (SimHash of four-word shingles), ``s1`` and ``s2`` (equal if the sets of five-word shingles are), ``n`` (shingles in the set), ``keys`` (buckets)."""
-    picked = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
-    longs = [T.StructField(c, T.LongType()) for c in ("fp", "s1", "s2", "n")]
-    schema = T.StructType([picked.schema[0], *longs, T.StructField("keys", T.ArrayType(T.LongType()))])
+    """id (an integer), ``fp`` (SimHash), ``s1`` and ``s2`` (equal if the sets of shingles are), ``n`` (shingles in the set), ``keys`` (buckets)."""
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in blocks(batches, "__text"):
+        for batch, data, offs in blocks(batches, "__text", AT_ONCE):
             fp, some, columns = _profile(data, offs)
             keys = np.stack([c[some] for c in columns[:BANDS]], axis=1).ravel()
             ends = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.view(np.int64)) for c in (fp, *columns[BANDS:])), lists], names=[id_col, "fp", "s1", "s2", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.view(np.int64)) for c in (fp, *columns[BANDS:])), lists], names=["id", "fp", "s1", "s2", "n", "keys"])
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(run, "id long, fp long, s1 long, s2 long, n long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node (the id) and ``shingles``: the sorted set of 32-bit hashes of the text's five-word shingles."""
-    picked = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("__text"))
+    """id and ``shingles``: the sorted set of 32-bit hashes of the text's shingles."""
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in blocks(batches, "__text"):
+        for batch, data, offs in blocks(batches, "__text", AT_ONCE):
             h, shingles = shingle_hashes(data, offs, WORDS)
             of = np.repeat(np.arange(len(shingles), dtype=U64), shingles)
             held = np.unique((of << U64(32)) | (h >> U64(32)))
-            ends = np.concatenate([[0], np.cumsum(np.bincount((held >> U64(32)).astype(np.int64), minlength=len(shingles)))]) * 4
-            low = held.astype("<u4")
-            sets = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(shingles), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(low)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets.cast(pa.binary())], names=["node", "shingles"])
+            ends = np.concatenate([[0], np.cumsum(np.bincount((held >> U64(32)).astype(np.int64), minlength=len(shingles)))]).astype(np.int32)
+            sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(held.astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["id", "shingles"])
 
-    return picked.mapInArrow(run, "node long, shingles binary")
+    return picked.mapInArrow(run, "id long, shingles array<int>")
 
 
-def parities(held: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Of each set ``held[offs[k] : offs[k + 1]]`` (none is empty) the parity of its shingles by their last six bits."""
-    return np.bitwise_xor.reduceat(U64(1) << (held[offs[0] : offs[-1]] & 63).astype(U64), offs[:-1] - offs[0])
-
-
-def similar(marks: np.ndarray, held: np.ndarray, offs: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """A spanning forest, as indices (a, b), of the similar pairs of one bucket with sets ``held[offs[k] : offs[k + 1]]`` and ``parities`` marks.
+def similar(component: np.ndarray, held: np.ndarray, offs: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """A spanning forest, as indices (a, b), of the similar pairs of different ``component`` among sorted sets ``held[offs[k] : offs[k + 1]]``.
 
     With a similarity of OVER / UNDER two sets have at most (UNDER - OVER) / (UNDER + OVER) of their shingles, counted
-    in both, apart from each other; each of those changes one parity and one count.
+    in both, apart from each other; each of those changes one count.
     """
     size = np.diff(offs)
     where = np.repeat(np.arange(len(size)) << RANGE_BITS, size) + (held[offs[0] : offs[-1]] >> (32 - RANGE_BITS))
@@ -123,13 +121,12 @@ def similar(marks: np.ndarray, held: np.ndarray, offs: np.ndarray) -> tuple[list
     left = np.argsort(size, kind="stable")
     a, b = [], []
     while len(left):
-        queue, left = [left[0]], left[1:]
+        with_first = component[left] == component[left[0]]
+        queue, left = left[with_first].tolist(), left[~with_first]
         while queue and len(left):
             x = queue.pop()
             may = left[UNDER * np.minimum(size[left], size[x]) >= OVER * np.maximum(size[left], size[x])]
             apart = (UNDER - OVER) * (size[may] + size[x]) // (UNDER + OVER)
-            near = np.bitwise_count(marks[may] ^ marks[x]) <= apart
-            may, apart = may[near], apart[near]
             may = may[np.abs(counts[may] - counts[x]).sum(axis=1) <= apart]
             own = held[offs[x] : offs[x + 1]]
             linked = np.zeros(len(may), bool)
@@ -142,10 +139,12 @@ def similar(marks: np.ndarray, held: np.ndarray, offs: np.ndarray) -> tuple[list
                 linked[some] = UNDER * both >= OVER * (size[x] + size[may[some]] - both)
             found = may[linked]
             if len(found):
-                a.append(found)
-                b.append(np.full(len(found), x))
-                queue.extend(found.tolist())
-                left = left[~np.isin(left, found)]
+                one = found[np.unique(component[found], return_index=True)[1]]
+                a.append(one)
+                b.append(np.full(len(one), x))
+                joined = np.isin(component[left], component[found])
+                queue.extend(left[joined].tolist())
+                left = left[~joined]
     return a, b
 
 
@@ -153,60 +152,93 @@ def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
     return [table[c].to_numpy() for c in names]
 
 
-def _runs_of(table: pa.Table) -> np.ndarray:
-    """Number of the bucket part of each row."""
-    bucket, pair = _numbers(table, "bucket", "pair")
-    return np.cumsum(np.concatenate([[0], (bucket[1:] != bucket[:-1]) | (pair[1:] != pair[:-1])]))
-
-
-def similar_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b): a spanning forest, bucket by bucket, of the similar pairs of ``classes`` (node, n, keys)."""
-    rows = split_buckets(classes, F.col("keys"), ("node", "n"))
+def first_links(rows: DataFrame, sets_of) -> DataFrame:
+    """(a, b): the similar pairs of every bucket's first class and another one. ``sets_of``: shingle sets of the nodes of a table."""
+    first = rows.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    sized = (UNDER * F.least("n", "first.n") >= OVER * F.greatest("n", "first.n")) & (F.col("node") != F.col("first.node"))
+    pairs = written(rows.join(first, "bucket").where(sized).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    sets = sets_of(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct())
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    linked = both.where(UNDER * shared >= OVER * (F.size("x") + F.size("y") - shared))
+    return written(linked.select("a", "b"), "first-links")
+
+
+def other_links(rows: DataFrame, tree: DataFrame, sets_of) -> DataFrame | None:
+    """(a, b): a spanning forest, bucket by bucket, of the similar pairs of different components; None if there are no such buckets."""
+    placed = rows.join(tree, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("component"))
+    several = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n").alias("weight")).where("low < high")
+    parts = several.select("bucket", F.ceil(F.col("weight") / PART_SHINGLES).cast("int").alias("parts"))
+    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.shiftleft(F.least(other, mine).cast("long"), 32) + F.greatest(other, mine))
+    dealt = placed.join(parts, "bucket").select("bucket", "node", "n", "component", F.explode(meets).alias("pair"))
     order = ("bucket", "pair")
 
     def in_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with another of their bucket whose number of shingles allows the similarity."""
+        """Rows with another component's in their group whose number of shingles allows the similarity."""
         for table in whole_buckets(batches):
-            number, n = _runs_of(table), table["n"].to_numpy()
-            order = np.lexsort((n, number))
-            next_to = (number[order][1:] == number[order][:-1]) & (UNDER * n[order][:-1] >= OVER * n[order][1:])
+            number = _runs_of(table)
+            n, component = _numbers(table, "n", "component")
+            by_size = np.lexsort((n, number))
             stays = np.zeros(len(n), bool)
-            stays[order[1:][next_to]] = stays[order[:-1][next_to]] = True
+            begin = np.flatnonzero(np.concatenate([[True], np.diff(number[by_size]) != 0]))
+            for low, high in zip(begin, np.append(begin[1:], len(n)), strict=True):
+                k = by_size[low:high]
+                at_most = np.searchsorted(n[k], n[k] * UNDER // OVER, "right")
+                at_least = np.searchsorted(n[k], -(-n[k] * OVER // UNDER), "left")
+                # Runs of one component in the order of sizes: a range holds another one if it reaches beyond the row's own run.
+                same = np.cumsum(np.concatenate([[0], component[k][1:] != component[k][:-1]]))
+                stays[k] = (same[at_most - 1] != same) | (same[at_least] != same)
             yield from table.filter(pa.array(stays)).combine_chunks().to_batches()
 
-    alive = written(rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(in_reach, rows.schema), "buckets-in-reach")
-    wanted = alive.select(F.col("node").alias("__node")).distinct()
-    texts = docs.join(wanted, F.col(id_col).cast("long") == F.col("__node"), "left_semi").dropDuplicates([id_col])
-    sets = written(shingle_sets(texts, id_col, text_col), "shingle-sets")
-    full = alive.join(sets, "node").select("bucket", "pair", "node", "shingles").repartition(*order).sortWithinPartitions(*order)
+    alive = written(dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(in_reach, dealt.schema), "buckets-in-reach")
+    if not alive.limit(1).count():
+        return None
+    full = alive.join(sets_of(alive.select("node").distinct()), "node").select("bucket", "pair", "node", "component", "shingles").repartition(*order).sortWithinPartitions(*order)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_buckets(batches):
-            number, node = _runs_of(table), table["node"].to_numpy()
-            data, offs = flat(table["shingles"])
-            held, offs = np.frombuffer(data.tobytes(), "<u4"), offs // 4
+            number = _runs_of(table)
+            node, component = _numbers(table, "node", "component")
             begin = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(number)]])
             for low, high in zip(begin[:-1], begin[1:], strict=True):
-                for x, y in zip(*similar(parities(held, offs[low : high + 1]), held, offs[low : high + 1]), strict=True):
+                lists = table["shingles"].slice(low, high - low).combine_chunks()
+                held, offs = lists.flatten().to_numpy().view(np.uint32), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+                for x, y in zip(*similar(component[low:high], held, offs), strict=True):
                     yield pa.RecordBatch.from_arrays([pa.array(node[low + x]), pa.array(node[low + y])], names=["a", "b"])
 
     return full.mapInArrow(compared, "a long, b long")
 
 
+def _runs_of(table: pa.Table) -> np.ndarray:
+    """Number of the bucket part of each row."""
+    bucket, pair = _numbers(table, "bucket", "pair")
+    return np.cumsum(np.concatenate([[0], (bucket[1:] != bucket[:-1]) | (pair[1:] != pair[:-1])]))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of the smallest id of every group of documents that similarity or SimHash links join, one row an id and one a text without id."""
-    beyond = F.shiftrightunsigned(F.xxhash64(F.col(text_col).cast("string")), 2) + F.lit(1 << 62)
-    docs = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), beyond))
-    marked = written(profiles(docs, "__key", text_col), "profiles")
-    shared = marked.groupBy("s1", "s2").agg(F.min_by(F.struct("n", "keys"), "__key").alias("of"), F.min("__key").alias("node"))
-    classes = written(shared.select("s1", "s2", "node", "of.n", "of.keys"), "shingle-classes")
-    by_print = near_classes(marked, "__key")
-    # A document belongs to one class of equal sets and to one component of fingerprints: both are named by an id of theirs.
-    pairs = marked.groupBy("fp", "s1", "s2").agg(F.count(F.lit(1)).alias("n"))
-    pairs = pairs.join(by_print, "fp").join(classes.select("s1", "s2", "node"), ["s1", "s2"])
-    same = pairs.select(F.col("node").alias("a"), F.col("component_id").alias("b"))
-    edges = similar_links(docs, classes, "__key", text_col).unionAll(same.where("a <> b"))
-    tree = components(edges)
-    named = pairs.select("node").unionAll(pairs.select(F.col("component_id").alias("node"))).distinct()
-    kept = named.join(tree, "node", "left").select(F.coalesce("root", "node").alias("__kept")).distinct()
-    return docs.join(kept, F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key"]).drop("__key")
+    """The row of the smallest id of every group of documents that similarity or SimHash links join."""
+    numbered = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")  # stored, so that a row keeps its number
+    marked = written(profiles(numbered, ROW, text_col), "profiles")
+    shared = marked.groupBy("s1", "s2").agg(F.min("id").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = written(shared.withColumn("node", F.monotonically_increasing_id()), "shingle-classes")
+    # A row is of one class of equal sets and of one component of fingerprints, which is named by a class.
+    of = written(marked.select("id", "fp", "s1", "s2").join(classes.select("s1", "s2", "node"), ["s1", "s2"]).select("id", "fp", "node"), "rows-of-classes")
+    prints = near_classes(of.select("fp", "node").distinct(), "node")
+    same = with_classes(of.select("fp", "node").distinct(), prints).select(F.col("node").alias("a"), F.col("component_id").alias("b")).where("a <> b")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = classes.select("node", "row").join(nodes, "node", "left_semi")
+        texts = numbered.join(wanted, numbered[ROW] == wanted["row"]).select("node", text_col)
+        return written(shingle_sets(texts, "node", text_col).withColumnRenamed("id", "node"), "shingle-sets")
+
+    rows = written(classes.select("node", "n", F.explode("keys").alias("bucket")), "buckets")
+    tree = components(first_links(rows, sets_of).unionAll(same))
+    others = other_links(rows, tree, sets_of)
+    if others is not None:
+        tree = components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(others))
+    ids = numbered.select(F.col(ROW).alias("id"), F.col(id_col).cast("long").alias("key"))
+    order = F.struct(F.col("key").isNull().alias("lacks"), "key", "id")
+    named = of.select("id", "node").join(tree, "node", "left").select("id", F.coalesce("root", "node").alias("group"))
+    kept = named.join(ids, "id").groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.id").alias("__kept"))
+    return numbered.join(kept, F.col(ROW) == F.col("__kept"), "left_semi").drop(ROW)

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 
 from paralens.llm import near_dedup as n
+from paralens.llm.ragged import Ranges
 
 
 def words(text):
@@ -77,15 +78,22 @@ def test_long_chain(spark):
     assert {(r.node, r.root) for r in n.components(edges).collect()} == {(k, 0) for k in range(1, 301)} | {(1001, 1000)}
 
 
-def test_keeps_one_of_each(docs, texts):
-    kept = {r.doc_id for r in n.keep_one(docs, 4).collect()}
-    fps = [fingerprint(t, 4) for t in texts]
-    assert kept == set(components(fps, list(range(len(texts)))))
+def test_xxh64_equals_the_library():
+    rng = np.random.default_rng(8)
+    data = rng.integers(0, 256, 9000, dtype=np.uint8)
+    size = np.concatenate([np.arange(200), rng.integers(0, 5000, 200), [n.LONG, n.LONG + 1]])
+    starts = rng.integers(0, 9000 - size + 1)
+    found = n.xxh64(Ranges(data), starts, size)
+    assert found.tolist() == [xxhash.xxh64_intdigest(data[a : a + k].tobytes(), 42) for a, k in zip(starts, size, strict=True)]
+
+
+def test_hot_fingerprints_are_joined_alike(spark, docs, monkeypatch):
+    plain = sorted(map(tuple, n.near_duplicates(docs, 4).collect()))
+    monkeypatch.setattr(n, "HOT", 40)
+    assert plain == sorted(map(tuple, n.near_duplicates(docs, 4).collect()))
 
 
 def test_odd_rows(odd, none):
     rows = n.near_duplicates(odd).collect()
     assert len(rows) == odd.count() and {r.component_id for r in rows if r.fp == 0} == {0}
-    kept = n.keep_one(odd)
-    assert kept.columns == odd.columns and len({r.doc_id for r in kept.collect()}) == kept.count()
-    assert n.near_duplicates(none).count() == 0 and n.keep_one(none).count() == 0
+    assert n.near_duplicates(none).count() == 0
