@@ -17,21 +17,22 @@ sizes, and on the shingles that just one of both has, which are no fewer than th
 differ in all. A bucket of many classes that are no near copies of its first is still dealt in pairs of parts.
 
 A text of fewer words is one shingle; texts without words are one class, null ones among them. Of a group the row of
-the smallest id stays, rows without one last, and of equal ids the first as stored; ids need be neither there nor
-unique. An empty table keeps nothing; other columns, of any name, come back as they are. Shingles are 64-bit hashes in
+the smallest id stays, rows without one last, and of equal ids that of the smallest digest of its text; ids need be
+neither there nor unique. An empty table keeps nothing; other columns, of any name, come back as they are. Shingles are 64-bit hashes in
 classes and buckets, and 32 bits of them in the comparison.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..store import written
+from ..store import Table, written
 from .near_dedup import AT_ONCE, components, majority, near_classes, shingle_hashes, whole_buckets, with_classes
 from .ragged import U64, blocks, mixed, spread
 
@@ -43,7 +44,11 @@ BANDS, BAND_ROWS = 12, 4
 RANGE_BITS = 8
 #: Shingles compared at once, and of one part of a bucket.
 COMPARED, PART_SHINGLES = 1 << 20, 1 << 20
-ROW = "__row"
+#: Column for what tells rows apart: whether the id is missing, the id, and a digest of the text. Rows without an id come last.
+NAME = "__name"
+
+SetsOf = Callable[[DataFrame], DataFrame]
+Stored = Callable[[DataFrame, str], DataFrame]
 
 
 def _profile(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -79,8 +84,10 @@ def _profile(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id (an integer), ``fp`` (SimHash), ``s1`` and ``s2`` (equal if the sets of shingles are), ``n`` (shingles in the set), ``keys`` (buckets)."""
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("__text"))
+    """id, ``fp`` (SimHash), ``s1`` and ``s2`` (equal if the sets of shingles are), ``n`` (shingles in the set), ``keys`` (buckets)."""
+    picked = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
+    longs = [T.StructField(c, T.LongType()) for c in ("fp", "s1", "s2", "n")]
+    schema = T.StructType([picked.schema[0], *longs, T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in blocks(batches, "__text", AT_ONCE):
@@ -88,9 +95,9 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             keys = np.stack([c[some] for c in columns[:BANDS]], axis=1).ravel()
             ends = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.view(np.int64)) for c in (fp, *columns[BANDS:])), lists], names=["id", "fp", "s1", "s2", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.view(np.int64)) for c in (fp, *columns[BANDS:])), lists], names=[f.name for f in schema])
 
-    return picked.mapInArrow(run, "id long, fp long, s1 long, s2 long, n long, keys array<long>")
+    return picked.mapInArrow(run, schema)
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -152,19 +159,19 @@ def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
     return [table[c].to_numpy() for c in names]
 
 
-def first_links(rows: DataFrame, sets_of) -> DataFrame:
+def first_links(rows: DataFrame, sets_of: SetsOf, stored: Stored) -> DataFrame:
     """(a, b): the similar pairs of every bucket's first class and another one. ``sets_of``: shingle sets of the nodes of a table."""
     first = rows.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("held")).where("held > 1")
     sized = (UNDER * F.least("n", "first.n") >= OVER * F.greatest("n", "first.n")) & (F.col("node") != F.col("first.node"))
-    pairs = written(rows.join(first, "bucket").where(sized).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    pairs = stored(rows.join(first, "bucket").where(sized).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     sets = sets_of(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct())
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     linked = both.where(UNDER * shared >= OVER * (F.size("x") + F.size("y") - shared))
-    return written(linked.select("a", "b"), "first-links")
+    return stored(linked.select("a", "b"), "first-links")
 
 
-def other_links(rows: DataFrame, tree: DataFrame, sets_of) -> DataFrame | None:
+def other_links(rows: DataFrame, tree: DataFrame, sets_of: SetsOf, stored: Stored) -> DataFrame | None:
     """(a, b): a spanning forest, bucket by bucket, of the similar pairs of different components; None if there are no such buckets."""
     placed = rows.join(tree, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("component"))
     several = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n").alias("weight")).where("low < high")
@@ -191,7 +198,7 @@ def other_links(rows: DataFrame, tree: DataFrame, sets_of) -> DataFrame | None:
                 stays[k] = (same[at_most - 1] != same) | (same[at_least] != same)
             yield from table.filter(pa.array(stays)).combine_chunks().to_batches()
 
-    alive = written(dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(in_reach, dealt.schema), "buckets-in-reach")
+    alive = stored(dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(in_reach, dealt.schema), "buckets-in-reach")
     if not alive.limit(1).count():
         return None
     full = alive.join(sets_of(alive.select("node").distinct()), "node").select("bucket", "pair", "node", "component", "shingles").repartition(*order).sortWithinPartitions(*order)
@@ -217,28 +224,41 @@ def _runs_of(table: pa.Table) -> np.ndarray:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of the smallest id of every group of documents that similarity or SimHash links join."""
-    numbered = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")  # stored, so that a row keeps its number
-    marked = written(profiles(numbered, ROW, text_col), "profiles")
-    shared = marked.groupBy("s1", "s2").agg(F.min("id").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    classes = written(shared.withColumn("node", F.monotonically_increasing_id()), "shingle-classes")
+    """The row of the smallest id of every group of documents that similarity or SimHash links join. ``docs`` is read three times."""
+    made: list[Table] = []
+
+    def stored(df: DataFrame, label: str) -> DataFrame:
+        made.append(Table(df, label))
+        return made[-1].df
+
+    text = F.col(text_col).cast("string")
+    name = F.struct(F.col(id_col).isNull().alias("lacks"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.md5(text), F.lit("")).alias("digest"))
+    marked = stored(profiles(docs.select(name.alias(NAME), text.alias("__text")), NAME, "__text"), "profiles")
+    shared = marked.groupBy("s1", "s2").agg(F.min(NAME).alias(NAME), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = stored(shared.withColumn("node", F.monotonically_increasing_id()), "shingle-classes")  # stored, so that a class keeps its number
     # A row is of one class of equal sets and of one component of fingerprints, which is named by a class.
-    of = written(marked.select("id", "fp", "s1", "s2").join(classes.select("s1", "s2", "node"), ["s1", "s2"]).select("id", "fp", "node"), "rows-of-classes")
-    prints = near_classes(of.select("fp", "node").distinct(), "node")
-    same = with_classes(of.select("fp", "node").distinct(), prints).select(F.col("node").alias("a"), F.col("component_id").alias("b")).where("a <> b")
+    prints = stored(marked.select("fp", "s1", "s2").distinct().join(classes.select("s1", "s2", "node"), ["s1", "s2"]).select("fp", "node"), "prints")
+    found = near_classes(prints, "node")
+    same = with_classes(prints, found).select(F.col("node").alias("a"), F.col("component_id").alias("b")).where("a <> b")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = classes.select("node", "row").join(nodes, "node", "left_semi")
-        texts = numbered.join(wanted, numbered[ROW] == wanted["row"]).select("node", text_col)
-        return written(shingle_sets(texts, "node", text_col).withColumnRenamed("id", "node"), "shingle-sets")
+        wanted = classes.select("node", NAME).join(nodes, "node", "left_semi")
+        texts = docs.select(name.alias(NAME), text.alias("__text")).join(wanted, NAME).select("node", "__text")
+        return stored(shingle_sets(texts, "node", "__text").withColumnRenamed("id", "node").dropDuplicates(["node"]), "shingle-sets")  # rows of one id and text give one set
 
-    rows = written(classes.select("node", "n", F.explode("keys").alias("bucket")), "buckets")
-    tree = components(first_links(rows, sets_of).unionAll(same))
-    others = other_links(rows, tree, sets_of)
+    rows = stored(classes.select("node", "n", F.explode("keys").alias("bucket")), "buckets")
+    tree = components(first_links(rows, sets_of, stored).unionAll(same))
+    others = other_links(rows, tree, sets_of, stored)
     if others is not None:
         tree = components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(others))
-    ids = numbered.select(F.col(ROW).alias("id"), F.col(id_col).cast("long").alias("key"))
-    order = F.struct(F.col("key").isNull().alias("lacks"), "key", "id")
-    named = of.select("id", "node").join(tree, "node", "left").select("id", F.coalesce("root", "node").alias("group"))
-    kept = named.join(ids, "id").groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.id").alias("__kept"))
-    return numbered.join(kept, F.col(ROW) == F.col("__kept"), "left_semi").drop(ROW)
+    named = classes.select("node", NAME).join(tree, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min(NAME).alias(NAME))
+    kept = written(named.select(NAME), "kept")
+    # Rows of one id and text but other columns: the first by these stays.
+    several = marked.groupBy(NAME).agg(F.count(F.lit(1)).alias("times")).where("times > 1").join(kept, NAME, "left_semi").limit(1).count()
+    for table in made:
+        table.drop()
+    out = docs.withColumn(NAME, name).join(kept, NAME, "left_semi")
+    if several:
+        mine = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        out = out.groupBy(NAME).agg(F.min_by(mine, F.to_json(mine)).alias("__row")).select("__row.*")
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -122,7 +122,7 @@ def test_recall_against_all_pairs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     sets = {r.doc_id: shingles(r.text) for r in docs}
     table = spark.createDataFrame(docs)
-    keys = {r.id: set(r["keys"]) for r in similar_texts.profiles(table).collect()}
+    keys = {r.doc_id: set(r["keys"]) for r in similar_texts.profiles(table).collect()}
     found = lost = 0
     for i in sets:
         for j in sets if i % 100 == 0 else ():
@@ -145,6 +145,11 @@ def test_odd_rows(odd, none):
     assert similar_texts.keep_one(none).count() == 0
 
 
+def test_rows_alike_but_for_other_columns(spark):
+    rows = [(1, "some text", "b"), (1, "some text", "a"), (1, "some text", "c")]
+    assert [tuple(r) for r in similar_texts.keep_one(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()] == [(1, "some text", "a")]
+
+
 def test_one_word_of_many_megabytes(spark):
     docs = spark.createDataFrame([(1, "x" * 20_000_000), (2, "x" * 20_000_000), (3, "y " * 3_000_000)], "doc_id long, text string")
     assert sorted(r.doc_id for r in similar_texts.keep_one(docs).select("doc_id").collect()) == [1, 3]
