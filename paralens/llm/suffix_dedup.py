@@ -11,14 +11,17 @@ A byte goes if a string of ``span`` bytes that covers it also starts in a docume
    document are set aside; of the rest each bucket builds a suffix array, keeps its
    Burrows-Wheeler transform as runs with the suffix-array entries of the run ends, and streams the
    windows through the runs backwards; each finds the interval of rows with which it has a match of
-   ``span`` bytes or more, and the smallest id there decides.
-4. Chunks gather the answers, mark what is covered and hash what is left.
+   ``span`` bytes or more, and the smallest id there decides. A bucket is indexed in portions of whole anchors.
+4. Anchors of more than HOT contexts, as a run of spaces has them, would all meet in one place. Their windows are
+   dealt one by one instead, by a hash of the window.
+5. Chunks gather the answers, mark what is covered and hash what is left.
 
 So work follows the bytes of the corpus, however often a passage repeats: copies collapse in step 2
-into one entry an anchor, and each entry is 12 bytes and a one-byte answer. The chunks are a bucketed
+into one entry an anchor and chunk, and rows never outnumber entries. The chunks are a bucketed
 table in the shared folder and never move; a lost executor reads them again.
 
-Contexts count as equal if 64 bits of their own hashes and 32 bits of their anchors' agree; everything in doubt is compared by its bytes.
+Contexts, and windows of step 4, count as equal if two hashes of theirs, of 64 and of 32 bits, and 32 bits of their
+anchors' hashes agree, 128 bits in all; everything in doubt is compared by its bytes.
 Null texts are empty; null ids come after all others and, like rows of one id, remove nothing from each other; an
 empty table gives an empty result. Ids are integers; only the id and text columns are read.
 """
@@ -30,19 +33,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..store import MAX_BUCKETS, Table
+from .cells import Deal, bucket_of, cut, read
 from .ragged import DOC_MIX, U64, Hashes, blocks, covered, mixed, runs, spread
-from ..store import MAX_BUCKETS, Table, bucketed
 
 SPAN, GRAM = 50, 16
 CHUNK_BYTES = 4 << 20
 BUCKET_ANCHORS = 1_000_000
 LAST = np.iinfo(np.int64).max
-FULL, DOUBT = 1, 2
+#: What a context's first entry of a chunk is told: an earlier document has it; its anchor has several contexts; it has very many.
+EARLIER, SEVERAL, MANY = 1, 2, 4
+#: Contexts of an anchor beyond which its windows are dealt one by one.
+HOT = 2000
+#: Bytes of windows in doubt that are indexed at once, or those of one anchor.
+PORTION = 4 << 20
 SEPARATOR = 0xFF  # no byte of UTF-8
 HIGH, LOW = U64(0xFFFFFFFF00000000), U64(0xFFFFFFFF)
 
@@ -86,12 +96,52 @@ class Chunk:
         self.low = np.maximum(self.offs[self.row], self.at - (span - GRAM))
         self.high = np.minimum(self.offs[self.row + 1], self.at + span)
 
-    def keys(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bucket of each anchor, 32 more bits of its hash, and the 64 of its context's."""
-        hashes = Hashes(self.data)
-        h = hashes.of(self.at, self.at + GRAM)
-        c = mixed(hashes.of(self.low, self.high) + (self.at - self.low).astype(U64) * DOC_MIX)
-        return (((h >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64), (h & LOW).astype(np.uint32), c
+    def contexts(self) -> Entries:
+        """The context of each anchor, with its anchor's hash."""
+        one, two = Hashes(self.data), Hashes(self.data, 1)
+        at = (self.at - self.low).astype(U64) * DOC_MIX
+        c = mixed(one.of(self.low, self.high) + at)
+        return Entries(one.of(self.at, self.at + GRAM), c, two.of(self.low, self.high).astype(np.uint32), self.ids[self.row])
+
+    def windows(self, some: np.ndarray, span: int) -> tuple[np.ndarray, Entries]:
+        """Starts of the windows that pick the anchors ``some``, and the windows."""
+        n = self.last[some] - self.first[some] + 1
+        start, row = spread(self.first[some], n), np.repeat(self.row[some], n)
+        one, two = Hashes(self.data), Hashes(self.data, 1)
+        h = one.of(start, start + span)
+        return start, Entries(mixed(h), h, two.of(start, start + span).astype(np.uint32), self.ids[row])
+
+
+class Entries:
+    """Strings of a chunk by their hashes: ``group`` says where they meet, ``one`` and ``two`` whether they are equal."""
+
+    def __init__(self, group: np.ndarray, one: np.ndarray, two: np.ndarray, doc: np.ndarray):
+        order = np.lexsort((two, one))
+        a, b = one[order], two[order]
+        fresh = np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        number = np.cumsum(fresh) - 1
+        self.of = np.empty(len(order), np.int64)  # which distinct string each is
+        self.of[order] = number
+        heads = np.flatnonzero(fresh)
+        self.doc = np.minimum.reduceat(doc[order], heads) if len(heads) else doc[:0]  # the smallest id here
+        self.later = doc > self.doc[self.of]
+        lead = order[heads]
+        self.group, self.one, self.two = group[lead], one[lead], two[lead]
+
+    def deal(self, chunk: int, buckets: int) -> pa.RecordBatch:
+        d = Deal(bucket_of(self.group, buckets))
+        columns = (self.group.astype(np.uint32), self.one, self.two, self.doc)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(d.buckets), chunk)), pa.array(d.buckets), *(d.cells(c) for c in columns)], names=DEALT)
+
+    def told(self, buckets: int, rows: pa.Table) -> np.ndarray:
+        """What each string was told, for every entry: EARLIER also where this chunk has it in an earlier document."""
+        d = Deal(bucket_of(self.group, buckets))
+        status = d.back(rows.column("bucket").to_pylist(), rows.column("status").to_pylist(), np.uint8)[self.of]
+        return status | np.where(self.later, EARLIER, 0).astype(np.uint8)
+
+
+DEALT = ["chunk", "bucket", "groups", "ones", "twos", "docs"]
+DEALT_TYPE = "chunk long, bucket long, groups binary, ones binary, twos binary, docs binary"
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -127,25 +177,32 @@ def _chunk(table: pa.Table | pa.RecordBatch, k: int, span: int) -> Chunk:
     return Chunk(_ids(cell("ids").values), read("data", np.uint8), read("sizes", np.int32), (at, at - back, at - back + more), span)
 
 
-def _status(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """FULL where an earlier document has the whole context; DOUBT for the rest of anchors with several contexts."""
-    out = np.zeros(len(anchor), np.uint8)
-    if not len(anchor):
+def _status(group: np.ndarray, one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """What every entry of a bucket is told."""
+    out = np.zeros(len(group), np.uint8)
+    if not len(group):
         return out
-    order = np.lexsort((context, anchor))
-    anchor, context, doc = anchor[order], context[order], doc[order]
-    fresh = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])])
+    order = np.lexsort((two, one, group))
+    group, one, two, doc = group[order], one[order], two[order], doc[order]
+    fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
     heads = np.flatnonzero(fresh)
     earliest = np.minimum.reduceat(doc, heads)
-    anchor = anchor[heads]
-    group = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    several = np.minimum.reduceat(earliest, group) < np.maximum.reduceat(earliest, group)
-    several = np.repeat(several, np.diff(np.append(group, len(heads))))
+    group = group[heads]
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    held = np.diff(np.append(first, len(heads)))
+    several = np.minimum.reduceat(earliest, first) < np.maximum.reduceat(earliest, first)
+    of_group = np.repeat(several * SEVERAL + (held > HOT) * MANY, held).astype(np.uint8)
     which = np.cumsum(fresh) - 1
-    out[order] = np.where(doc > earliest[which], FULL, np.where(several[which], DOUBT, 0))
+    out[order] = np.where(doc > earliest[which], EARLIER, 0).astype(np.uint8) | of_group[which]
     return out
 
 
+def judge(table: pa.Table) -> pa.Table:
+    cells = [read(table.column(c), t) for c, t in zip(DEALT[2:], (np.uint32, np.uint64, np.uint32, np.int64), strict=True)]
+    status = _status(*(np.concatenate(c) for c in cells))
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "status": cut(status, np.cumsum([len(c) for c in cells[0]]))})
+
+
 class RunLengthIndex:
     """A run-compressed Burrows-Wheeler transform of byte strings, with the suffix-array entries of run ends.
 
@@ -301,13 +358,24 @@ def may_match(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, offsets: np.
     return out
 
 
-def _pieces(buckets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of items by bucket, and where each bucket ends."""
-    return np.argsort(buckets, kind="stable"), np.cumsum(np.bincount(buckets, minlength=n))
-
-
-def _cut(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    return pa.array([values[a:b].tobytes() for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)], pa.binary())
+def covered_starts(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, offsets: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """Which bytes start a window that a string of a smaller id holds, portion by portion of whole anchors."""
+    starts = np.cumsum(sizes) - sizes
+    anchor = Hashes(data).of(starts + offsets, starts + offsets + GRAM)
+    order = np.argsort(anchor, kind="stable")
+    fresh = np.concatenate([np.ones(min(1, len(order)), bool), anchor[order][1:] != anchor[order][:-1]])
+    before = np.cumsum(sizes[order]) - sizes[order]
+    portion = np.maximum.accumulate(np.where(fresh, before, 0)) // PORTION  # of an anchor's first byte
+    hit = np.zeros(len(data), bool)
+    edges = np.flatnonzero(np.diff(portion, prepend=-1))
+    for low, high in zip(edges, np.append(edges[1:], len(order)), strict=True):
+        some = order[low:high]
+        text = data[spread(starts[some], sizes[some])]
+        likely = may_match(text, sizes[some], ids[some], offsets[some], span)
+        of_likely = np.repeat(likely, sizes[some])
+        some = some[likely]
+        hit[spread(starts[some], sizes[some])] = earlier_windows(text[of_likely], sizes[some], ids[some], span)
+    return hit
 
 
 def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,75 +383,58 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
     if not GRAM + 8 <= span:
         raise ValueError("span is too short for its anchors")
     id_type = docs.select(F.col(id_col)).schema[0].dataType
-    sizes = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    files = max(8, min(MAX_BUCKETS, -(-sizes // (4 * CHUNK_BYTES))))
-    chunks = bucketed(packed(docs, id_col, text_col, span), "chunks", files, "chunk")
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    files = max(8, min(MAX_BUCKETS, -(-size // (4 * CHUNK_BYTES))))
+    chunks = Table(packed(docs, id_col, text_col, span), "chunks", "zstd", files, "chunk").df
     buckets = max(32, -(-(chunks.agg(F.sum("n_anchors")).first()[0] or 0) // BUCKET_ANCHORS))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                c = _chunk(batch, k, span)
-                bucket, anchor, context = c.keys(buckets)
-                order, ends = _pieces(bucket, buckets)
-                per_doc = np.zeros((buckets, len(c.ids)), np.int32)
-                np.add.at(per_doc, (bucket, c.row), 1)
-                steps = np.diff(c.ids, prepend=0).tobytes()
                 number = batch.column(batch.schema.get_field_index("chunk"))[k].as_py()
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(buckets, number)), pa.array(np.arange(buckets), pa.int32()), pa.array([steps] * buckets, pa.binary()),
-                    pa.array([x.tobytes() for x in per_doc], pa.binary()), _cut(anchor[order], ends), _cut(context[order], ends),
-                ], names=["chunk", "bucket", "ids", "per_doc", "hashes", "contexts"])
-
-    def judge(table: pa.Table) -> pa.Table:
-        doc, anchor, context, size = [], [], [], []
-        for ids, per_doc, h, c in zip(*(table.column(x).to_pylist() for x in ("ids", "per_doc", "hashes", "contexts")), strict=True):
-            doc.append(np.repeat(np.cumsum(np.frombuffer(ids, np.int64)), np.frombuffer(per_doc, np.int32)))
-            anchor.append(np.frombuffer(h, np.uint32))
-            context.append(np.frombuffer(c, np.uint64))
-            size.append(len(anchor[-1]))
-        status = _status(np.concatenate(anchor), np.concatenate(context), np.concatenate(doc))
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "status": _cut(status, np.cumsum(size))})
-
-    names = ["chunk", "bucket", "positions", "sizes", "ids", "offsets", "data"]
-    asked_type = "chunk long, bucket int, positions binary, sizes binary, ids binary, offsets binary, data binary"
+                yield _chunk(batch, k, span).contexts().deal(number, buckets)
+
+    asked_names = ["kind", "chunk", "bucket", "positions", "sizes", "ids", "offsets", "data"]
+    asked_type = "kind int, chunk long, bucket long, positions binary, sizes binary, ids binary, offsets binary, data binary"
+    sure_kind, doubt_kind, hot_kind = 0, 1, 2
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
-        """What is surely covered (bucket -1), and the windows in doubt by bucket."""
-        c = _chunk(left, 0, span)
-        bucket = c.keys(buckets)[0]
-        order, ends = _pieces(bucket, buckets)
-        status = np.zeros(len(order), np.uint8)
-        begin = np.concatenate([[0], ends[:-1]])
-        for b, cell in zip(right.column("bucket").to_pylist(), right.column("status").to_pylist(), strict=True):
-            status[order[begin[b] : ends[b]]] = np.frombuffer(cell, np.uint8)
-        sure = covered(c.low[status == FULL], c.high[status == FULL], len(c.data))
-        doubt = order[status[order] == DOUBT]
+        """What is surely covered, the windows in doubt by bucket, and those of hot anchors."""
+        c, number = _chunk(left, 0, span), left.column("chunk")[0].as_py()
+        entries = c.contexts()
+        bucket = bucket_of(entries.group, buckets)[entries.of]
+        status = entries.told(buckets, right)
+        full = (status & EARLIER) > 0
+        hot = np.flatnonzero(~full & ((status & MANY) > 0))
+        doubt = np.flatnonzero(~full & ((status & MANY) == 0) & ((status & SEVERAL) > 0))
+        start, windows = c.windows(hot, span)
+        # Of equal windows here only the earliest document's may stay, and one of these asks.
+        here = start[windows.later]
+        sure = covered(np.concatenate([c.low[full], here]), np.concatenate([c.high[full], here + span]), len(c.data))
+        low, high, _ = runs(sure, np.array([0, len(c.data)]))
+
+        d = Deal(bucket[doubt])
+        doubt = doubt[d.order]
         first, size = c.first[doubt], c.last[doubt] + span - c.first[doubt]
-        stop = np.cumsum(np.bincount(bucket[doubt], minlength=buckets))
-        letters = c.data[spread(first, size)]
-        byte_stop = np.concatenate([[0], np.cumsum(size)])[stop]
-        number = left.column("chunk")[0].as_py()
-        runs_of = runs(sure, np.array([0, len(c.data)]))
-        some = np.flatnonzero(np.diff(stop, prepend=0))
-        pick = lambda array: pa.array([array[k].as_py() for k in some], pa.binary())
-        return pa.table({
-            "chunk": pa.array(np.full(len(some) + 1, number)), "bucket": pa.array([-1, *some], pa.int32()),
-            "positions": pa.concat_arrays([pa.array([runs_of[0].astype(np.int64).tobytes()], pa.binary()), pick(_cut(first.astype(np.int64), stop))]),
-            "sizes": pa.concat_arrays([pa.array([runs_of[1].astype(np.int64).tobytes()], pa.binary()), pick(_cut(size.astype(np.int64), stop))]),
-            "ids": pa.concat_arrays([pa.array([b""], pa.binary()), pick(_cut(c.ids[c.row[doubt]], stop))]),
-            "offsets": pa.concat_arrays([pa.array([b""], pa.binary()), pick(_cut((c.at[doubt] - first).astype(np.int16), stop))]),
-            "data": pa.concat_arrays([pa.array([b""], pa.binary()), pick(_cut(letters, byte_stop))]),
-        })
+        byte_ends = np.concatenate([[0], np.cumsum(size)])[d.ends]
+        w = Deal(bucket_of(windows.group, buckets))
+        none = lambda n: pa.array([b""] * n, pa.binary())
+        n_doubt, n_hot = len(d.buckets), len(w.buckets)
+        parts = [
+            [pa.array([low.astype(np.int64).tobytes()], pa.binary()), cut(first.astype(np.int64), d.ends), w.cells(windows.group.astype(np.uint32))],
+            [pa.array([high.astype(np.int64).tobytes()], pa.binary()), cut(size.astype(np.int64), d.ends), w.cells(windows.two)],
+            [none(1), cut(c.ids[c.row[doubt]], d.ends), w.cells(windows.doc)],
+            [none(1), cut((c.at[doubt] - first).astype(np.int16), d.ends), none(n_hot)],
+            [none(1), cut(c.data[spread(first, size)], byte_ends), w.cells(windows.one)],
+        ]
+        kinds = np.repeat([sure_kind, doubt_kind, hot_kind], [1, n_doubt, n_hot])
+        where = np.concatenate([[0], d.buckets, w.buckets]).astype(np.int64)
+        return pa.Table.from_arrays([pa.array(kinds, pa.int32()), pa.array(np.full(len(kinds), number)), pa.array(where), *(pa.concat_arrays(p) for p in parts)], names=asked_names)
 
     def solve(table: pa.Table) -> pa.Table:
         """Ranges covered in each chunk by the windows in doubt of one bucket."""
-        read = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
-        at, size, ids, data = read("positions", np.int64), read("sizes", np.int64), read("ids", np.int64), read("data", np.uint8)
-        sizes_, ids_, all_data = np.concatenate(size), np.concatenate(ids), np.concatenate(data)
-        likely = may_match(all_data, sizes_, ids_, np.concatenate(read("offsets", np.int16)).astype(np.int64), span)
-        hit = np.zeros(len(all_data), bool)
-        hit[np.repeat(likely, sizes_)] = earlier_windows(all_data[np.repeat(likely, sizes_)], sizes_[likely], ids_[likely], span)
+        at, size, ids, data, offset = (read(table.column(c), t) for c, t in (("positions", np.int64), ("sizes", np.int64), ("ids", np.int64), ("data", np.uint8), ("offsets", np.int16)))
+        hit = covered_starts(np.concatenate(data), np.concatenate(size), np.concatenate(ids), np.concatenate(offset).astype(np.int64), span)
         place = np.concatenate([spread(a, s) for a, s in zip(at, size, strict=True)])
         ends = np.cumsum([len(d) for d in data])
         starts, stops = [], []
@@ -391,14 +442,27 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
             p = np.unique(place[a:b][hit[a:b]])
             starts.append(p.tobytes())
             stops.append((p + span).tobytes())
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "positions": pa.array(starts, pa.binary()), "sizes": pa.array(stops, pa.binary())})
+        n = table.num_rows
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "positions": pa.array(starts, pa.binary()), "sizes": pa.array(stops, pa.binary()), "status": pa.array([None] * n, pa.binary())})
+
+    def judge_windows(table: pa.Table) -> pa.Table:
+        told = judge(table.rename_columns(DEALT))
+        none = pa.array([None] * table.num_rows, pa.binary())
+        return pa.table({"chunk": told.column("chunk"), "bucket": told.column("bucket"), "positions": none, "sizes": none, "status": told.column("status")})
 
     out_schema = T.StructType([T.StructField(id_col, id_type), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType()), T.StructField("kept_sha256", T.StringType())])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         c = _chunk(left, 0, span)
-        a = np.concatenate([np.frombuffer(x, np.int64) for x in right.column("positions").to_pylist()])
-        b = np.concatenate([np.frombuffer(x, np.int64) for x in right.column("sizes").to_pylist()])
+        ranged, hot = (right.filter(pa.compute.is_valid(right.column(x))) for x in ("positions", "status"))
+        a, b = (np.concatenate([*read(ranged.column(x), np.int64), np.zeros(0, np.int64)]) for x in ("positions", "sizes"))
+        if hot.num_rows:
+            entries = c.contexts()
+            flags = right.filter(pa.compute.is_valid(right.column("anchors")))
+            status = entries.told(buckets, flags.select(["bucket", "anchors"]).rename_columns(["bucket", "status"]))
+            start, windows = c.windows(np.flatnonzero(((status & EARLIER) == 0) & ((status & MANY) > 0)), span)
+            gone = start[(windows.told(buckets, hot) & EARLIER) > 0]
+            a, b = np.concatenate([a, gone]), np.concatenate([b, gone + span])
         gone = covered(a, b, len(c.data))
         n = len(c.ids)
         start, stop, row = runs(gone, c.offs)
@@ -411,10 +475,18 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
         ], names=out_schema.names)
 
     columns = ["chunk", "ids", "data", "sizes", "anchors", "firsts"]
-    dealt = chunks.select(*columns).mapInArrow(deal, "chunk long, bucket int, ids binary, per_doc binary, hashes binary, contexts binary")
-    judged = Table(dealt.groupBy("bucket").applyInArrow(judge, "chunk long, bucket int, status binary"), "anchor-status", "zstd")
+    judged = Table(chunks.select(*columns).mapInArrow(deal, DEALT_TYPE).groupBy("bucket").applyInArrow(judge, "chunk long, bucket long, status binary"), "anchor-status", "zstd")
     by_chunk = chunks.select(*columns).groupBy("chunk")
-    asked = Table(by_chunk.cogroup(judged.df.groupBy("chunk")).applyInArrow(settle, asked_type), "windows-in-doubt", "zstd")
-    solved = asked.df.where("bucket >= 0").select(*names).groupBy("bucket").applyInArrow(solve, "chunk long, bucket int, positions binary, sizes binary")
-    answers = asked.df.where("bucket < 0").select("chunk", "bucket", "positions", "sizes").unionByName(solved)
+    asked = Table(by_chunk.cogroup(judged.df.groupBy("chunk")).applyInArrow(settle, asked_type), "windows-in-doubt", "zstd").df
+    answer_type = "chunk long, bucket long, positions binary, sizes binary, status binary"
+    solved = asked.where(F.col("kind") == doubt_kind).select(*asked_names[1:]).groupBy("bucket").applyInArrow(solve, answer_type)
+    hot = asked.where(F.col("kind") == hot_kind)
+    answers = asked.where(F.col("kind") == sure_kind).select("chunk", "bucket", "positions", "sizes", F.lit(None).cast("binary").alias("status")).unionByName(solved)
+    answers = answers.withColumn("anchors", F.lit(None).cast("binary"))
+    if hot.limit(1).count():
+        told = hot.select("chunk", "bucket", "positions", "data", "sizes", "ids").groupBy("bucket").applyInArrow(judge_windows, answer_type)
+        # Chunks with hot windows find them again by what their anchors were told.
+        mine = judged.df.join(hot.select("chunk").distinct(), "chunk", "left_semi")
+        flags = mine.select("chunk", "bucket", *(F.lit(None).cast("binary").alias(c) for c in ("positions", "sizes")), F.lit(None).cast("binary").alias("status"), F.col("status").alias("anchors"))
+        answers = answers.unionByName(told.withColumn("anchors", F.lit(None).cast("binary"))).unionByName(flags)
     return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(finish, out_schema)

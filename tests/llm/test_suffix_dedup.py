@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from paralens.llm import suffix_dedup as s
@@ -61,29 +62,52 @@ def test_every_window_has_its_anchor():
     assert [seen[k] == 1 for k in range(4951)] == [row[k] == row[k + 49] for k in range(4951)]
 
 
-def test_contexts_whose_hashes_share_32_bits(spark):
-    """Of many contexts of one anchor, two whose hashes agree in their low half."""
-    rng = np.random.default_rng(2)
+def one_anchor(n, seed=2):
+    """Texts of 84 bytes around one gram, which is the anchor of (almost) all their windows."""
+    rng = np.random.default_rng(seed)
     grams = rng.integers(97, 123, (200_000, s.GRAM)).astype(np.uint8)
     word = np.ascontiguousarray(grams).view("<u8")
     h = (word[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ (word[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F))
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
-    gram = grams[np.argmin(h * np.uint64(0x94D049BB133111EB))]
-    left, n = s.SPAN - s.GRAM, 200_000
+    left = s.SPAN - s.GRAM
     every = rng.integers(97, 123, (n, left + s.SPAN)).astype(np.uint8)
-    every[:, left : s.SPAN] = gram
-    starts = np.arange(n) * every.shape[1]
-    hashes = s.Hashes(every.ravel())
-    c = s.mixed(hashes.of(starts, starts + every.shape[1]) + np.full(n, left, np.uint64) * s.DOC_MIX) & s.LOW
-    order = np.argsort(c)
-    alike = np.flatnonzero(c[order][1:] == c[order][:-1])
-    assert len(alike)
-    rows = [(k, every[order[x]].tobytes()) for k, x in enumerate(np.stack([alike, alike + 1], axis=1).ravel())]
-    assert all(s.anchors(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].tolist() == [left] for _, t in rows)
-    df = spark.createDataFrame([(k, t.decode()) for k, t in rows], "doc_id long, text string")
-    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in s.dedup(df).collect()}
-    assert found == brute(rows) and not any(f[1] for f in found.values())
+    every[:, left : s.SPAN] = grams[np.argmin(h * np.uint64(0x94D049BB133111EB))]
+    return every
+
+
+def digest(df):
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in s.dedup(df).collect()}
+
+
+def test_many_contexts_of_one_anchor(spark):
+    """Of 300,000 texts that share 16 bytes, none goes."""
+    every = one_anchor(300_000)
+    df = spark.createDataFrame(pd.DataFrame({"doc_id": np.arange(len(every)), "text": [x.tobytes().decode() for x in every]})).repartition(8)
+    assert s.dedup(df).where("n_removed > 0").count() == 0
+
+
+@pytest.mark.parametrize("hot", [s.HOT, 3])
+def test_windows_of_hot_anchors(spark, docs, texts, monkeypatch, hot):
+    monkeypatch.setattr(s, "HOT", hot)
+    monkeypatch.setattr(s, "PORTION", 200)
+    monkeypatch.setattr(s, "BUCKET_ANCHORS", 60)
+    rows = [(k, t.encode()) for k, t in enumerate(texts)]
+    assert digest(docs) == brute(rows)
+    base = one_anchor(30)
+    mixed = [(k, x.tobytes()) for k, x in enumerate(base)] + [(100 + k, base[k, 5:60].tobytes() + base[k + 1, :70].tobytes()) for k in range(20)] + [(150, base[0].tobytes() * 3)]
+    df = spark.createDataFrame([(k, t.decode()) for k, t in mixed], "doc_id long, text string")
+    assert digest(df) == brute(mixed)
+
+
+def test_rows_never_outnumber_entries():
+    data = np.random.default_rng(3).integers(97, 123, 60_000).astype(np.uint8)
+    chunk = s.Chunk(np.arange(60), data, np.full(60, 1000), None)
+    entries = chunk.contexts()
+    for buckets in (1, 32, 1 << 20, 1 << 31):
+        batch = entries.deal(0, buckets)
+        assert batch.num_rows <= min(buckets, len(chunk.at))
+        assert sum(len(x) for x in batch.column(3).to_pylist()) == 8 * len(entries.one)
 
 
 def test_odd_rows(odd, none):
