@@ -10,13 +10,14 @@ place) are removed. So every repeat of two lines or more goes, whatever stands a
 two lines of it hold a word. Occurrences may overlap: a run of equal lines keeps one. The first of
 equal lines is never removed.
 
-Texts are packed into bucketed groups that never move. Groups deal the hashes of their blocks to
-buckets; a bucket answers which of them it has seen twice; only of those a group sends the bytes,
-once each however often they occur in it, and gets back where the first occurrence stands. A block
-that every document holds is thus one entry a group.
+Texts are packed into bucketed groups that never move. A group emits a row for each distinct block of
+its own, by two hashes of 64 and 32 bits; their sums say what stands more than once and where first. The group of the first
+occurrence hands out the bytes, and every other group that has such a block gets them once and compares its own. A block
+that every document holds is thus one row a group, in shuffled joins whose skewed partitions Spark splits.
 
 Null texts are one empty line; null ids come after all others; rows of one id count as one
-document, so a block at the same place of both stays in both; an empty table gives an empty result.
+document, so a block at the same place of both stays in both; an empty table gives an empty result. Blocks of equal hashes
+but other bytes than the first's stay.
 Ids are integers; only the id and text columns are read.
 """
 
@@ -27,25 +28,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ragged import BASE, SPACED_WORD, U64, Hashes, blocks, covered, lines, mixed, spread
-from ..store import MAX_BUCKETS, Table, bucketed
+from ..store import MAX_BUCKETS, Table
+from .ragged import BASE, SPACED_WORD, U64, Hashes, Ranges, blocks, covered, flat, lines, mixed
 
 GROUP_BYTES = 4 << 20
 WINDOW, DIVISOR = 2, 3
-BUCKET_BLOCKS = 200_000
 LAST = np.iinfo(np.int64).max
 
 
-class Lines:
+class Lines(Ranges):
     """The texts of one group, cut into chunks of lines, and the blocks of them that are matched."""
 
     def __init__(self, ids: np.ndarray, data: np.ndarray, sizes: np.ndarray):
+        super().__init__(data)
         self.ids, self.data = ids, data
         self.offs = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         self.starts, self.ends, self.row = lines(data, self.offs)
@@ -67,16 +67,47 @@ class Lines:
         picked = picked[np.argsort(first[picked], kind="stable")]
         self.first, self.last = first[picked], last[picked]
         self.begin, self.stop, self.doc = self.starts[self.first], self.ends[self.last], self.row[self.first]
-        self.hash = hashes.of(self.begin, self.stop)
-        # Every line of every block, by its number, with the bytes of the block.
-        count = self.last - self.first + 1
-        self.chunk_of, self.number = np.arange(len(h)), spread(self.first, count)
-        self.low, self.high = np.repeat(self.begin, count), np.repeat(self.stop, count)
+        self.size = self.stop - self.begin
+        self.one, self.two = hashes.of(self.begin, self.stop).view(np.int64), Hashes(data, 1).of(self.begin, self.stop).astype(np.uint32)
 
     def place(self) -> np.ndarray:
         """Where in its text each block stands."""
         return self.begin - self.offs[self.doc]
 
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first occurrence, by id and place, of each distinct block, and how often it occurs."""
+        order = np.lexsort((self.place(), self.ids[self.doc], self.two, self.one))
+        a, b = self.one[order], self.two[order]
+        heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        return order[heads], np.diff(np.append(heads, len(order)))
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Which of the distinct (one, two) each block is, or -1."""
+        order = np.lexsort((two, one))
+        out, at = np.full(len(self.one), -1), np.searchsorted(one[order], self.one)
+        left = np.flatnonzero(at < len(order))
+        while len(left):  # once, unless blocks share the first hash alone
+            left = left[one[order[at[left]]] == self.one[left]]
+            same = two[order[at[left]]] == self.two[left]
+            out[left[same]] = order[at[left[same]]]
+            left = left[~same]
+            at[left] += 1
+            left = left[at[left] < len(order)]
+        return out
+
+    def without(self, gone: np.ndarray) -> list[bytes]:
+        """The texts without the lines ``gone``, the others joined by line feeds."""
+        last = np.zeros(len(gone), bool)  # lines that no feed follows
+        last[np.append(np.flatnonzero(self.row[1:] != self.row[:-1]), len(gone) - 1) if len(gone) else []] = True
+        kept = np.flatnonzero(~gone)
+        final = np.append(np.flatnonzero(self.row[kept][1:] != self.row[kept][:-1]), len(kept) - 1) if len(kept) else kept
+        ends = self.ends[kept] + ~last[kept]
+        ends[final] = self.ends[kept][final]
+        mask = covered(self.starts[kept], ends, len(self.data))
+        raw = self.data[mask].tobytes()
+        edge = np.concatenate([[0], np.cumsum(mask)])[self.offs]
+        return [raw[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
 
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
@@ -99,118 +130,64 @@ def _lines(table: pa.Table | pa.RecordBatch, k: int) -> Lines:
     return Lines(ids, np.frombuffer(cell("data").as_buffer(), np.uint8), np.frombuffer(cell("sizes").as_buffer(), np.int32))
 
 
-def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    bucket = (((h >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
-    return np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=buckets))
-
-
-def _slices(ends: np.ndarray) -> list[tuple[int, int]]:
-    return list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
-
-
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, n_lines, n_chunks, n_removed_chunks (of which no line is left), n_removed_lines, kept (the lines left, joined by line feeds) and kept_sha256."""
     id_type = docs.select(F.col(id_col)).schema[0].dataType
-    text = F.col(text_col).cast("string")
-    feeds = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
-    size, n_lines = (x or 0 for x in docs.agg(F.sum(F.octet_length(text)), F.sum(feeds + 1)).first())
-    groups = bucketed(packed(docs, id_col, text_col), "line_groups", max(8, min(MAX_BUCKETS, -(-size // (4 * GROUP_BYTES)))), "part")
-    buckets = max(32, -(-size // (BUCKET_BLOCKS * 256)), -(-n_lines // BUCKET_BLOCKS))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    columns = ["part", "ids", "data", "sizes"]
+    groups = Table(packed(docs, id_col, text_col), "line-groups", "zstd", max(8, min(MAX_BUCKETS, -(-size // (4 * GROUP_BYTES)))), "part").df.select(*columns)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                x = _lines(batch, k)
-                order, ends = _by_bucket(x.hash, buckets)
-                number = batch.column(batch.schema.get_field_index("part"))[k].as_py()
-                cells = [x.hash[order[a:b]].tobytes() for a, b in _slices(ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(buckets, number)), pa.array(np.arange(buckets), pa.int32()), pa.array(cells, pa.binary())], names=["part", "bucket", "hashes"])
-
-    def judge(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        _, index, often = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        again = (often[index] > 1).astype(np.uint8)
-        ends = np.cumsum([len(p) for p in parts])
-        return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), "again": pa.array([again[a:b].tobytes() for a, b in _slices(ends)], pa.binary())})
-
-    def repeated(x: Lines, right: pa.Table) -> list[np.ndarray]:
-        """By bucket, the blocks whose hash stands more than once, in the order of the hashes dealt."""
-        order, ends = _by_bucket(x.hash, buckets)
-        flags = dict(zip(right.column("bucket").to_pylist(), right.column("again").to_pylist(), strict=True))
-        return [order[a:b][np.frombuffer(flags[k], np.uint8) == 1] for k, (a, b) in enumerate(_slices(ends))]
-
-    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Each distinct block in doubt with its first occurrence in this group."""
-        x = _lines(left, 0)
-        place, raw = x.place(), x.data.tobytes()
-        rows: dict[str, list] = {"bucket": [], "texts": [], "ids": [], "places": []}
-        for bucket, found in enumerate(repeated(x, right)):
-            first: dict[bytes, tuple[int, int]] = {}
-            for c in found.tolist():
-                text, at = raw[x.begin[c] : x.stop[c]], (int(x.ids[x.doc[c]]), int(place[c]))
-                first[text] = min(first.get(text, at), at)
-            if first:
-                rows["bucket"].append(bucket)
-                rows["texts"].append(list(first))
-                rows["ids"].append([i for i, _ in first.values()])
-                rows["places"].append([p for _, p in first.values()])
-        n = len(rows["bucket"])
-        return pa.table({
-            "part": pa.array([left.column("part")[0].as_py()] * n, pa.int64()), "bucket": pa.array(rows["bucket"], pa.int32()), "texts": pa.array(rows["texts"], pa.list_(pa.binary())),
-            "ids": pa.array(rows["ids"], pa.list_(pa.int64())), "places": pa.array(rows["places"], pa.list_(pa.int64())),
-        })
-
-    def solve(table: pa.Table) -> pa.Table:
-        """The first occurrence anywhere of each block that a group asked about, equal bytes being equal blocks."""
-        first: dict[bytes, tuple[int, int]] = {}
-        asked = list(zip(*(table.column(c).to_pylist() for c in ("texts", "ids", "places")), strict=True))
-        for texts, ids, places in asked:
-            for text, i, p in zip(texts, ids, places, strict=True):
-                first[text] = min(first.get(text, (i, p)), (i, p))
-        found = [[first[t] for t in texts] for texts, _, _ in asked]
-        return pa.table({
-            "part": table.column("part"), "bucket": table.column("bucket"),
-            "ids": pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int64())), "places": pa.array([[p for _, p in f] for f in found], pa.list_(pa.int64())),
-        })
+                x, number = _lines(batch, k), batch.column(batch.schema.get_field_index("part"))[k].as_py()
+                first, times = x.distinct()
+                arrays = (x.one[first], x.two[first].astype(np.int64), np.full(len(first), number), x.ids[x.doc[first]], x.place()[first], times)
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["one", "two", "part", "id", "place", "times"])
+
+    def handed(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The bytes of the blocks that this group has first."""
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"one": pa.array([], pa.int64()), "two": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "place": pa.array([], pa.int64()), "bytes": pa.array([], pa.binary())})
+        x, (one, two) = _lines(left, 0), (right.column(c).to_numpy() for c in ("one", "two"))
+        which = x.find(one, two.astype(np.uint32))
+        first, _ = x.distinct()
+        first = first[which[first] >= 0]
+        texts = [x.text(int(a), int(n)) for a, n in zip(x.begin[first], x.size[first], strict=True)]
+        picked = right.take(pa.array(which[first]))
+        return pa.table({"one": picked.column("one"), "two": picked.column("two"), "id": picked.column("id"), "place": picked.column("place"), "bytes": pa.array(texts, pa.binary())})
 
     names = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
     schema = T.StructType([T.StructField(id_col, id_type), *(T.StructField(c, T.LongType()) for c in names), T.StructField("kept", T.BinaryType()), T.StructField("kept_sha256", T.StringType())])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         x = _lines(left, 0)
-        n, place, raw = len(x.ids), x.place(), x.data.tobytes()
-        flags, answers = right.filter(pa.compute.is_valid(right.column("again"))), right.filter(pa.compute.is_valid(right.column("ids")))
-        told = {b: (i, p) for b, i, p in zip(*(answers.column(c).to_pylist() for c in ("bucket", "ids", "places")), strict=True)}
-        gone = np.zeros(len(x.begin), bool)
-        for bucket, found in enumerate(repeated(x, flags)):
-            nth: dict[bytes, int] = {}
-            for c in found.tolist():
-                k = nth.setdefault(raw[x.begin[c] : x.stop[c]], len(nth))
-                ids, places = told[bucket]
-                gone[c] = (ids[k], places[k]) != (int(x.ids[x.doc[c]]), int(place[c]))
-        line_gone = covered(x.first[gone], x.last[gone] + 1, len(x.row))
+        n = len(x.ids)
+        one, two, ids, places = (right.column(c).to_numpy() for c in ("one", "two", "id", "place"))
+        data, offs = flat(right.column("bytes"))
+        which = x.find(one, two.astype(np.uint32))
+        some = np.flatnonzero(which >= 0)
+        which = which[some]
+        same = np.diff(offs)[which] == x.size[some]
+        same[same] = x.alike(x.begin[some[same]], x.size[some[same]], Ranges(data), offs[which[same]])
+        gone = same & ((ids[which] != x.ids[x.doc[some]]) | (places[which] != x.place()[some]))
+        some = some[gone]
+        line_gone = covered(x.first[some], x.last[some] + 1, len(x.row))
         chunk_doc = x.row[x.chunk_first]
         chunk_gone = np.logical_and.reduceat(line_gone, x.chunk_first) if len(chunk_doc) else line_gone
-        touched = np.bincount(x.row[line_gone], minlength=n)
-        count = np.bincount(x.row, minlength=n)
-        edge = np.concatenate([[0], np.cumsum(count)])
-        texts = []
-        for d in range(n):
-            if touched[d]:
-                keep = np.arange(edge[d], edge[d + 1])[~line_gone[edge[d] : edge[d + 1]]]
-                texts.append(b"\n".join(raw[x.starts[k] : x.ends[k]] for k in keep.tolist()))
-            else:
-                texts.append(raw[x.offs[d] : x.offs[d + 1]])
-        numbers = (count, np.bincount(chunk_doc, minlength=n), np.bincount(chunk_doc[chunk_gone], minlength=n), touched)
+        texts = x.without(line_gone)
+        numbers = (np.bincount(x.row, minlength=n), np.bincount(chunk_doc, minlength=n), np.bincount(chunk_doc[chunk_gone], minlength=n), np.bincount(x.row[line_gone], minlength=n))
         return pa.Table.from_arrays([
             left.column("ids").combine_chunks().values, *(pa.array(v.astype(np.int64)) for v in numbers), pa.array(texts, pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
         ], names=schema.names)
 
-    columns = ["part", "ids", "data", "sizes"]
-    dealt = groups.select(*columns).mapInArrow(deal, "part long, bucket int, hashes binary")
-    judged = Table(dealt.groupBy("bucket").applyInArrow(judge, "part long, bucket int, again binary"), "chunk-flags", "zstd")
-    by_part = groups.select(*columns).groupBy("part")
-    asked = by_part.cogroup(judged.df.groupBy("part")).applyInArrow(ask, "part long, bucket int, texts array<binary>, ids array<long>, places array<long>")
-    solved = asked.groupBy("bucket").applyInArrow(solve, "part long, bucket int, ids array<long>, places array<long>")
-    answers = judged.df.unionByName(solved, allowMissingColumns=True)
-    return by_part.cogroup(answers.groupBy("part")).applyInArrow(finish, schema)
+    entries = Table(groups.mapInArrow(listed, "one long, two long, part long, id long, place long, times long"), "blocks", "zstd").df
+    again = entries.groupBy("one", "two").agg(F.sum("times").alias("n"), F.min(F.struct("id", "place", "part")).alias("first")).where("n > 1")
+    firsts = Table(again.select("one", "two", "first.id", "first.place", "first.part"), "firsts").df
+    by_part = groups.groupBy("part")
+    originals = by_part.cogroup(firsts.groupBy("part")).applyInArrow(handed, "one long, two long, id long, place long, bytes binary")
+    originals = Table(originals, "originals", "zstd").df
+    told = entries.alias("e").join(originals.alias("o"), ["one", "two"])
+    # A group that has a block once, and first, has nothing to remove.
+    told = told.where("e.times > 1 OR e.id <> o.id OR e.place <> o.place").select("e.part", "one", "two", "o.id", "o.place", "bytes")
+    return by_part.cogroup(told.groupBy("part")).applyInArrow(finish, schema)
