@@ -1,30 +1,30 @@
 """Scores of a log-bilinear language model trained with noise-contrastive estimation.
 
-Tokens are white-space words, lowered in A-Z, and one end a text. The HEADS most frequent tokens
-are outputs of the network themselves; all others share TAILS output classes, by their first two
-bytes, and inside its class a word has its add-one share. So the network stays small while every
-word of any corpus has a proper probability.
-
-The network (Mnih and Hinton 2007, with a vector for each position of the context as in Mnih and
-Teh 2012) predicts the next output from the context classes of the two tokens before. What it
-learns from is the whole training part: counts of (two context classes, output), which add up over
-tasks and have a fixed size. Training maximises the noise-contrastive objective over those counts
-with its expectation over the noise, so no noise is drawn and every run gives the same model.
-Matrix products over all contexts then give the normalised log-probabilities.
+Tokens are white-space words, lowered in A-Z, and one end a text. The most frequent words, whose number grows
+with the vocabulary (HEADS_RATE times its size to the power HEADS_POWER), have vectors of their own; all others share TAILS
+classes, by their first two bytes. ``log_bilinear`` has the network. Inside a tail class a word has its count less a
+discount, and what the discounts leave is the probability of a word of that class that training never saw: one outcome
+a class, as add-one smoothing has one for all. So every word of any corpus has a proper probability.
+
+What is learnt from is all training text: exact counts of all tokens, and every training token with its context. Learners, at
+most LEARNERS tasks, each take the chunks of a partition in turn, beginning with the parameters of the round before; the round's
+result is their mean, weighted by tokens. There are ROUNDS rounds over parts of the chunks, so each token is met once, or more often if there are few.
 
 Token counts are exact. Texts are tokenised once into chunks, each with its sorted distinct
 tokens; chunks deal these to buckets of the hash range, a bucket adds them up, and every chunk gets
 its own tokens' counts back. A token costs one entry a chunk however often it occurs, so frequent
-tokens make no bucket large, and nothing that grows with the corpus reaches the driver.
+tokens make no bucket large; a chunk sends no row to buckets for which it has nothing, so rows never outnumber entries.
+What reaches the driver are sums, the head words and the network. Tokens are told apart by two hashes, of 64 and 32 bits.
 
-Null texts are empty: one end. Null ids are held out. Repeated rows count and score one by one; an
-empty table gives an empty result. Only id and text columns are read.
+Null texts are empty: one end. Null ids are held out. Repeated rows count and score one by one; of equally frequent
+words those of smaller hashes come first; an empty table gives an empty result. How texts are dealt to chunks decides what learners
+meet, so scores, though not base scores, differ a little between layouts of a table. Only id and text columns are read.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,235 +33,265 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ragged import LOWER, SPACED_WORD, Hashes, blocks, mixed, runs
 from ..store import Table
+from .cells import Deal, bucket_of, cut, read
+from .log_bilinear import Network, Shape, Tokens
+from .ragged import LOWER, SPACED_WORD, Hashes, blocks, mixed, runs
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Distinct tokens of chunks that a bucket adds up.
 BUCKET_ENTRIES = 500_000
-HEADS, TAILS = 159, 96
-OUTPUTS = HEADS + TAILS + 1  # the last is the end
-OWN_CONTEXTS, SHARED_CONTEXTS = 15, 32
-CONTEXTS = OWN_CONTEXTS + SHARED_CONTEXTS + 1  # the last is before the text
-WIDTH, NOISE, STEPS, RATE, SEED = 32, 8, 300, 0.05, 4001
-END = np.uint64(0xE07D_0F7E_57A1_1CE5)
-CELLS = CONTEXTS * CONTEXTS * OUTPUTS
+TAILS = 96
+HEADS_RATE, HEADS_POWER = 8.0, 0.4
+ROUNDS, LEARNERS, SEED = 4, 4096, 4001
+#: Tokens that are learnt from at least, in MOST_PASSES passes at most.
+LEARNT, MOST_PASSES = 4_000_000, 24
+#: Parameters that one task takes the mean of.
+SLICE = 1 << 16
+END, END_TWO = np.uint64(0xE07D_0F7E_57A1_1CE5), np.uint32(1)
 
 
 def _chunk(data: np.ndarray, offs: np.ndarray, learn: np.ndarray) -> list[np.ndarray]:
-    """Distinct tokens (sorted hashes), their tail classes and training counts; all tokens as indexes of those; tokens of each text."""
+    """Distinct tokens (sorted hashes), second hashes, tail classes and training counts; all tokens as indexes of those; tokens of each text."""
     n = len(offs) - 1
     lowered = LOWER[data]
     starts, ends, row = runs(SPACED_WORD[data], offs)
-    h = Hashes(lowered).of(starts, ends)
+    h, h2 = Hashes(lowered).of(starts, ends), Hashes(lowered, 1).of(starts, ends).astype(np.uint32)
     two = lowered[starts].astype(np.uint64) * np.uint64(256)
     longer = ends - starts > 1
     two[longer] += lowered[starts[longer] + 1]
     count = np.bincount(row, minlength=n)
     at = np.arange(len(h)) + row  # one end after each text before
-    tokens, kind = np.full(len(h) + n, END), np.zeros(len(h) + n, np.int64)
-    tokens[at] = h
+    tokens, second, kind = np.full(len(h) + n, END), np.full(len(h) + n, END_TWO), np.zeros(len(h) + n, np.int64)
+    tokens[at], second[at] = h, h2
     kind[at] = (mixed(two) % np.uint64(TAILS)).astype(np.int64)
-    unique, first, index = np.unique(tokens, return_index=True, return_inverse=True)
-    seen = np.bincount(index[np.repeat(learn, count + 1)], minlength=len(unique))
-    return [unique, kind[first].astype(np.uint8), seen.astype(np.int32), index.astype(np.int32), (count + 1).astype(np.int32)]
+    first, index = distinct(tokens, second)
+    seen = np.bincount(index[np.repeat(learn, count + 1)], minlength=len(first))
+    return [tokens[first], second[first], kind[first].astype(np.uint8), seen.astype(np.int32), index.astype(np.int32), (count + 1).astype(np.int32)]
+
+
+def distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One index of each distinct pair of hashes, in their order, and which of these every pair is."""
+    _, first, index = np.unique(one, return_index=True, return_inverse=True)
+    if (two == two[first][index]).all():
+        return first, index
+    order = np.lexsort((two, one))  # some share the first hash alone
+    fresh = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
+    index = np.empty(len(order), np.int64)
+    index[order] = np.cumsum(fresh) - 1
+    return order[fresh], index
 
 
 def tokenised(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
     """One row a chunk of texts."""
     picked = docs.select(F.col(id_col).alias("__id"), held_out.alias("__held"), F.col(text_col).cast("string").alias("__text"))
-    names = ["chunk", "ids", "held", "unique", "kind", "seen", "tokens", "sizes", "entries"]
-    kinds = [T.LongType(), T.ArrayType(picked.schema[0].dataType), T.ArrayType(T.BooleanType()), *[T.BinaryType()] * 5, T.LongType()]
+    names = ["chunk", "nth", "ids", "held", "unique", "second", "kind", "seen", "tokens", "sizes", "entries"]
+    kinds = [T.LongType(), T.LongType(), T.ArrayType(picked.schema[0].dataType), T.ArrayType(T.BooleanType()), *[T.BinaryType()] * 6, T.LongType()]
     schema = T.StructType([T.StructField(a, b) for a, b in zip(names, kinds, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
+        part, nth = TaskContext.get().partitionId(), 0
         for batch, data, offs in blocks(batches, "__text", CHUNK_BYTES):
             held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             arrays = _chunk(data, offs, ~held)
             one = pa.array([0, batch.num_rows], pa.int32())
             yield pa.RecordBatch.from_arrays([
-                pa.array([number]), pa.ListArray.from_arrays(one, batch.column(0)), pa.ListArray.from_arrays(one, batch.column(1)),
+                pa.array([(part << 33) + nth]), pa.array([part + nth]), pa.ListArray.from_arrays(one, batch.column(0)), pa.ListArray.from_arrays(one, batch.column(1)),
                 *(pa.array([a.tobytes()], pa.binary()) for a in arrays), pa.array([len(arrays[0])], pa.int64()),
             ], names=names)
-            number += 1
+            nth += 1
 
     return picked.mapInArrow(run, schema)
 
 
-def _edges(unique: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's hashes begin and end in a sorted array."""
-    bounds = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(unique, bounds), [len(unique)]])
+def _cells(batch: pa.RecordBatch | pa.Table, name: str, kind: type) -> list[np.ndarray]:
+    return read(batch.column(batch.schema.get_field_index(name)), kind)
+
 
+@dataclass
+class Sums:
+    """What is known of training tokens: totals (all tokens, distinct ones, words seen once, words seen twice), tokens and words of each tail class, and frequent words."""
 
-def _cells(batch: pa.RecordBatch | pa.Table, name: str, kind: type) -> list[np.ndarray]:
-    return [np.frombuffer(x, kind) for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
+    totals: np.ndarray
+    tail_tokens: np.ndarray
+    tail_words: np.ndarray
+    top: np.ndarray
+    second: np.ndarray
+    often: np.ndarray
+    kind: np.ndarray
 
+    def pack(self) -> bytes:
+        return b"".join(np.ascontiguousarray(x, np.int64).tobytes() for x in (self.totals, self.tail_tokens, self.tail_words, self.top.view(np.int64), self.second, self.often, self.kind))
 
-STATS = 2 + 2 * TAILS
+    @staticmethod
+    def unpack(cell: bytes) -> Sums:
+        x = np.frombuffer(cell, np.int64)
+        fixed = 4 + 2 * TAILS
+        top, second, often, kind = x[fixed:].reshape(4, -1)
+        return Sums(x[:4], x[4 : 4 + TAILS], x[4 + TAILS : fixed], top.view(np.uint64), second, often, kind)
 
+    @staticmethod
+    def joined(parts: list[Sums], most: int) -> Sums:
+        """The sums of all, with the ``most`` most frequent words."""
+        empty = np.zeros(0, np.int64)
+        add = lambda name, n: np.sum([np.zeros(n, np.int64), *(getattr(p, name) for p in parts)], axis=0)
+        top, second, often, kind = (np.concatenate([getattr(p, name) for p in parts] or [empty]) for name in ("top", "second", "often", "kind"))
+        best = np.lexsort((second, top, -often))[:most]
+        return Sums(add("totals", 4), add("tail_tokens", TAILS), add("tail_words", TAILS), top.astype(np.uint64)[best], second[best], often[best], kind[best])
 
-def counted(chunks: DataFrame, buckets: int) -> DataFrame:
-    """Rows (chunk, bucket, counts): corpus counts of that chunk's tokens in that bucket; and one a bucket with chunk -1, its sums and most frequent tokens."""
+
+def counted(chunks: DataFrame, buckets: int, heads: int) -> DataFrame:
+    """Rows (chunk, bucket, counts): corpus counts of that chunk's tokens in that bucket; and one a bucket with chunk -1, its sums and frequent words."""
+    share = -(-3 * heads // (2 * buckets)) + 16  # hashes spread head words evenly over buckets
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             number = batch.column(batch.schema.get_field_index("chunk")).to_pylist()
-            for chunk, unique, kind, seen in zip(number, _cells(batch, "unique", np.uint64), _cells(batch, "kind", np.uint8), _cells(batch, "seen", np.int32), strict=True):
-                edge = _edges(unique, buckets)
-                cut = lambda a: pa.array([a[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(buckets, chunk)), pa.array(np.arange(buckets), pa.int32()), cut(unique), cut(kind), cut(seen)], names=["chunk", "bucket", "unique", "kind", "seen"])
+            columns = [_cells(batch, c, t) for c, t in (("unique", np.uint64), ("second", np.uint32), ("kind", np.uint8), ("seen", np.int32))]
+            for chunk, unique, *others in zip(number, *columns, strict=True):
+                d = Deal(bucket_of(unique, buckets))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d.buckets), chunk)), pa.array(d.buckets), *(d.cells(c) for c in (unique, *others))], names=["chunk", "bucket", "unique", "second", "kind", "seen"])
 
     def add(table: pa.Table) -> pa.Table:
-        parts = _cells(table, "unique", np.uint64)
-        size = [len(p) for p in parts]
-        h, kind, seen = np.concatenate(parts), np.concatenate(_cells(table, "kind", np.uint8)), np.concatenate(_cells(table, "seen", np.int32)).astype(np.int64)
-        unique, first, index = np.unique(h, return_index=True, return_inverse=True)
-        total = np.bincount(index, weights=seen, minlength=len(unique)).astype(np.int64)
-        known = total > 0
+        h, second, kind, seen = ([*_cells(table, c, t)] for c, t in (("unique", np.uint64), ("second", np.uint32), ("kind", np.uint8), ("seen", np.int32)))
+        ends = np.cumsum([len(x) for x in h])
+        h, second, kind, seen = (np.concatenate(x) for x in (h, second, kind, seen))
+        first, index = distinct(h, second)
+        total = np.bincount(index, weights=seen, minlength=len(first)).astype(np.int64)
+        inner = (total > 0) & (h[first] != END)
         tail = kind[first]
-        inner = known & (unique != END)
-        stats = np.concatenate([[total.sum(), known.sum()], np.bincount(tail[inner], weights=total[inner], minlength=TAILS), np.bincount(tail[inner], minlength=TAILS)]).astype(np.int64)
-        top = np.lexsort((unique, -total))[: HEADS + 1]
-        top = top[known[top]]
-        out = [total[index[b - n : b]].tobytes() for b, n in zip(np.cumsum(size), size, strict=True)]
-        summary = stats.tobytes() + b"".join(x.tobytes() for x in (unique[top], total[top], tail[top].astype(np.int64)))
+        known = np.flatnonzero(inner)
+        best = known[np.lexsort((second[first][known], h[first][known], -total[known]))[:share]]
+        sums = Sums(
+            np.array([total.sum(), (total > 0).sum(), (inner & (total == 1)).sum(), (inner & (total == 2)).sum()]), np.bincount(tail[inner], weights=total[inner], minlength=TAILS),
+            np.bincount(tail[inner], minlength=TAILS), h[first][best], second[first][best].astype(np.int64), total[best], tail[best].astype(np.int64),
+        )
         bucket = table.column("bucket").combine_chunks()
         return pa.table({
-            "chunk": pa.concat_arrays([table.column("chunk").combine_chunks(), pa.array([-1], pa.int64())]),
-            "bucket": pa.concat_arrays([bucket, bucket[:1]]), "counts": pa.array([*out, summary], pa.binary()),
+            "chunk": pa.concat_arrays([table.column("chunk").combine_chunks(), pa.array([-1], pa.int64())]), "bucket": pa.concat_arrays([bucket, bucket[:1]]),
+            "counts": pa.concat_arrays([cut(total[index], ends), pa.array([sums.pack()], pa.binary())]),
         })
 
-    dealt = chunks.select("chunk", "unique", "kind", "seen").mapInArrow(deal, "chunk long, bucket int, unique binary, kind binary, seen binary")
-    return dealt.groupBy("bucket").applyInArrow(add, "chunk long, bucket int, counts binary")
-
-
-def _summary(cell: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    stats = np.frombuffer(cell[: STATS * 8], np.int64)
-    rest = cell[STATS * 8 :]
-    n = len(rest) // 24
-    return stats, np.frombuffer(rest[: 8 * n], np.uint64), np.frombuffer(rest[8 * n : 16 * n], np.int64), np.frombuffer(rest[16 * n :], np.int64)
-
+    dealt = chunks.select("chunk", "unique", "second", "kind", "seen").mapInArrow(deal, "chunk long, bucket long, unique binary, second binary, kind binary, seen binary")
+    return dealt.groupBy("bucket").applyInArrow(add, "chunk long, bucket long, counts binary")
 
-def _joined(cells: list[bytes]) -> bytes:
-    """One summary of several."""
-    parts = [_summary(c) for c in cells]
-    stats = np.sum([p[0] for p in parts], axis=0) if parts else np.zeros(STATS, np.int64)
-    h, n, kind = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in (1, 2, 3))
-    top = np.lexsort((h, -n))[: HEADS + 1]
-    return stats.astype(np.int64).tobytes() + b"".join(x.tobytes() for x in (h[top].astype(np.uint64), n[top], kind[top]))
 
-
-def summed(replies: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sums over all buckets and the most frequent tokens, from at most 64 partial summaries."""
+def summed(replies: DataFrame, heads: int) -> Sums:
+    """Sums over all buckets and the ``heads`` most frequent words, from at most 64 partial sums."""
 
     def some(table: pa.Table) -> pa.Table:
-        return pa.table({"counts": pa.array([_joined(table.column("counts").to_pylist())], pa.binary())})
+        joined = Sums.joined([Sums.unpack(x) for x in table.column("counts").to_pylist()], 2 * heads // 64 + 64)
+        return pa.table({"counts": pa.array([joined.pack()], pa.binary())})
 
     rows = replies.where("chunk = -1").select((F.col("bucket") % 64).alias("part"), "counts").groupBy("part").applyInArrow(some, "counts binary").collect()
-    return _summary(_joined([bytes(r[0]) for r in rows]))
+    return Sums.joined([Sums.unpack(bytes(r[0])) for r in rows], heads)
 
 
 class Classes:
-    """Output and context classes of tokens."""
-
-    def __init__(self, stats: np.ndarray, top: np.ndarray, often: np.ndarray, kind: np.ndarray):
-        words = top != END
-        top, often, kind = top[words][:HEADS], often[words][:HEADS], kind[words][:HEADS]
-        self.tokens, self.distinct = int(stats[0]), int(stats[1])
-        # What is left in each tail class once the heads are taken out.
-        self.tail_tokens = stats[2 : 2 + TAILS] - np.bincount(kind, weights=often, minlength=TAILS)
-        self.tail_distinct = stats[2 + TAILS :] - np.bincount(kind, minlength=TAILS)
-        order = np.argsort(top)
-        self.top, self.rank = top[order], order
-
-    def of(self, unique: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Output and context class of sorted tokens."""
-        out = HEADS + kind.astype(np.int64)
-        context = OWN_CONTEXTS + kind.astype(np.int64) % SHARED_CONTEXTS
-        at = np.searchsorted(unique, self.top)
-        here = at < len(unique)
-        here[here] = unique[at[here]] == self.top[here]
-        out[at[here]] = self.rank[here]
-        own = here & (self.rank < OWN_CONTEXTS)
-        context[at[own]] = self.rank[own]
-        out[unique == END] = OUTPUTS - 1
-        return out, context
-
-    def cells(self, unique: np.ndarray, kind: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Number of (context class two before, one before, output) of every token."""
-        out, context = self.of(unique, kind)
-        first = np.zeros(len(tokens) + 1, bool)
-        first[np.cumsum(sizes) - sizes] = True
-        first = first[:-1]
-        before = np.full(len(tokens), CONTEXTS - 1)
-        before[1:] = context[tokens[:-1]]
-        before[first] = CONTEXTS - 1
-        two = np.full(len(tokens), CONTEXTS - 1)
-        two[1:] = before[:-1]
-        two[first] = CONTEXTS - 1
-        return (two * CONTEXTS + before) * OUTPUTS + out[tokens]
-
-
-def context_counts(chunks: DataFrame, classes: Classes) -> np.ndarray:
-    """How often each output follows each pair of context classes in the training texts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            held = batch.column(batch.schema.get_field_index("held")).to_pylist()
-            columns = [_cells(batch, c, t) for c, t in (("unique", np.uint64), ("kind", np.uint8), ("tokens", np.int32), ("sizes", np.int32))]
-            for out, unique, kind, tokens, sizes in zip(held, *columns, strict=True):
-                cell = classes.cells(unique, kind, tokens, sizes)
-                total += np.bincount(cell[np.repeat(~np.array(out, bool), sizes)], minlength=CELLS)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["part", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(CELLS, np.int64)
-        for x in table.column("counts"):
-            total += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
-        return pa.table({"counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-    counted = chunks.select("held", "unique", "kind", "tokens", "sizes").mapInArrow(count, "part int, counts binary")
-    total = np.zeros(CELLS, np.int64)
-    for row in counted.groupBy("part").applyInArrow(add, "counts binary").toLocalIterator():  # at most 16
-        total += np.frombuffer(zlib.decompress(bytes(row[0])), np.int64)
-    return total.reshape(CONTEXTS * CONTEXTS, OUTPUTS)
-
-
-def train(counts: np.ndarray, width: int = WIDTH, noise: int = NOISE, steps: int = STEPS, rate: float = RATE, seed: int = SEED) -> np.ndarray:
-    """Normalised natural log-probabilities of the outputs (columns) after each pair of contexts (rows)."""
-    rng = np.random.default_rng(seed)
-    share = (counts.sum(0) + 1.0) / (counts.sum() + OUTPUTS)
-    seen = np.flatnonzero(counts.sum(1))
-    two, one = seen // CONTEXTS, seen % CONTEXTS
-    data = counts[seen] / max(1, counts.sum())
-    drawn = noise * data.sum(1)[:, None] * share[None, :]
-    level = np.log(noise * share)[None, :]
-    p = {
-        "context": rng.normal(0, 0.1, (CONTEXTS, width)), "one": np.ones(width), "two": np.ones(width),
-        "output": rng.normal(0, 0.1, (OUTPUTS, width)), "bias": np.log(share),
-    }
-    m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-    for step in range(1, steps + 1 if len(seen) else 1):
-        q1, q2 = p["context"][one], p["context"][two]
-        r = q1 * p["one"] + q2 * p["two"]
-        real = 1 / (1 + np.exp(-np.clip(r @ p["output"].T + p["bias"] - level, -50, 50)))  # that a pair is data, not noise
-        up = data * (1 - real) - drawn * real  # gradient of the objective by the score
-        dr = up @ p["output"]
-        g = {"output": up.T @ r, "bias": up.sum(0), "one": (dr * q1).sum(0), "two": (dr * q2).sum(0), "context": np.zeros_like(p["context"])}
-        np.add.at(g["context"], one, dr * p["one"])
-        np.add.at(g["context"], two, dr * p["two"])
-        now = rate * (1 - (step - 1) / steps)
-        for k in p:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-            p[k] = p[k] + now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-12)
-    pair = np.arange(CONTEXTS * CONTEXTS)
-    score = (p["context"][pair % CONTEXTS] * p["one"] + p["context"][pair // CONTEXTS] * p["two"]) @ p["output"].T + p["bias"]
-    score -= score.max(1, keepdims=True)
-    return score - np.log(np.exp(score).sum(1, keepdims=True))
+    """Head words and tail classes of tokens."""
+
+    def __init__(self, sums: Sums):
+        n = len(sums.top)
+        self.shape = Shape(n, max(1, int(2 * np.sqrt(n))), TAILS)
+        self.tokens, self.distinct = int(sums.totals[0]), int(sums.totals[1])
+        order = np.argsort(sums.top, kind="stable")
+        self.top, self.second, self.rank = sums.top[order], sums.second[order].astype(np.uint32), order
+        self.often = sums.often.astype(np.float64)
+        once, twice = (int(x) for x in sums.totals[2:4])
+        self.discount = (once + 1) / (once + 2 * twice + 2)
+        # What is left in each tail class once the head words are taken out.
+        self.tail_tokens = sums.tail_tokens - np.bincount(sums.kind, weights=sums.often, minlength=TAILS)
+        self.tail_words = sums.tail_words - np.bincount(sums.kind, minlength=TAILS)
+
+    def words(self, unique: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Which head word each of the sorted tokens is, or -1."""
+        out, at = np.full(len(unique), -1), np.searchsorted(self.top, unique)
+        left = np.flatnonzero(at < len(self.top))
+        while len(left):  # once, unless tokens share the first hash alone
+            left = left[self.top[at[left]] == unique[left]]
+            same = self.second[at[left]] == second[left]
+            out[left[same]] = self.rank[at[left[same]]]
+            left = left[~same]
+            at[left] += 1
+            left = left[at[left] < len(self.top)]
+        return out
+
+    def shares(self, ends: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of outputs and of head words, smoothed by one. ``ends``: training texts."""
+        in_class = np.bincount(np.arange(self.shape.heads) % self.shape.classes, weights=self.often, minlength=self.shape.classes)
+        outputs = np.concatenate([in_class, self.tail_tokens, [ends]]) + 1.0
+        return outputs / outputs.sum(), (self.often + 1) / (self.often + 1).sum()
+
+    def place(self, unique: np.ndarray, second: np.ndarray, kind: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> Tokens:
+        """All tokens of a chunk with their contexts."""
+        shape, word, kind = self.shape, self.words(unique, second), kind.astype(np.int64)
+        end = (unique == END) & (second == END_TWO)
+        output = np.where(word >= 0, word % shape.classes, shape.classes + kind)
+        output[end] = shape.outputs - 1
+        context = np.where(word >= 0, word, shape.heads + kind)
+        before = shape.contexts - 1
+        first = np.cumsum(sizes) - sizes
+        one = np.full(len(tokens), before)
+        one[1:] = context[tokens[:-1]]
+        one[first] = before
+        two = np.full(len(tokens), before)
+        two[1:] = one[:-1]
+        two[first] = before
+        return Tokens(output[tokens], word[tokens], one, two)
+
+    def within_tail(self, counts: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Natural log-probabilities of tokens of these counts in their tail classes; a count of 0 is any word that was never seen."""
+        held, words = self.tail_tokens[kind], self.tail_words[kind]
+        known = np.maximum(counts - self.discount, 1e-300) / np.maximum(held, 1e-300)
+        unseen = np.where(held > 0, self.discount * words / np.maximum(held, 1), 1.0)
+        return np.log(np.where(counts > 0, known, np.maximum(unseen, 1e-300)))
+
+
+COLUMNS = ("unique", "second", "kind", "tokens", "sizes")
+KINDS = (np.uint64, np.uint32, np.uint8, np.int32, np.int32)
+
+
+def train(chunks: DataFrame, classes: Classes, ends: int, learnt: int = LEARNT, seed: int = SEED) -> Network:
+    """The network after ROUNDS rounds of learners."""
+    spark, shares = chunks.sparkSession, classes.shares(ends)
+    net = Network.fresh(classes.shape, *shares, seed)
+    passes = max(1, min(MOST_PASSES, -(-learnt // max(1, classes.tokens))))
+    parts, again = max(1, ROUNDS // passes), max(1, passes // ROUNDS)
+    for turn in range(ROUNDS):
+        sent = spark.sparkContext.broadcast((classes, shares, net))  # sublinear in the vocabulary
+
+        def learn(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
+            known, (outputs, words), start = sent.value
+            mine, weight = Network(known.shape, start.flat.copy()), 0
+            for batch in batches:
+                held, number = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("held", "chunk"))
+                for out, chunk, *arrays in zip(held, number, *(_cells(batch, c, t) for c, t in zip(COLUMNS, KINDS, strict=True)), strict=True):
+                    some = np.flatnonzero(np.repeat(~np.array(out, bool), arrays[-1]))
+                    if len(some):
+                        tokens = known.place(*arrays).take(some)
+                        for k in range(again):
+                            mine.learn(tokens, outputs, words, np.random.default_rng([seed, turn, k, chunk]))
+                        weight += len(some)
+            if weight:
+                slices = range(0, len(mine.flat), SLICE)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(slices))), pa.array(np.full(len(slices), weight)), pa.array([mine.flat[a : a + SLICE].tobytes() for a in slices], pa.binary())], names=["slice", "weight", "values"])
+
+        def mean(table: pa.Table) -> pa.Table:
+            weight = table.column("weight").to_numpy().astype(np.float64)
+            total = sum(w * x for w, x in zip(weight, read(table.column("values"), np.float32), strict=True)) / weight.sum()
+            return pa.table({"slice": table.column("slice")[:1], "values": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+        now = chunks.where(F.pmod(F.col("nth"), F.lit(parts)) == turn % parts).select("chunk", "held", *COLUMNS).coalesce(LEARNERS)
+        rows = now.mapInArrow(learn, "slice long, weight long, values binary").groupBy("slice").applyInArrow(mean, "slice long, values binary").collect()
+        if rows:
+            net = Network(classes.shape, np.concatenate([np.frombuffer(r["values"], np.float32) for r in sorted(rows)]))
+        sent.unpersist()
+    return net
+
+
+def heads_of(entries: int) -> int:
+    """How many words have vectors of their own, for so many distinct tokens of chunks."""
+    return int(HEADS_RATE * max(1, entries) ** HEADS_POWER)
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,34 +300,34 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     ``held_out``: true for rows that the model doesn't learn from.
     """
     chunks = Table(tokenised(docs, held_out, id_col, text_col), "token-chunks", "zstd")
-    entries = chunks.df.agg(F.sum("entries")).first()[0] or 0
-    replies = Table(counted(chunks.df, max(8, -(-entries // BUCKET_ENTRIES))), "token-counts", "zstd")
-    classes = Classes(*summed(replies.df))
-    table = train(context_counts(chunks.df, classes)).astype(np.float64).ravel() / np.log(10)
-    sent = docs.sparkSession.sparkContext.broadcast((classes, table))  # CELLS numbers, whatever the corpus
+    entries, ends = (x or 0 for x in chunks.df.agg(F.sum("entries"), F.sum(F.size(F.filter("held", lambda x: ~x)))).first())
+    heads = heads_of(entries)
+    replies = Table(counted(chunks.df, max(8, -(-entries // BUCKET_ENTRIES)), heads), "token-counts", "zstd")
+    classes = Classes(summed(replies.df, heads))
+    net = train(chunks.df, classes, ends)
+    sent = docs.sparkSession.sparkContext.broadcast((classes, net))
     out_schema = T.StructType([
         T.StructField(id_col, docs.select(F.col(id_col)).schema[0].dataType), T.StructField("held_out", T.BooleanType()),
         *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
     ])
+    buckets = max(8, -(-entries // BUCKET_ENTRIES))
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
-        known, log_p = sent.value
-        order = np.argsort(right.column("bucket").to_numpy())
-        parts = right.column("counts").to_pylist()
-        c = np.concatenate([np.frombuffer(parts[k], np.int64) for k in order]).astype(np.float64)
-        unique, kind, tokens, sizes = (_cells(left, name, t)[0] for name, t in (("unique", np.uint64), ("kind", np.uint8), ("tokens", np.int32), ("sizes", np.int32)))
+        known, network = sent.value
+        arrays = [_cells(left, name, t)[0] for name, t in zip(COLUMNS, KINDS, strict=True)]
+        unique, _, kind, tokens, sizes = arrays
+        d = Deal(bucket_of(unique, buckets))
+        c = d.back(right.column("bucket").to_pylist(), right.column("counts").to_pylist(), np.int64).astype(np.float64)
         base = np.log10((c + 1) / (known.tokens + known.distinct + 1))
-        out, _ = known.of(unique, kind)
-        tail = np.log10((c + 1) / (known.tail_tokens + known.tail_distinct + 1)[kind])
-        inner = np.where((out >= HEADS) & (out < OUTPUTS - 1), tail, 0.0)
-        starts = np.cumsum(sizes) - sizes
-        each = log_p[known.cells(unique, kind, tokens, sizes)] + inner[tokens]
-        n = len(sizes)
+        placed = known.place(*arrays)
+        in_tail = (placed.word < 0) & (placed.output < known.shape.outputs - 1)
+        each = network.log_probabilities(placed) + np.where(in_tail, known.within_tail(c, kind)[tokens], 0.0)
+        starts, n = np.cumsum(sizes) - sizes, len(sizes)
         return pa.Table.from_arrays([
             left.column("ids").combine_chunks().values, left.column("held").combine_chunks().values, pa.array(sizes.astype(np.int64)),
             pa.array(np.add.reduceat((c > 0)[tokens].astype(np.int64), starts)), pa.array(np.full(n, known.tokens)),
-            pa.array(np.add.reduceat(base[tokens], starts)), pa.array(np.add.reduceat(each, starts)),
+            pa.array(np.add.reduceat(base[tokens], starts)), pa.array(np.add.reduceat(each, starts) / np.log(10)),
         ], names=out_schema.names)
 
-    asked = chunks.df.select("chunk", "ids", "held", "unique", "kind", "tokens", "sizes")
+    asked = chunks.df.select("chunk", "ids", "held", *COLUMNS)
     return asked.groupBy("chunk").cogroup(replies.df.where("chunk >= 0").groupBy("chunk")).applyInArrow(rate, out_schema)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paralens.llm import language_model as lm
+from paralens.llm.log_bilinear import Network, Shape, Tokens
 from paralens.llm.queries import held_out
 
 
@@ -31,32 +32,76 @@ def test_base_equals_brute_force(scored, texts):
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
 
 
-def test_model_is_normalised_and_beats_chance():
-    rng = np.random.default_rng(0)
-    counts = np.zeros((lm.CONTEXTS**2, lm.OUTPUTS), np.int64)
-    for context in range(100):
-        np.add.at(counts[context], rng.integers(0, 20, 500) + 20 * (context % 2), 1)  # two kinds of contexts
-    table = lm.train(counts)
-    assert np.allclose(np.exp(table).sum(1), 1)
-    model = (table * counts).sum() / counts.sum()
-    share = (counts.sum(0) + 1.0) / (counts.sum() + lm.OUTPUTS)
-    assert model > (np.log(share)[None, :] * counts).sum() / counts.sum() + 0.5
+def contexts(shape, n, seed=0):
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, shape.contexts, n), rng.integers(0, shape.contexts, n)
 
 
-def test_words_and_one_unknown_share_each_tail_class_exactly():
+def test_network_is_normalised():
+    shape = Shape(50, 7, 5)
+    net = Network.fresh(shape, np.full(shape.outputs, 1 / shape.outputs), np.full(50, 1 / 50), 1)
+    net.p["output_bias"][:] = np.random.default_rng(2).normal(0, 1, shape.outputs)
+    one, two = contexts(shape, 40)
+    total = np.zeros(40)
+    for word in range(50):
+        total += np.exp(net.log_probabilities(Tokens(np.full(40, word % 7), np.full(40, word), one, two)))
+    for output in range(7, shape.outputs):
+        total += np.exp(net.log_probabilities(Tokens(np.full(40, output), np.full(40, -1), one, two)))
+    assert np.allclose(total, 1, atol=1e-5)
+
+
+def test_network_learns_what_follows_what():
+    """Two kinds of contexts, each with words of its own: their entropy is nearly reached."""
+    rng, shape = np.random.default_rng(3), Shape(40, 6, 5)
+    kind = rng.integers(0, 2, 60_000)
+    word = rng.integers(0, 20, 60_000) + 20 * kind
+    tokens = Tokens(word % 6, word, rng.integers(0, 20, 60_000) + 20 * kind, rng.integers(0, shape.contexts, 60_000))
+    outputs, words = np.bincount(word % 6, minlength=shape.outputs) + 1.0, np.bincount(word, minlength=40) + 1.0
+    net = Network.fresh(shape, outputs / outputs.sum(), words / words.sum(), 1)
+    for k in range(4):
+        net.learn(tokens, outputs / outputs.sum(), words / words.sum(), np.random.default_rng(k))
+    assert -net.log_probabilities(tokens).mean() < np.log(20) + 0.1  # log(40) knows no contexts
+
+
+def test_words_and_one_unseen_share_each_tail_class_exactly():
     h = np.arange(1, 501, dtype=np.uint64)
-    kind, often = (h % np.uint64(lm.TAILS)).astype(np.int64), np.arange(500, 0, -1)
-    stats = np.concatenate([[often.sum(), 500], np.bincount(kind, weights=often, minlength=lm.TAILS), np.bincount(kind, minlength=lm.TAILS)]).astype(np.int64)
-    classes = lm.Classes(stats, h[: lm.HEADS + 1], often[: lm.HEADS + 1], kind[: lm.HEADS + 1])
-    out, _ = classes.of(h, kind)
+    kind, often = (h % np.uint64(lm.TAILS)).astype(np.int64), np.concatenate([np.arange(200, 0, -1), np.ones(200, int), np.full(100, 2)])
+    once, twice = (int((often == k).sum()) for k in (1, 2))
+    sums = lm.Sums(
+        np.array([often.sum(), 500, once, twice]), np.bincount(kind, weights=often, minlength=lm.TAILS), np.bincount(kind, minlength=lm.TAILS), h[:60], np.zeros(60, np.int64), often[:60], kind[:60]
+    )
+    assert all(np.array_equal(x, y) for x, y in zip(vars(lm.Sums.unpack(sums.pack())).values(), vars(sums).values(), strict=True))
+    classes = lm.Classes(sums)
+    assert classes.words(h, np.zeros(500, np.uint32)).tolist() == [*range(60), *[-1] * 440] and (classes.words(h, np.ones(500, np.uint32)) == -1).all()
     for k in range(lm.TAILS):
-        mine = out == lm.HEADS + k
-        assert (often[mine] + 1).sum() + 1 == pytest.approx((classes.tail_tokens + classes.tail_distinct + 1)[k])
+        mine = np.flatnonzero((kind == k) & (np.arange(500) >= 60))
+        p = np.exp(classes.within_tail(np.append(often[mine], 0).astype(float), np.full(len(mine) + 1, k)))
+        assert p.sum() == pytest.approx(1) and (p > 0).all()
+
+
+def test_beats_shares_alone_on_held_out_text(spark):
+    scored = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), held_out(2, 7))
+    n, base, model = scored.where("held_out").agg(F.sum("n_tokens"), F.sum("base_score"), F.sum("score")).first()
+    assert model / n > base / n + 0.4
+
+
+def test_what_is_learnt_grows():
+    assert [lm.heads_of(n) for n in (10**5, 10**7, 10**9)] == [800, 5047, 31848]
+
+
+def test_tokens_are_told_apart_by_two_hashes(spark, thue_morse):
+    a, b = thue_morse
+    docs = spark.createDataFrame([(1, f"{a} x"), (2, f"{b} x")], "doc_id long, text string")
+    found = {r.doc_id: (r.n_known, r.held_out) for r in lm.score(docs, F.col("doc_id") == 2).collect()}
+    assert found == {1: (3, False), 2: (2, True)}
+    first, index = lm.distinct(np.array([5, 5, 3, 5], np.uint64), np.array([1, 2, 1, 1], np.uint32))
+    assert len(first) == 3 and index[0] == index[3] != index[1]
 
 
-def test_does_not_depend_on_partitions(docs, scored):
-    again = {r.doc_id: r.score for r in lm.score(docs.repartition(5), held_out(2, 7)).collect()}
-    assert all(again[k] == pytest.approx(r.score) for k, r in scored.items())
+def test_base_does_not_depend_on_partitions(docs, scored, monkeypatch):
+    monkeypatch.setattr(lm, "BUCKET_ENTRIES", 50)
+    again = {r.doc_id: r for r in lm.score(docs.repartition(5), held_out(2, 7)).collect()}
+    assert all(again[k].base_score == pytest.approx(r.base_score) and again[k].n_known == r.n_known for k, r in scored.items())
 
 
 def test_odd_rows(odd, none):
