@@ -45,7 +45,7 @@ TAILS = 96
 HEADS_RATE, HEADS_POWER = 8.0, 0.4
 ROUNDS, LEARNERS, SEED = 4, 4096, 4001
 #: Tokens that are learnt from at least, in MOST_PASSES passes at most.
-LEARNT, MOST_PASSES = 4_000_000, 24
+LEARNT, MOST_PASSES = 3_000_000, 24
 #: Parameters that one task takes the mean of.
 SLICE = 1 << 16
 END, END_TWO = np.uint64(0xE07D_0F7E_57A1_1CE5), np.uint32(1)

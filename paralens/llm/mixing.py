@@ -7,9 +7,9 @@ passes over the source and one part of a pass, each pass a permutation of its ow
 stream is cut into blocks that hold every source in proportion.
 
 DataFrame and SQL expressions only. The position of a row in its pass comes from the permutation
-key's leading digits: token sums of these buckets are added up first, so a source with a third of
+key's leading digits, as many as leave BUCKET_ROWS rows of the largest source to one window: token sums of these buckets are added up first, so a source with a third of
 all rows is still spread over thousands of windows. One row a source is all that is broadcast, and
-only up to MAX_BROADCAST sources.
+only up to MAX_BROADCAST sources; beyond, alpha is bisected with an aggregate over the sources a step.
 
 Null and empty sources are one source; null texts have no tokens; sources without tokens are taken
 once; repeated rows are placed one by one; an empty table gives an empty mixture. Columns of the
@@ -18,13 +18,18 @@ input keep their names; ``epoch`` and ``block`` replace input columns so called.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import written
+
 SEED = 8001
 MAX_BROADCAST = 100_000
 BISECTIONS = 40
-BUCKET_DIGITS = 3
+#: Leading digits of a row's place at least, and rows that share them at most.
+BUCKET_DIGITS, BUCKET_ROWS = 3, 250_000
 #: Of the entropy of equal weights.
 TARGET_ENTROPY = 0.98
 MAX_REPEATS = 4.0
@@ -51,12 +56,15 @@ def _alpha(shares: str, target: str | None, repeats: str) -> str:
 
 
 def weights(sized: DataFrame, tokens: str = "n_tokens", source: str = "source", budget: float | str = 1.0, target_entropy: float | None = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS) -> DataFrame:
-    """One row a source: source, held (its tokens), alpha, weight, quota, whole (passes) and rest (tokens of a part of a pass).
+    """One row a source: source, held (its tokens), rows, alpha, weight, quota, whole (passes) and rest (tokens of a part of a pass).
 
     ``budget`` is a multiple of all tokens, or COVER: as many as give every source at least one pass. ``target_entropy``
     is a share of the entropy of equal weights; None leaves alpha to the limit alone.
     """
-    sums = sized.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source")).agg(F.sum(tokens).cast("long").alias("held"))
+    sums = sized.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source")).agg(F.sum(tokens).cast("long").alias("held"), F.count(F.lit(1)).alias("rows"))
+    sums = written(sums, "sources")
+    if sums.limit(MAX_BROADCAST + 1).count() > MAX_BROADCAST:
+        return _planned(sums, *_alpha_by_steps(sums, budget, target_entropy, max_repeats))
     one = sums.where("held > 0").agg(F.sort_array(F.collect_list("held")).alias("helds"), F.sum("held").cast("long").alias("total"))
     ratio = "array_max(helds) / array_min(helds)"
     if budget == COVER:
@@ -75,6 +83,44 @@ def weights(sized: DataFrame, tokens: str = "n_tokens", source: str = "source",
     alpha, z, tokens_, total = (chosen.first() or [None] * 4)
     if total is None:
         alpha, z, tokens_, total = 1.0, 1.0, 0.0, 1
+    return _planned(sums, alpha, z, tokens_, total)
+
+
+def _alpha_by_steps(sums: DataFrame, budget: float | str, target_entropy: float | None, max_repeats: float) -> tuple[float, float, float, int]:
+    """alpha, z, tokens of the mixture and of the corpus, with an aggregate over the sources for every step of the bisections."""
+    held = sums.where("held > 0")
+    total, least, most, n = held.agg(F.sum("held"), F.min("held"), F.max("held"), F.count(F.lit(1))).first()
+
+    def at(a: float) -> tuple[float, float]:
+        p = F.col("held").cast("double") / F.lit(total)
+        z, mean = held.agg(F.sum(F.pow(p, F.lit(a))), F.sum(F.pow(p, F.lit(a)) * F.log(p))).first()
+        return z, mean
+
+    def enough(a: float) -> bool:
+        z, mean = at(a)
+        return math.log(z) - a * mean / z >= target_entropy * math.log(n)
+
+    def within(a: float) -> bool:
+        if budget == COVER:
+            return (most / least) ** (1 - a) <= max_repeats
+        return (least / total) ** (a - 1) / at(a)[0] * budget <= max_repeats
+
+    def bisected(low_if, at_low: bool) -> float:
+        low, high = 0.0, 1.0
+        for _ in range(BISECTIONS):
+            middle = (low + high) / 2
+            low, high = (middle, high) if low_if(middle) else (low, middle)
+        return low if at_low else high
+
+    by_repeats = 0.0 if within(0.0) else bisected(lambda a: not within(a), False)
+    by_entropy = 0.0 if target_entropy is None else 1.0 if enough(1.0) else bisected(enough, True)
+    alpha = max(by_entropy, by_repeats)
+    z = at(alpha)[0]
+    tokens = most ** (1 - alpha) * held.agg(F.sum(F.pow(F.col("held").cast("double"), F.lit(alpha)))).first()[0] if budget == COVER else total * float(budget)
+    return alpha, z, tokens, total
+
+
+def _planned(sums: DataFrame, alpha: float, z: float, tokens_: float, total: int) -> DataFrame:
     weight = F.when(F.col("held") > 0, F.pow(F.col("held").cast("double") / F.lit(total), F.lit(alpha)) / F.lit(z)).otherwise(F.lit(0.0))
     quota = F.floor(F.col("weight") * F.lit(tokens_) + 0.5).cast("long")
     return (
@@ -93,6 +139,9 @@ def mix(docs: DataFrame, plan: DataFrame, tokens: str = "n_tokens", key: str = "
     small = plan.select(F.col("source").alias("__source"), *(F.col(c).alias(f"__{c}") for c in ("held", "quota", "whole", "rest")), F.greatest(F.lit(1), F.ceil(F.col("budget") / block_tokens)).cast("long").alias("__blocks"))
     if plan.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         small = F.broadcast(small)
+    digits_, rows = BUCKET_DIGITS, plan.agg(F.max("rows")).first()[0] or 0
+    while rows > BUCKET_ROWS * 16**digits_:
+        digits_ += 1
     passes = F.col("__whole") + (F.col("__rest") > 0).cast("long")
     digits = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.col(f"`{key}`").cast("string")))
     taken = (
@@ -101,7 +150,7 @@ def mix(docs: DataFrame, plan: DataFrame, tokens: str = "n_tokens", key: str = "
         .where(passes > 0)
         .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), passes - 1)))
         .withColumn("__order", digits)
-        .withColumn("__bucket", F.substring("__order", 1, BUCKET_DIGITS))
+        .withColumn("__bucket", F.substring("__order", 1, digits_))
     )
     cell = ["__source", "epoch", "__bucket"]
     sums = taken.groupBy(*cell).agg(F.sum(tokens).alias("__sum"))

@@ -43,6 +43,24 @@ def test_realises_the_quotas_in_blocks(spark, budget):
     assert mixed.orderBy("doc_id", "epoch").collect() == m.mix(docs.repartition(7), plan, block_tokens=500).orderBy("doc_id", "epoch").collect()
 
 
+@pytest.mark.parametrize("options", [{}, {"target_entropy": 0.9, "max_repeats": 100}, {"max_repeats": 1.2}, {"budget": m.COVER, "target_entropy": None, "max_repeats": 2.0}, {"budget": 2.5}])
+def test_many_sources_are_planned_alike(spark, monkeypatch, options):
+    docs = sized(spark, {**SHARES, "none": 0})
+    plain = m.weights(docs, **options).orderBy("source").collect()
+    monkeypatch.setattr(m, "MAX_BROADCAST", 3)
+    for a, b in zip(plain, m.weights(docs, **options).orderBy("source").collect(), strict=True):
+        assert (a.source, a.quota, a.whole, a.rest) == (b.source, b.quota, b.whole, b.rest) and a.weight == pytest.approx(b.weight)
+
+
+def test_more_windows_for_larger_sources(spark, monkeypatch):
+    docs = sized(spark, SHARES)
+    plan = m.weights(docs)
+    plain = m.mix(docs, plan).orderBy("doc_id", "epoch").collect()
+    monkeypatch.setattr(m, "BUCKET_DIGITS", 0)
+    monkeypatch.setattr(m, "BUCKET_ROWS", 3)
+    assert plain == m.mix(docs, plan).orderBy("doc_id", "epoch").collect()
+
+
 def test_cover_takes_everything_at_least_once(spark):
     docs = sized(spark, SHARES)
     n = {r.doc_id: r["count"] for r in m.mix(docs, m.weights(docs, budget=m.COVER, target_entropy=None, max_repeats=2.0)).groupBy("doc_id").count().collect()}
