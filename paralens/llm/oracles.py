@@ -118,7 +118,63 @@ SELECT source, doc_id, n_tokens, epoch::INTEGER AS epoch,
 FROM placed WHERE epoch < whole OR at_token < rest
 """
 
+#: Bytes as two hexadecimal digits each; windows start at byte k.
+OP7 = """
+WITH d AS (
+    SELECT row_number() OVER () AS row_id, coalesce(doc_id, 9223372036854775807) AS id, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), windows AS (
+    SELECT row_id, id, k, substr(x, 2 * k + 1, 100) AS w FROM (SELECT row_id, id, x, unnest(range(0, len(x) // 2 - 49)) AS k FROM d)
+), covered AS (
+    SELECT row_id, k FROM (SELECT row_id, id, k, min(id) OVER (PARTITION BY w) AS first_id FROM windows) WHERE first_id < id
+), marked AS (
+    SELECT row_id, k, coalesce(k > lag(k) OVER r + 50, true)::INT AS fresh FROM covered WINDOW r AS (PARTITION BY row_id ORDER BY k)
+), spans AS (
+    SELECT row_id, min(k) AS low, max(k) + 50 AS high
+    FROM (SELECT row_id, k, sum(fresh) OVER (PARTITION BY row_id ORDER BY k) AS span FROM marked) GROUP BY row_id, span
+), gaps AS (
+    SELECT row_id, low, high, coalesce(lag(high) OVER (PARTITION BY row_id ORDER BY low), 0) AS after FROM spans
+), cut AS (
+    SELECT row_id, sum(high - low)::BIGINT AS n_removed, count(*) AS n_spans, max(high) AS final,
+           string_agg(substr(x, 2 * after + 1, 2 * (low - after)), '' ORDER BY low) AS kept
+    FROM gaps JOIN d USING (row_id) GROUP BY row_id
+)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept || substr(x, 2 * final + 1), x))) AS kept_sha256
+FROM d LEFT JOIN cut USING (row_id)
+"""
+
+#: CRC-32 of short ASCII strings, a byte at a time: the low eight bits pick what is folded in.
+_FOLD = "list_reduce([c] || [0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
+
+LM_BASE = rf"""
+WITH RECURSIVE ids AS (
+    SELECT DISTINCT doc_id, doc_id::VARCHAR AS t FROM documents WHERE doc_id IS NOT NULL
+), crc AS (
+    SELECT doc_id, t, 4294967295::BIGINT AS c FROM ids
+    UNION ALL
+    SELECT doc_id, t[2:], {_FOLD.replace('[c]', '[xor(c, ascii(t)::BIGINT)]')} FROM crc WHERE t <> ''
+), held AS (
+    SELECT doc_id, xor(c, 4294967295) % 7 = 2 AS held_out FROM crc WHERE t = ''
+), d AS (
+    SELECT row_number() OVER () AS row_id, doc_id, coalesce(held_out, true) AS held_out,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SPACED}') || [' '] AS w
+    FROM documents LEFT JOIN held USING (doc_id)
+), tokens AS (
+    SELECT row_id, held_out, unnest(w) AS token FROM d
+), counts AS (
+    SELECT token, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY token
+), sums AS (
+    SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM counts
+), scored AS (
+    SELECT row_id, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 1) / (n + v + 1)::DOUBLE)) AS base
+    FROM tokens LEFT JOIN counts USING (token), sums GROUP BY row_id
+)
+SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(base, 3) AS base_score FROM d JOIN scored USING (row_id), sums
+"""
+
 ORACLES: dict[str, str] = {
+    "lm_base_scores": LM_BASE,
+    "op7_suffix_dedup": OP7,
     "op1_decontamination": OP1,
     "op2_quality_rules": OP2,
     "op8_mixing": OP8,

@@ -47,6 +47,12 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(read(spark, sf_dir, "documents"), held_out(2, 7))
 
 
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say too of op4_lm_scoring: all columns but the network's score."""
+    found = language_model.score(read(spark, sf_dir, "documents"), held_out(2, 7))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose four-word SimHash differs in at most 4 bits."""
     found = near_dedup.near_duplicates(read(spark, sf_dir, "documents"), shingle=4)
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_token_counts": op3_token_counts,
     "op4_lm_scoring": op4_lm_scoring,
+    "lm_base_scores": lm_base_scores,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
