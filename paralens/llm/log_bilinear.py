@@ -128,23 +128,24 @@ class Network:
         order = np.argsort(of, kind="stable")
         edge = np.searchsorted(of[order], np.arange(0, len(pair) + AT_ONCE, AT_ONCE))
         for k, low in enumerate(range(0, len(pair), AT_ONCE)):
-            s = (r[low : low + AT_ONCE] @ p["output"].T + p["output_bias"]).astype(np.float64)
+            s = r[low : low + AT_ONCE] @ p["output"].T + p["output_bias"]
             some = order[edge[k] : edge[k + 1]]
-            out[some] = (s - normaliser(s))[of[some] - low, tokens.output[some]]
+            out[some] = s[of[some] - low, tokens.output[some]] - normaliser(s)[of[some] - low]
         heads = np.flatnonzero(tokens.word >= 0)
         heads = heads[np.argsort(tokens.output[heads], kind="stable")]
         edge = np.searchsorted(tokens.output[heads], np.arange(shape.classes + 1))
         for c in range(shape.classes):
             for low in range(edge[c], edge[c + 1], AT_ONCE):
                 some = heads[low : min(edge[c + 1], low + AT_ONCE)]
-                s = (r[of[some]] @ p["word"][c :: shape.classes].T + p["word_bias"][c :: shape.classes]).astype(np.float64)
-                out[some] += (s - normaliser(s))[np.arange(len(some)), tokens.word[some] // shape.classes]
+                s = r[of[some]] @ p["word"][c :: shape.classes].T + p["word_bias"][c :: shape.classes]
+                out[some] += s[np.arange(len(some)), tokens.word[some] // shape.classes] - normaliser(s)
         return out
 
 
 def normaliser(scores: np.ndarray) -> np.ndarray:
-    most = scores.max(1, keepdims=True)
-    return most + np.log(np.exp(scores - most).sum(1, keepdims=True))
+    """Logarithms of the sums of exponentials of each row."""
+    most = scores.max(1)
+    return most + np.log(np.exp(scores - most[:, None]).sum(1, dtype=np.float64))
 
 
 def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
