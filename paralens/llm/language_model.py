@@ -6,8 +6,8 @@ classes, by their first two bytes. ``log_bilinear`` has the network. Inside a ta
 discount, and what the discounts leave is the probability of a word of that class that training never saw: one outcome
 a class, as add-one smoothing has one for all. So every word of any corpus has a proper probability.
 
-What is learnt from is all training text: exact counts of all tokens, and every training token with its context. Learners, at
-most LEARNERS tasks, each take the chunks of a partition in turn, beginning with the parameters of the round before; the round's
+What is learnt from is all training text: exact counts of all tokens, and every training token with its context. Learners,
+as many tasks as LEARNERS times the root of the number of chunks, each take chunks in turn, beginning with the parameters of the round before; the round's
 result is their mean, weighted by tokens. There are ROUNDS rounds over parts of the chunks, so each token is met once, or more often if there are few.
 
 Token counts are exact. Texts are tokenised once into chunks, each with its sorted distinct
@@ -43,7 +43,7 @@ CHUNK_BYTES = 4 << 20
 BUCKET_ENTRIES = 500_000
 TAILS = 96
 HEADS_RATE, HEADS_POWER = 8.0, 0.4
-ROUNDS, LEARNERS, SEED = 4, 4096, 4001
+ROUNDS, LEARNERS, SEED = 4, 2, 4001
 #: Tokens that are learnt from at least, in MOST_PASSES passes at most.
 LEARNT, MOST_PASSES = 3_000_000, 24
 #: Parameters that one task takes the mean of.
@@ -257,6 +257,7 @@ def train(chunks: DataFrame, classes: Classes, ends: int, learnt: int = LEARNT,
     net = Network.fresh(classes.shape, *shares, seed)
     passes = max(1, min(MOST_PASSES, -(-learnt // max(1, classes.tokens))))
     parts, again = max(1, ROUNDS // passes), max(1, passes // ROUNDS)
+    learners = max(8, int(LEARNERS * np.sqrt(chunks.count())))  # each hands over all parameters
     for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast((classes, shares, net))  # sublinear in the vocabulary
 
@@ -281,7 +282,7 @@ def train(chunks: DataFrame, classes: Classes, ends: int, learnt: int = LEARNT,
             total = sum(w * x for w, x in zip(weight, read(table.column("values"), np.float32), strict=True)) / weight.sum()
             return pa.table({"slice": table.column("slice")[:1], "values": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-        now = chunks.where(F.pmod(F.col("nth"), F.lit(parts)) == turn % parts).select("chunk", "held", *COLUMNS).coalesce(LEARNERS)
+        now = chunks.where(F.pmod(F.col("nth"), F.lit(parts)) == turn % parts).select("chunk", "held", *COLUMNS).coalesce(learners)
         rows = now.mapInArrow(learn, "slice long, weight long, values binary").groupBy("slice").applyInArrow(mean, "slice long, values binary").collect()
         if rows:
             net = Network(classes.shape, np.concatenate([np.frombuffer(r["values"], np.float32) for r in sorted(rows)]))
