@@ -19,7 +19,7 @@ input come back as they are; those that the operator adds replace input columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..store import written
@@ -35,17 +35,16 @@ SEED = 7001
 SMALLEST = -(1 << 63)
 
 
-def _range_of(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted boundaries lie below the key, by binary search."""
+def _with_range(df: DataFrame, bounds: list[int]) -> DataFrame:
+    """The rows with ``__range``: how many of the sorted boundaries lie below the key, by binary search, a column a step."""
+    out = df.withColumn("__range", F.lit(0))
     if not bounds:
-        return F.lit(0)
-    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+        return out
     table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")  # folded into one literal
-    n = F.lit(len(bounds))
-    return F.aggregate(
-        F.array(*map(F.lit, steps)), F.lit(0),
-        lambda at, step: F.when((at + step <= n) & (F.get(table, at + step - 1) < key), at + step).otherwise(at),
-    )
+    for step in (1 << k for k in reversed(range(len(bounds).bit_length()))):
+        below = F.coalesce(F.get(table, F.col("__range") + (step - 1)) < F.col("__key"), F.lit(False))  # beyond the last there is none
+        out = out.withColumn("__range", F.col("__range") + F.when(below, step).otherwise(0))
+    return out
 
 
 def water_level(loads: list[int], total: int) -> list[int]:
@@ -89,14 +88,14 @@ def shard(docs: DataFrame, shards: int = 16, key_col: str = "doc_id", text_col:
     sampled = keys.where(~heavy & (unit < F.col("size") * (ranges * SAMPLE_PER_RANGE / total)))
     bounds = sorted(set(sampled.agg(F.percentile_approx("__key", [k / ranges for k in range(1, ranges)], 20000)).first()[0] or []))
 
-    target, range_ = min(-(-total // ranges), CELL_BYTES), _range_of(F.col("__key"), bounds)
-    in_range = keys.where(~heavy).groupBy(range_.alias("__range")).agg(F.sum("size").alias("b"))
+    target = min(-(-total // ranges), CELL_BYTES)
+    in_range = _with_range(keys.where(~heavy), bounds).groupBy("__range").agg(F.sum("size").alias("b"))
     overfull = in_range.where(F.col("b") > 2 * target).select("__range", F.ceil(F.col("b") / target).cast("int").alias("__ways"))
     overfull = F.broadcast(written(overfull, "overfull"))  # at most a row a range
 
     def celled(df: DataFrame) -> DataFrame:
         """The light rows with their cell."""
-        placed = df.where(~heavy).withColumn("__range", range_).join(overfull, "__range", "left")
+        placed = _with_range(df.where(~heavy), bounds).join(overfull, "__range", "left")
         return placed.withColumn("__part", F.pmod(F.col("__tie"), F.coalesce("__ways", F.lit(1))).cast("int")).drop("__ways")
 
     cell = ["__range", "__part"]
