@@ -50,13 +50,16 @@ def _scratch(spark: SparkSession, label: str) -> str:
 
 
 class Table:
-    """A DataFrame written as Parquet; ``drop`` removes the files, and the catalog's entry if it has one, once nothing reads them."""
+    """A DataFrame written as Parquet; ``drop`` removes the files, and the catalog's entry if it has one, once nothing reads them.
 
-    def __init__(self, df: DataFrame, label: str, compression: str = "snappy", buckets: int = 0, key: str = ""):
+    Readers hold the values of a row group of ``group_mb`` at once: tables of rows of some MB want small ones.
+    """
+
+    def __init__(self, df: DataFrame, label: str, compression: str = "snappy", buckets: int = 0, key: str = "", group_mb: int = 128):
         self.spark = df.sparkSession
         self.path = _scratch(self.spark, label)
         self.name = f"paralens_{label.replace('-', '_')}_{uuid.uuid4().hex}" if buckets else None
-        writer = df.write.format("parquet").option("compression", compression)
+        writer = df.write.format("parquet").option("compression", compression).option("parquet.block.size", group_mb << 20)
         if self.name:
             writer.bucketBy(buckets, key).option("path", self.path).saveAsTable(self.name)
             self.df = self.spark.table(self.name)
@@ -73,8 +76,3 @@ class Table:
 def written(df: DataFrame, label: str) -> DataFrame:
     """The same rows, read from a table in the shared folder."""
     return Table(df, label).df
-
-
-def bucketed(df: DataFrame, label: str, buckets: int, key: str, compression: str = "zstd") -> DataFrame:
-    """The rows as a table in buckets of ``key``: grouping by it moves nothing."""
-    return Table(df, label, compression, buckets, key).df
