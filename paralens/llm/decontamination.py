@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..store import Table, written
+from ..store import Table
 from .ragged import LOWER, PLAIN_WORD, Hashes, Ranges, blocks, flat, identity, runs, spread
 
 SEGMENT_BYTES = 2 << 20
@@ -279,7 +279,7 @@ def documents_of(index: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 8, item_id: str = "item_id", item_text: str = "text", id_col: str = "doc_id", text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row a document: id, n_words, n_hit, spans and items, after building, storing and searching the index."""
-    index = written(build_index(docs, id_col, text_col), "postings")
+    index = Table(build_index(docs, id_col, text_col), "postings", group_mb=8).df
     matches = []
     for block in query_blocks(items, window, item_id, item_text, block_windows):  # the driver holds one block at a time
         found = search(index, block).where(F.size("items") > 0).select("segment", "place", "spans", "items")
