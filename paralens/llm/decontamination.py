@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from ..store import Table
 from .ragged import LOWER, PLAIN_WORD, Hashes, Ranges, blocks, flat, identity, runs, spread
 
-SEGMENT_BYTES = 2 << 20
+SEGMENT_BYTES = 1 << 20
 #: Windows sent to the executors at once, at most 8 bytes a word of them.
 BLOCK_WINDOWS = 200_000
 #: Candidate positions held at once while lists are intersected.

@@ -105,7 +105,7 @@ _powers: list[np.ndarray] = []
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES + 1024)
+        size = max(n, 1 << 20)
         made = []
         for base in (BASE, pow(BASE, -1, 1 << 64)):
             table = np.full(size, base, U64)
