@@ -42,7 +42,7 @@ XX_SEED = 42
 SHOWN, PART = 64, 2048
 PAIRS_AT_ONCE = 1 << 21
 #: Text bytes that are hashed at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 #: Fingerprints that more than this part of all rows share are sent to every executor: there are fewer than so many.
 HOT = 10_000
 

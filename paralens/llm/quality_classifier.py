@@ -31,7 +31,7 @@ BYTE_GRAM = 4
 MAX_TRAIN, MAX_FEATURES = 8000, 15_000_000
 SEED = 10_001
 #: Text bytes whose indicators are held at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 #: Fits of the curve use every fifth training row.
 FOLDS = 5
 
