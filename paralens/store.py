@@ -60,6 +60,9 @@ class Table:
         self.path = _scratch(self.spark, label)
         self.name = f"paralens_{label.replace('-', '_')}_{uuid.uuid4().hex}" if buckets else None
         writer = df.write.format("parquet").option("compression", compression).option("parquet.block.size", group_mb << 20)
+        if group_mb < 128:  # writers look at a page's or group's size after every so many rows only
+            for kind in ("page", "block"):
+                writer = writer.option(f"parquet.{kind}.size.row.check.min", 1).option(f"parquet.{kind}.size.row.check.max", 4)
         if self.name:
             writer.bucketBy(buckets, key).option("path", self.path).saveAsTable(self.name)
             self.df = self.spark.table(self.name)
