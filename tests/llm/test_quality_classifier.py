@@ -30,6 +30,43 @@ def test_descent_solves_the_dual():
         assert loss(w + d) >= best - 1e-3
 
 
+def test_descent_over_parts_solves_the_same(spark):
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(1, 60, 12)) for _ in range(120)]
+    y = np.where(np.array([(r < 30).mean() for r in rows]) > 0.5, 1, -1)
+    values = [np.ones(len(r)) / np.sqrt(len(r)) for r in rows]
+    whole = q.dual_coordinate_descent(rows, values, y, epochs=400, tolerance=1e-6)
+    cuts = [(a, min(a + 17, 120)) for a in range(0, 120, 17)]
+    parts = q.block_descent([y[a:b] for a, b in cuts], lambda k: (rows[slice(*cuts[k])], values[slice(*cuts[k])]), epochs=400, tolerance=1e-6)
+    np.testing.assert_allclose(parts, whole, atol=1e-3)
+
+
+def test_no_row_is_left_out_however_few_indicators_are_held(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    seen = []
+    fit_parts = q.fit_parts
+
+    def counted(parts, rows_of):
+        seen.append((len(parts), sorted((int(label), tuple(r.tolist())) for k, p in enumerate(parts) for label, r in zip(p, rows_of(k), strict=True))))
+        return fit_parts(parts, rows_of)
+
+    monkeypatch.setattr(q, "fit_parts", counted)
+    one, many = q.train(docs, labels), q.train(docs, labels, part_features=20_000)
+    assert seen[0][0] == 1 and seen[1][0] > 3 and seen[0][1] == seen[1][1]
+    assert len(seen[0][1]) == labels.where("quality IN (0, 1)").select("doc_id").distinct().count()
+    np.testing.assert_array_equal(one.squares, many.squares)
+    column = flat(pa.array([r.text for r in docs.orderBy("doc_id").collect()]))
+    assert ((one.scores(*column) >= 0.5) == (many.scores(*column) >= 0.5)).mean() > 0.98
+
+
+def test_repeated_rows_are_learnt_from_once(spark):
+    docs = spark.createDataFrame([(1, "good words"), (2, "bad ones"), (3, None), (4, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 5)], "doc_id long, quality int")
+    a, b = q.train(docs, labels), q.train(docs.unionAll(docs.limit(3)), labels.unionAll(labels))
+    np.testing.assert_array_equal(a.weights, b.weights)
+    assert (a.slope, a.shift) == (b.slope, b.shift)
+
+
 def test_held_out_accuracy(spark):
     scored = op10_quality_classifier(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     right = scored.where("held_out").agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0]
