@@ -2,13 +2,20 @@
 
 ``run`` writes every stage's result as Parquet in the folder that the cluster shares and reads it
 as the next one's documents, so a lost executor never repeats more than one stage.
+
+Columns of the documents come back from every stage as they are, extra ones of any name among them; ``doc_id``,
+``text`` and ``source`` must be there (the last stage adds its own columns, which replace input columns so
+called). Null texts are empty: the classifier scores them like any other, they are one group of near-duplicates, hold no
+window and no tokens, and have size 1. Rows without an id take part in everything but the labels: different texts
+without an id, or of one id, all stay, and of equal rows one. Null sources are one source. Of ties the smallest id stays.
+Texts are taken whole, however long. No documents give no shards.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paralens.llm import decontamination, mixing, quality_classifier, sharding, similar_texts
@@ -16,32 +23,46 @@ from paralens.llm.queries import held_out, read
 from paralens.store import Table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: What is handed through an operator as one column, so that no name in it meets the operator's own.
+REST = "__document"
+
+
+def held(columns: list[str]) -> Column:
+    """The columns named as one."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns)).alias(REST)
+
+
+def as_in(docs: DataFrame, df: DataFrame) -> DataFrame:
+    """The columns of ``docs``, from those of ``df`` and what its REST column holds."""
+    return df.select(*(F.col(f"`{c}`") if c in df.columns else F.col(f"{REST}.`{c}`").alias(c) for c in docs.columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; it learns from the labels of these documents outside the held-out third."""
     model = quality_classifier.train(docs, read(spark, sf_dir, "labels").where(~held_out(1, 3)))
-    others = tuple(c for c in COLUMNS if c not in ("doc_id", "text"))
-    return quality_classifier.score(docs, model, carry=others, keep_text=True).where("score >= 0.5").select(*COLUMNS)
+    rest = docs.select("doc_id", "text", held([c for c in docs.columns if c not in ("doc_id", "text")]))
+    kept = quality_classifier.score(rest, model, carry=(REST,), keep_text=True).where("score >= 0.5")
+    return as_in(docs, kept.select("doc_id", "text", REST))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of every group that five-word shingles of a similarity of 0.8 or SimHash links join."""
-    return similar_texts.keep_one(docs).select(*COLUMNS)
+    return similar_texts.keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item: one leaked passage is enough to go. Rows without an id count as one document."""
     found = decontamination.contamination(docs, read(spark, sf_dir, "benchmark"))
-    dirty = found.where(F.size("items") >= 1).select(F.col("doc_id").alias("dirty")).distinct()
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("dirty")), "left_anti").select(*COLUMNS)
+    dirty = found.where(F.size("items") >= 1).select(F.col("doc_id").alias("__dirty")).distinct()
+    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("__dirty")), "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once; sources with few words again, up to two passes, as the temperature says."""
-    sized = docs.withColumn("n_tokens", mixing.n_words(F.col("text")))
+    others = [c for c in docs.columns if c not in ("doc_id", "source")]
+    sized = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("n_tokens"), held(others))
     plan = written(mixing.weights(sized, budget=mixing.COVER, target_entropy=None, max_repeats=2.0), "mixture-weights")
-    return mixing.mix(sized, plan).select(*COLUMNS)
+    return as_in(docs, mixing.mix(sized, plan).select("doc_id", "source", REST))
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
