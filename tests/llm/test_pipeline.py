@@ -71,3 +71,16 @@ def test_odd_rows(spark):
             df = stage(spark, df, SF).cache()
             df.count()
         assert not table or df.count() >= 1
+
+
+def test_extra_columns_of_clashing_names_come_back(spark):
+    docs = read(spark, SF, "documents")
+    names = ["score", "n_tokens", "epoch", "block", "dirty", "__text", "node", "a.b"]
+    wide = docs.select(*docs.columns, *(F.concat_ws("-", F.lit(n), "doc_id").alias(n) for n in names))
+    got, plain = wide, docs
+    for _, stage in c.STAGES[:-1]:
+        got, plain = stage(spark, got, SF).cache(), stage(spark, plain, SF).cache()
+        assert got.columns == wide.columns and sorted(ids(got)) == sorted(ids(plain))
+    wrong = F.exists(F.array(*(F.col(f"`{n}`") != F.concat_ws("-", F.lit(n), "doc_id") for n in names)), lambda x: x)
+    assert got.count() > 0 and got.where(wrong).count() == 0
+    assert sorted(ids(c.STAGES[-1][1](spark, got, SF))) == sorted(ids(plain))
