@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paralens.llm import decontamination, mixing, quality_classifier, sharding, similar_texts
@@ -23,26 +23,26 @@ from paralens.llm.queries import held_out, read
 from paralens.store import Table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: What is handed through an operator as one column, so that no name in it meets the operator's own.
-REST = "__document"
+#: Followed by its place, the name of a column that an operator would take for its own or can't name.
+KEPT = "__kept_"
 
 
-def held(columns: list[str]) -> Column:
-    """The columns named as one."""
-    return F.struct(*(F.col(f"`{c}`") for c in columns)).alias(REST)
+def aside(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with columns of these names, or of names with a dot, called otherwise."""
+    return docs.select(*(F.col(f"`{c}`").alias(f"{KEPT}{k}" if c.lower() in names or "." in c else c) for k, c in enumerate(docs.columns)))
 
 
 def as_in(docs: DataFrame, df: DataFrame) -> DataFrame:
-    """The columns of ``docs``, from those of ``df`` and what its REST column holds."""
-    return df.select(*(F.col(f"`{c}`") if c in df.columns else F.col(f"{REST}.`{c}`").alias(c) for c in docs.columns))
+    """The columns of ``docs``, from those of ``df``, where some may be called otherwise."""
+    return df.select(*(F.col(f"{KEPT}{k}").alias(c) if f"{KEPT}{k}" in df.columns else F.col(f"`{c}`") for k, c in enumerate(docs.columns)))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; it learns from the labels of these documents outside the held-out third."""
     model = quality_classifier.train(docs, read(spark, sf_dir, "labels").where(~held_out(1, 3)))
-    rest = docs.select("doc_id", "text", held([c for c in docs.columns if c not in ("doc_id", "text")]))
-    kept = quality_classifier.score(rest, model, carry=(REST,), keep_text=True).where("score >= 0.5")
-    return as_in(docs, kept.select("doc_id", "text", REST))
+    named = aside(docs, "score", "__text")
+    others = tuple(c for c in named.columns if c not in ("doc_id", "text"))
+    return as_in(docs, quality_classifier.score(named, model, carry=others, keep_text=True).where("score >= 0.5"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +59,9 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once; sources with few words again, up to two passes, as the temperature says."""
-    others = [c for c in docs.columns if c not in ("doc_id", "source")]
-    sized = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("n_tokens"), held(others))
+    sized = aside(docs, "n_tokens", "epoch", "block").withColumn("n_tokens", mixing.n_words(F.col("text")))
     plan = written(mixing.weights(sized, budget=mixing.COVER, target_entropy=None, max_repeats=2.0), "mixture-weights")
-    return as_in(docs, mixing.mix(sized, plan).select("doc_id", "source", REST))
+    return as_in(docs, mixing.mix(sized, plan))
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
