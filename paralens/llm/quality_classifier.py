@@ -35,6 +35,8 @@ BYTE_GRAM = 4
 MAX_TRAIN = 8000
 #: Indicators of training rows that are held at once; a row has at most DIMENSIONS.
 PART_FEATURES = 15_000_000
+#: Indicators that one job brings to the driver.
+FETCHED = 1 << 19
 SEED = 10_001
 #: Text bytes whose indicators are held at once.
 AT_ONCE = 1 << 19
@@ -234,8 +236,11 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
         ends = np.cumsum(sizes[low:high])
         values = np.zeros(int(ends[-1]), np.int32)
         out = [values[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-        for r in placed.df.where(F.col("part") == k).select("place", "features").toLocalIterator():
-            out[r["place"] - low][:] = np.frombuffer(r["features"], np.int32)
+        turn = (ends - sizes[low:high]) // FETCHED
+        for t in np.unique(turn):
+            at = np.flatnonzero(turn == t) + low
+            for r in placed.df.where(F.col("place").between(int(at[0]), int(at[-1]))).select("place", "features").collect():
+                out[r["place"] - low][:] = np.frombuffer(r["features"], np.int32)
         return out
 
     last: dict[int, list[np.ndarray]] = {}
