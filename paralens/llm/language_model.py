@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from ..store import Table
 from .cells import Deal, bucket_of, cut, read
 from .log_bilinear import Network, Shape, Tokens
-from .ragged import LOWER, SPACED_WORD, Hashes, blocks, mixed, runs
+from .ragged import LOWER, SPACED_WORD, blocks, mixed, runs, word_hashes
 
 CHUNK_BYTES = 4 << 20
 #: Distinct tokens of chunks that a bucket adds up.
@@ -56,7 +56,8 @@ def _chunk(data: np.ndarray, offs: np.ndarray, learn: np.ndarray) -> list[np.nda
     n = len(offs) - 1
     lowered = LOWER[data]
     starts, ends, row = runs(SPACED_WORD[data], offs)
-    h, h2 = Hashes(lowered).of(starts, ends), Hashes(lowered, 1).of(starts, ends).astype(np.uint32)
+    h, h2 = word_hashes(lowered, starts, ends, (0, 1))
+    h2 = h2.astype(np.uint32)
     two = lowered[starts].astype(np.uint64) * np.uint64(256)
     longer = ends - starts > 1
     two[longer] += lowered[starts[longer] + 1]
@@ -72,11 +73,13 @@ def _chunk(data: np.ndarray, offs: np.ndarray, learn: np.ndarray) -> list[np.nda
 
 def distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One index of each distinct pair of hashes, in their order, and which of these every pair is."""
-    _, first, index = np.unique(one, return_index=True, return_inverse=True)
-    if (two == two[first][index]).all():
-        return first, index
-    order = np.lexsort((two, one))  # some share the first hash alone
-    fresh = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
+    order = np.argsort(one)
+    a, b = one[order], two[order]
+    fresh, other = a[1:] != a[:-1], b[1:] != b[:-1]
+    if (other & ~fresh).any():  # some share the first hash alone
+        order = np.lexsort((two, one))
+        fresh = fresh | (two[order][1:] != two[order][:-1])
+    fresh = np.concatenate([np.ones(min(1, len(order)), bool), fresh])
     index = np.empty(len(order), np.int64)
     index[order] = np.cumsum(fresh) - 1
     return order[fresh], index
@@ -104,10 +107,20 @@ def tokenised(docs: DataFrame, held_out: Column, id_col: str, text_col: str) ->
     return picked.mapInArrow(run, schema)
 
 
+def stored(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
+    """The chunks in a table of small row groups: tasks that read or write it hold two chunks or so, however large their files are."""
+    return Table(tokenised(docs, held_out, id_col, text_col), "token-chunks", "zstd", group_mb=8).df
+
+
 def _cells(batch: pa.RecordBatch | pa.Table, name: str, kind: type) -> list[np.ndarray]:
     return read(batch.column(batch.schema.get_field_index(name)), kind)
 
 
+def _cell(batch: pa.RecordBatch | pa.Table, k: int, name: str, kind: type) -> np.ndarray:
+    """One row's values, where they are: a batch holds many chunks, which are not copied together."""
+    return np.frombuffer(batch.column(batch.schema.get_field_index(name))[k].as_buffer(), kind)
+
+
 @dataclass
 class Sums:
     """What is known of training tokens: totals (all tokens, distinct ones, words seen once, words seen twice), tokens and words of each tail class, and frequent words."""
@@ -146,9 +159,9 @@ def counted(chunks: DataFrame, buckets: int, heads: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            number = batch.column(batch.schema.get_field_index("chunk")).to_pylist()
-            columns = [_cells(batch, c, t) for c, t in (("unique", np.uint64), ("second", np.uint32), ("kind", np.uint8), ("seen", np.int32))]
-            for chunk, unique, *others in zip(number, *columns, strict=True):
+            for k in range(batch.num_rows):
+                chunk = batch.column(batch.schema.get_field_index("chunk"))[k].as_py()
+                unique, *others = (_cell(batch, k, c, t) for c, t in (("unique", np.uint64), ("second", np.uint32), ("kind", np.uint8), ("seen", np.int32)))
                 d = Deal(bucket_of(unique, buckets))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d.buckets), chunk)), pa.array(d.buckets), *(d.cells(c) for c in (unique, *others))], names=["chunk", "bucket", "unique", "second", "kind", "seen"])
 
@@ -265,8 +278,9 @@ def train(chunks: DataFrame, classes: Classes, ends: int, learnt: int = LEARNT,
             known, (outputs, words), start = sent.value
             mine, weight = Network(known.shape, start.flat.copy()), 0
             for batch in batches:
-                held, number = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("held", "chunk"))
-                for out, chunk, *arrays in zip(held, number, *(_cells(batch, c, t) for c, t in zip(COLUMNS, KINDS, strict=True)), strict=True):
+                for row in range(batch.num_rows):
+                    out, chunk = (batch.column(batch.schema.get_field_index(c))[row].as_py() for c in ("held", "chunk"))
+                    arrays = [_cell(batch, row, c, t) for c, t in zip(COLUMNS, KINDS, strict=True)]
                     some = np.flatnonzero(np.repeat(~np.array(out, bool), arrays[-1]))
                     if len(some):
                         tokens = known.place(*arrays).take(some)
@@ -300,12 +314,12 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
     ``held_out``: true for rows that the model doesn't learn from.
     """
-    chunks = Table(tokenised(docs, held_out, id_col, text_col), "token-chunks", "zstd")
-    entries, ends = (x or 0 for x in chunks.df.agg(F.sum("entries"), F.sum(F.size(F.filter("held", lambda x: ~x)))).first())
+    chunks = stored(docs, held_out, id_col, text_col)
+    entries, ends = (x or 0 for x in chunks.agg(F.sum("entries"), F.sum(F.size(F.filter("held", lambda x: ~x)))).first())
     heads = heads_of(entries)
-    replies = Table(counted(chunks.df, max(8, -(-entries // BUCKET_ENTRIES)), heads), "token-counts", "zstd")
+    replies = Table(counted(chunks, max(8, -(-entries // BUCKET_ENTRIES)), heads), "token-counts", "zstd")
     classes = Classes(summed(replies.df, heads))
-    net = train(chunks.df, classes, ends)
+    net = train(chunks, classes, ends)
     sent = docs.sparkSession.sparkContext.broadcast((classes, net))
     out_schema = T.StructType([
         T.StructField(id_col, docs.select(F.col(id_col)).schema[0].dataType), T.StructField("held_out", T.BooleanType()),
@@ -315,7 +329,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
         known, network = sent.value
-        arrays = [_cells(left, name, t)[0] for name, t in zip(COLUMNS, KINDS, strict=True)]
+        arrays = [_cell(left, 0, name, t) for name, t in zip(COLUMNS, KINDS, strict=True)]
         unique, _, kind, tokens, sizes = arrays
         d = Deal(bucket_of(unique, buckets))
         c = d.back(right.column("bucket").to_pylist(), right.column("counts").to_pylist(), np.int64).astype(np.float64)
@@ -330,5 +344,5 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             pa.array(np.add.reduceat(base[tokens], starts)), pa.array(np.add.reduceat(each, starts) / np.log(10)),
         ], names=out_schema.names)
 
-    asked = chunks.df.select("chunk", "ids", "held", *COLUMNS)
+    asked = chunks.select("chunk", "ids", "held", *COLUMNS)
     return asked.groupBy("chunk").cogroup(replies.df.where("chunk >= 0").groupBy("chunk")).applyInArrow(rate, out_schema)

@@ -17,7 +17,7 @@ import numpy as np
 
 WIDTH, NOISE, BATCH, RATE = 24, 64, 4096, 0.1
 #: Pairs of contexts whose classes are normalised at once.
-AT_ONCE = 1 << 13
+AT_ONCE = 1 << 10
 
 
 @dataclass
@@ -122,35 +122,53 @@ class Network:
     def log_probabilities(self, tokens: Tokens) -> np.ndarray:
         """Normalised natural logarithms: of a head word, or of a tail class or the end."""
         p, shape = self.p, self.shape
-        pair, of = np.unique(tokens.two.astype(np.int64) * shape.contexts + tokens.one, return_inverse=True)
-        r = p["context"][pair % shape.contexts] * p["one"] + p["context"][pair // shape.contexts] * p["two"]
-        out = np.zeros(len(of))
-        order = np.argsort(of, kind="stable")
-        edge = np.searchsorted(of[order], np.arange(0, len(pair) + AT_ONCE, AT_ONCE))
+        near, far = p["context"] * p["one"], p["context"] * p["two"]
+        pair = tokens.two.astype(np.int64) * shape.contexts + tokens.one
+        order = np.argsort(pair)
+        pair = pair[order]
+        fresh = np.ones(len(pair), bool)
+        fresh[1:] = pair[1:] != pair[:-1]
+        of, starts = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+        pair = pair[starts]
+        edge = np.append(starts[::AT_ONCE], len(order))
+        out = np.zeros(len(order))
         for k, low in enumerate(range(0, len(pair), AT_ONCE)):
-            s = r[low : low + AT_ONCE] @ p["output"].T + p["output_bias"]
-            some = order[edge[k] : edge[k + 1]]
-            out[some] = s[of[some] - low, tokens.output[some]] - normaliser(s)[of[some] - low]
+            some, asked = order[edge[k] : edge[k + 1]], pair[low : low + AT_ONCE]
+            s = (near[asked % shape.contexts] + far[asked // shape.contexts]) @ p["output"].T
+            s += p["output_bias"]
+            row = of[edge[k] : edge[k + 1]] - low
+            out[some] = s[row, tokens.output[some]]
+            out[some] -= normaliser(s)[row]
         heads = np.flatnonzero(tokens.word >= 0)
-        heads = heads[np.argsort(tokens.output[heads], kind="stable")]
+        heads = heads[_order(tokens.output[heads])]
         edge = np.searchsorted(tokens.output[heads], np.arange(shape.classes + 1))
         for c in range(shape.classes):
+            words, bias = np.ascontiguousarray(p["word"][c :: shape.classes].T), p["word_bias"][c :: shape.classes]
             for low in range(edge[c], edge[c + 1], AT_ONCE):
                 some = heads[low : min(edge[c + 1], low + AT_ONCE)]
-                s = r[of[some]] @ p["word"][c :: shape.classes].T + p["word_bias"][c :: shape.classes]
-                out[some] += s[np.arange(len(some)), tokens.word[some] // shape.classes] - normaliser(s)
+                s = (near[tokens.one[some]] + far[tokens.two[some]]) @ words
+                s += bias
+                out[some] += s[np.arange(len(some)), tokens.word[some] // shape.classes]
+                out[some] -= normaliser(s)
         return out
 
 
 def normaliser(scores: np.ndarray) -> np.ndarray:
-    """Logarithms of the sums of exponentials of each row."""
+    """Logarithms of the sums of exponentials of each row; ``scores`` are lost."""
     most = scores.max(1)
-    return most + np.log(np.exp(scores - most[:, None]).sum(1, dtype=np.float64))
+    scores -= most[:, None]
+    np.exp(scores, out=scores)
+    return most + np.log((scores @ np.ones(scores.shape[1], scores.dtype)).astype(np.float64))
+
+
+def _order(rows: np.ndarray) -> np.ndarray:
+    """Indexes of the rows in order, stable; numbers of 16 bits are sorted by their digits."""
+    return np.argsort(rows.astype(np.uint16) if rows.max(initial=0) < 1 << 16 else rows, kind="stable")
 
 
 def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows and the sums of their values."""
-    order = np.argsort(rows, kind="stable")
+    order = _order(rows)
     rows = rows[order]
     heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     return rows[heads], np.add.reduceat(values[order], heads, axis=0)

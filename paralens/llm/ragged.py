@@ -19,6 +19,8 @@ MIX_B = U64(0x94D049BB133111EB)
 DOC_MIX = U64(0xD6E8FEB86659FD93)
 
 BLOCK_BYTES = 4 << 20
+#: Bytes whose hashes are made at once.
+STEP = 1 << 15
 
 
 def byte_table(ranges: list[tuple[int, int]], inside: bool = True) -> np.ndarray:
@@ -172,10 +174,14 @@ class Hashes(Ranges):
         super().__init__(data)
         power, self.inverse = _power_tables(len(data) + 1)
         self.mix = (MIX_A + U64(2 * salt), MIX_B + U64(4 * salt))
-        self.total = np.zeros(len(data) + 1, U64)
-        mixed_ = _mixed_words(self.words[: len(data)], *self.mix)
-        mixed_ *= power[: len(data)]
-        np.cumsum(mixed_, out=self.total[1:])
+        self.total = np.empty(len(data) + 1, U64)
+        self.total[0] = 0
+        for low in range(0, len(data), STEP):  # what a step makes stays in the processor's cache
+            high = min(low + STEP, len(data))
+            mixed_ = _mixed_words(self.words[low:high], *self.mix)
+            mixed_ *= power[low:high]
+            mixed_[0] += self.total[low]
+            np.cumsum(mixed_, out=self.total[low + 1 : high + 1])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         size = ends - starts
@@ -185,6 +191,26 @@ class Hashes(Ranges):
         return mixed(h + size.astype(U64) * DOC_MIX)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salts: tuple[int, ...]) -> list[np.ndarray]:
+    """What ``Hashes`` of these salts give, for ranges most of which are short: without sums over the whole buffer."""
+    size = ends - starts
+    long = np.flatnonzero(size >= 8)
+    more = size[long] - 7
+    if more.sum() > len(data) // 4:
+        return [Hashes(data, salt).of(starts, ends) for salt in salts]
+    words = Ranges(data).words
+    short = words[starts] & _LOW_BYTES[np.minimum(size, 8)]
+    inside, power = words[spread(starts[long], more)], _power_tables(int(more.max(initial=0)) + 1)[0][spread(np.zeros(len(long), np.int64), more)]
+    first, tail, out = np.cumsum(more) - more, size.astype(U64) * DOC_MIX, []
+    for salt in salts:
+        mix = (MIX_A + U64(2 * salt), MIX_B + U64(4 * salt))
+        h = _mixed_words(short, *mix)
+        if len(long):
+            h[long] = np.add.reduceat(_mixed_words(inside, *mix) * power, first)
+        out.append(mixed(h + tail))
+    return out
+
+
 def identity(ranges: Ranges, h: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A number for each range that only ranges of the same bytes share, and of each number one range. ``h``: their hashes.
 

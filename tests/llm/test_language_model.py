@@ -1,12 +1,15 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from paralens.llm import language_model as lm
+from paralens.llm import ragged
 from paralens.llm.log_bilinear import Network, Shape, Tokens
 from paralens.llm.queries import held_out
 
@@ -109,3 +112,50 @@ def test_odd_rows(odd, none):
     assert len(rows) == odd.count() and all(r.score < 0 for r in rows) and sum(r.n_tokens == 1 for r in rows) == 4
     assert lm.score(none, held_out(2, 7)).count() == 0
     assert all(r.train_tokens == 0 for r in lm.score(odd, F.lit(True)).collect())
+
+
+def many_words(n, seed=5):
+    rng = np.random.default_rng(seed)
+    return [" ".join(f"word{k}" for k in rng.zipf(1.3, n // 8) % 50_000) for _ in range(8)]
+
+
+def peak(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_chunks_are_stored_in_small_row_groups(spark):
+    """What a task holds of its chunks does not grow with its file."""
+    texts = many_words(2_000_000)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(3 * texts)], "doc_id long, text string").coalesce(1)
+    [path] = [f.removeprefix("file://") for f in lm.stored(docs, F.lit(False), "doc_id", "text").inputFiles()]
+    meta = pq.ParquetFile(path).metadata
+    sizes = [meta.row_group(k).total_byte_size for k in range(meta.num_row_groups)]
+    assert sum(sizes) > 24 << 20 and max(sizes) < 16 << 20
+
+
+def test_tokenising_holds_no_sums_over_whole_chunks():
+    texts = [t.encode() for t in many_words(400_000)]
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    ragged._powers.clear()
+    assert peak(lambda: lm._chunk(data, offs, np.ones(len(texts), bool))) < 35 * len(data)
+
+
+def test_scoring_holds_no_scores_of_many_contexts():
+    shape = Shape(2000, 90, 96)
+    net, n = Network.fresh(shape, np.full(shape.outputs, 1 / shape.outputs), np.full(2000, 1 / 2000), 1), 100_000
+    word = np.random.default_rng(1).integers(0, 2000, n)
+    tokens = Tokens(word % 90, word, *contexts(shape, n))
+    assert peak(lambda: net.log_probabilities(tokens)) < 160 * n
+
+
+def test_hashes_of_words_are_those_of_ranges():
+    for text in (b"a bb  ccc abcdefgh abcdefghi " * 40 + b"x" * 30, b"x" * 500 + b" y", b"", b"word"):
+        data = np.frombuffer(text, np.uint8)
+        starts, ends, _ = ragged.runs(ragged.SPACED_WORD[data], np.array([0, len(data)]))
+        for salt, h in enumerate(ragged.word_hashes(data, starts, ends, (0, 1))):
+            assert np.array_equal(h, ragged.Hashes(data, salt).of(starts, ends))
