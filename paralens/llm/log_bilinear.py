@@ -88,13 +88,22 @@ class Network:
 
     def _contrast(self, name: str, r: np.ndarray, target: np.ndarray, noise: np.ndarray, log_share: np.ndarray, scale: np.float32) -> np.ndarray:
         """One step towards telling targets from noise; the objective's gradient by the contexts ``r``."""
-        vectors, bias, level = self.p[name], self.p[f"{name}_bias"], np.float32(np.log(len(noise)))
-        data = (r * vectors[target]).sum(1) + bias[target] - log_share[target] - level
-        drawn = r @ vectors[noise].T + (bias[noise] - log_share[noise] - level)
+        vectors, bias, n = self.p[name], self.p[f"{name}_bias"] - log_share - np.float32(np.log(len(noise))), len(target)
+        right, wrong = vectors[target], vectors[noise]
+        data = np.einsum("ij,ij->i", r, right) + bias[target]
         up = (1 / (1 + np.exp(np.clip(data, -30, 30))))[:, None]
-        down = -1 / (1 + np.exp(-np.clip(drawn, -30, 30)))
-        back = up * vectors[target] + down @ vectors[noise]
-        rows, g = summed(np.concatenate([target, noise]), np.concatenate([np.concatenate([up * r, up], 1), np.concatenate([down.T @ r, down.sum(0)[:, None]], 1)]))
+        down = r @ -wrong.T  # in place from here on, as most of the time goes here
+        down -= bias[noise]
+        np.minimum(down, 30, out=down)
+        np.exp(down, out=down)
+        down += 1
+        np.divide(-1, down, out=down)
+        back = up * right + down @ wrong
+        change = np.empty((n + len(noise), WIDTH + 1), np.float32)
+        np.multiply(up, r, out=change[:n, :-1])
+        change[:n, -1:] = up
+        change[n:, :-1], change[n:, -1] = down.T @ r, down.sum(0)
+        rows, g = summed(np.concatenate([target, noise]), change)
         self._step(name, rows, g[:, :-1] * scale)
         self._step(f"{name}_bias", rows, g[:, -1] * scale)
         return back
