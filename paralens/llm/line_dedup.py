@@ -60,7 +60,8 @@ class Lines(Ranges):
         new[1:] = cut[:-1] | (self.row[1:] != self.row[:-1])
         self.chunk_first = np.flatnonzero(new)
         chunk_last = np.append(self.chunk_first[1:], len(h))[: len(self.chunk_first)] - 1
-        total = np.concatenate([[0], np.cumsum(SPACED_WORD[data], dtype=np.int64)])
+        total = np.zeros(len(data) + 1, np.int32)  # a cell has less than 2 GB
+        np.cumsum(SPACED_WORD[data], dtype=np.int32, out=total[1:])
         pair, long = np.flatnonzero(self.row[:-1] == self.row[1:]), np.flatnonzero(chunk_last > self.chunk_first + 1)
         first, last = np.concatenate([pair, self.chunk_first[long]]), np.concatenate([pair + 1, chunk_last[long]])
         picked = np.flatnonzero(total[self.ends[last]] > total[self.starts[first]])
@@ -103,9 +104,13 @@ class Lines(Ranges):
         final = np.append(np.flatnonzero(self.row[kept][1:] != self.row[kept][:-1]), len(kept) - 1) if len(kept) else kept
         ends = self.ends[kept] + ~last[kept]
         ends[final] = self.ends[kept][final]
-        mask = covered(self.starts[kept], ends, len(self.data))
-        raw = self.data[mask].tobytes()
-        edge = np.concatenate([[0], np.cumsum(mask)])[self.offs]
+        starts = self.starts[kept]
+        full = np.flatnonzero(ends > starts)  # no two begin or end at one place
+        step = np.zeros(len(self.data) + 1, np.int8)
+        step[starts[full]] = 1
+        step[ends[full]] -= 1
+        raw = self.data[np.cumsum(step[:-1], dtype=np.int8).view(bool)].tobytes()
+        edge = np.concatenate([[0], np.cumsum(np.bincount(self.row[kept], weights=ends - starts, minlength=len(self.ids)).astype(np.int64))])
         return [raw[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
 
@@ -142,20 +147,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             for k in range(batch.num_rows):
                 x, number = _lines(batch, k), batch.column(batch.schema.get_field_index("part"))[k].as_py()
                 first, times = x.distinct()
-                arrays = (x.one[first], x.two[first].astype(np.int64), np.full(len(first), number), x.ids[x.doc[first]], x.place()[first], times)
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["one", "two", "part", "id", "place", "times"])
+                arrays = (x.one[first], x.two[first].astype(np.int64), np.full(len(first), number), x.ids[x.doc[first]], x.place()[first], x.begin[first], x.size[first], times)
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["one", "two", "part", "id", "place", "at", "size", "times"])
 
     def handed(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The bytes of the blocks that this group has first."""
+        """The bytes of the blocks that this group has first, taken from where ``listed`` found them."""
         if not left.num_rows or not right.num_rows:
             return pa.table({"one": pa.array([], pa.int64()), "two": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "place": pa.array([], pa.int64()), "bytes": pa.array([], pa.binary())})
-        x, (one, two) = _lines(left, 0), (right.column(c).to_numpy() for c in ("one", "two"))
-        which = x.find(one, two.astype(np.uint32))
-        first, _ = x.distinct()
-        first = first[which[first] >= 0]
-        texts = [x.text(int(a), int(n)) for a, n in zip(x.begin[first], x.size[first], strict=True)]
-        picked = right.take(pa.array(which[first]))
-        return pa.table({"one": picked.column("one"), "two": picked.column("two"), "id": picked.column("id"), "place": picked.column("place"), "bytes": pa.array(texts, pa.binary())})
+        data = np.frombuffer(left.column("data")[0].as_buffer(), np.uint8)
+        at, size = (right.column(c).to_pylist() for c in ("at", "size"))
+        texts = [data[a : a + n].tobytes() for a, n in zip(at, size, strict=True)]
+        return pa.table({**{c: right.column(c) for c in ("one", "two", "id", "place")}, "bytes": pa.array(texts, pa.binary())})
 
     names = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
     schema = T.StructType([T.StructField(id_col, id_type), *(T.StructField(c, T.LongType()) for c in names), T.StructField("kept", T.BinaryType()), T.StructField("kept_sha256", T.StringType())])
@@ -181,13 +183,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             left.column("ids").combine_chunks().values, *(pa.array(v.astype(np.int64)) for v in numbers), pa.array(texts, pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
         ], names=schema.names)
 
-    entries = Table(groups.mapInArrow(listed, "one long, two long, part long, id long, place long, times long"), "blocks", "zstd").df
-    again = entries.groupBy("one", "two").agg(F.sum("times").alias("n"), F.min(F.struct("id", "place", "part")).alias("first")).where("n > 1")
-    firsts = Table(again.select("one", "two", "first.id", "first.place", "first.part"), "firsts").df
+    entries = Table(groups.mapInArrow(listed, "one long, two long, part long, id long, place long, at long, size long, times long"), "blocks", "zstd").df
+    again = entries.groupBy("one", "two").agg(F.sum("times").alias("n"), F.min(F.struct("id", "place", "part", "at", "size")).alias("first")).where("n > 1")
+    firsts = Table(again.select("one", "two", *(f"first.{c}" for c in ("id", "place", "part", "at", "size"))), "firsts").df
     by_part = groups.groupBy("part")
-    originals = by_part.cogroup(firsts.groupBy("part")).applyInArrow(handed, "one long, two long, id long, place long, bytes binary")
+    originals = groups.select("part", "data").groupBy("part").cogroup(firsts.groupBy("part")).applyInArrow(handed, "one long, two long, id long, place long, bytes binary")
     originals = Table(originals, "originals", "zstd").df
-    told = entries.alias("e").join(originals.alias("o"), ["one", "two"])
+    told = entries.select("one", "two", "part", "id", "place", "times").alias("e").join(originals.alias("o"), ["one", "two"])
     # A group that has a block once, and first, has nothing to remove.
     told = told.where("e.times > 1 OR e.id <> o.id OR e.place <> o.place").select("e.part", "one", "two", "o.id", "o.place", "bytes")
     return by_part.cogroup(told.groupBy("part")).applyInArrow(finish, schema)

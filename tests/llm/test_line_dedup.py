@@ -1,5 +1,6 @@
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -68,3 +69,18 @@ def test_odd_rows(odd, none):
     rows = d.dedup(odd).collect()
     assert len(rows) == odd.count() and all(r.n_lines == 1 for r in rows)
     assert d.dedup(none).count() == 0
+
+
+def test_texts_are_cut_without_counts_of_every_byte():
+    rows = [f"line {k % 997} of a text that goes on for a while" for k in range(20_000)]
+    raw = "\n".join(rows).encode()
+    x = d.Lines(np.array([0, 1]), np.frombuffer(raw + raw, np.uint8), np.array([len(raw), len(raw)]))
+    gone = np.arange(len(x.row)) % 7 == 0
+    tracemalloc.start()
+    try:
+        texts = x.without(gone)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert texts[0] == "\n".join(r for k, r in enumerate(rows) if k % 7).encode() and texts[1] == "\n".join(r for k, r in enumerate(rows) if (k + 20_000) % 7).encode()
+    assert peak < 12 * len(x.data)
