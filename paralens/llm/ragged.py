@@ -180,7 +180,7 @@ class Hashes(Ranges):
             high = min(low + STEP, len(data))
             mixed_ = _mixed_words(self.words[low:high], *self.mix)
             mixed_ *= power[low:high]
-            mixed_[0] += self.total[low]
+            mixed_[:1] += self.total[low : low + 1]
             np.cumsum(mixed_, out=self.total[low + 1 : high + 1])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

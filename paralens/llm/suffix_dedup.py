@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from pyspark.sql import types as T
 
 from ..store import MAX_BUCKETS, Table
 from .cells import Deal, bucket_of, cut, read
-from .ragged import DOC_MIX, U64, Hashes, blocks, covered, mixed, runs, spread
+from .ragged import DOC_MIX, STEP, U64, Hashes, blocks, mixed, runs, spread
 
 SPAN, GRAM = 50, 16
 CHUNK_BYTES = 4 << 20
@@ -65,24 +66,34 @@ def anchors(data: np.ndarray, offs: np.ndarray, span: int = SPAN, gram: int = GR
         return empty, empty, empty
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     word = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
-    h = (word[: n - gram + 1] * U64(0x9E3779B97F4A7C15)) ^ (word[gram - 8 : n - 7] * U64(0xC2B2AE3D27D4EB4F))
-    h *= U64(0xD6E8FEB86659FD93)
-    h ^= h >> U64(32)
-    h *= U64(0x94D049BB133111EB)
-    h &= HIGH
-    h |= np.arange(len(h), dtype=U64)
-    width, size = span - gram + 1, 1
-    while size * 2 <= width:  # minima over 2, 4, 8, ... positions
-        np.minimum(h[: len(h) - size], h[size:], out=h[: len(h) - size])
-        size *= 2
-    if width > size:
-        h = np.minimum(h[: len(h) - (width - size)], h[width - size :])
-    row = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(offs))
-    start = np.flatnonzero(row[: n - span + 1] == row[span - 1 :])
-    at = (h[start] & LOW).astype(np.int64)
-    fresh = np.flatnonzero(np.concatenate([np.ones(min(1, len(at)), bool), at[1:] != at[:-1]]))
-    stop = np.append(fresh[1:], len(at))[: len(fresh)] - 1
-    return at[fresh], start[fresh], start[stop]
+    width, picked = span - gram + 1, np.empty(n - span + 1, np.int32)  # a cell has less than 2 GB
+    for low in range(0, len(picked), STEP):  # what a step makes stays in the processor's cache
+        high = min(low + STEP, len(picked))
+        m = high - low + width - 1
+        h = word[low : low + m] * U64(0x9E3779B97F4A7C15)
+        h ^= word[low + gram - 8 : low + gram - 8 + m] * U64(0xC2B2AE3D27D4EB4F)
+        h *= U64(0xD6E8FEB86659FD93)
+        h ^= h >> U64(32)
+        h *= U64(0x94D049BB133111EB)
+        h &= HIGH
+        h |= np.arange(m, dtype=U64)
+        size = 1
+        while size * 2 <= width:  # minima over 2, 4, 8, ... positions
+            h = np.minimum(h[: len(h) - size], h[size:])
+            size *= 2
+        if width > size:
+            h = np.minimum(h[: len(h) - (width - size)], h[width - size :])
+        picked[low:high] = h & LOW
+        picked[low:high] += np.int32(low)
+    edges = np.unique(offs)[1:-1]
+    across = np.maximum(edges - span + 1, 0)  # windows that reach into the next text
+    whole = ~marked(*merged(across, np.minimum(edges, len(picked))), len(picked))
+    step = picked[1:] != picked[:-1]  # so it is between windows of two texts
+    first, last = whole.copy(), whole.copy()
+    first[1:] &= step | ~whole[:-1]
+    last[:-1] &= step | ~whole[1:]
+    first, last = np.flatnonzero(first), np.flatnonzero(last)
+    return picked[first].astype(np.int64), first, last
 
 
 class Chunk:
@@ -92,9 +103,19 @@ class Chunk:
         self.ids, self.data = ids, data
         self.offs = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         self.at, self.first, self.last = packed if packed is not None else anchors(data, self.offs, span)
-        self.row = np.searchsorted(self.offs, self.at, "right") - 1
-        self.low = np.maximum(self.offs[self.row], self.at - (span - GRAM))
-        self.high = np.minimum(self.offs[self.row + 1], self.at + span)
+        self.span = span
+
+    @cached_property
+    def row(self) -> np.ndarray:
+        return np.searchsorted(self.offs, self.at, "right") - 1
+
+    @cached_property
+    def low(self) -> np.ndarray:
+        return np.maximum(self.offs[self.row], self.at - (self.span - GRAM))
+
+    @cached_property
+    def high(self) -> np.ndarray:
+        return np.minimum(self.offs[self.row + 1], self.at + self.span)
 
     def contexts(self) -> Entries:
         """The context of each anchor, with its anchor's hash."""
@@ -105,6 +126,8 @@ class Chunk:
 
     def windows(self, some: np.ndarray, span: int) -> tuple[np.ndarray, Entries]:
         """Starts of the windows that pick the anchors ``some``, and the windows."""
+        if not len(some):
+            return np.zeros(0, np.int64), Entries(np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.uint32), self.ids[:0])
         n = self.last[some] - self.first[some] + 1
         start, row = spread(self.first[some], n), np.repeat(self.row[some], n)
         one, two = Hashes(self.data), Hashes(self.data, 1)
@@ -112,13 +135,26 @@ class Chunk:
         return start, Entries(mixed(h), h, two.of(start, start + span).astype(np.uint32), self.ids[row])
 
 
+def ordered(key: np.ndarray, *hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which entries of equal hashes follow one another, and where new ones begin. ``key``: what hashes are told apart by nearly always, and ordered by."""
+    order = np.argsort(key)
+
+    def changes(values: np.ndarray) -> np.ndarray:
+        along = values[order]
+        return along[1:] != along[:-1]
+
+    fresh = changes(key)
+    if any((changes(h) & ~fresh).any() for h in hashes):
+        order = np.lexsort((*reversed(hashes), key))
+        fresh = np.logical_or.reduce([changes(h) for h in hashes])
+    return order, np.concatenate([np.ones(min(1, len(key)), bool), fresh])
+
+
 class Entries:
     """Strings of a chunk by their hashes: ``group`` says where they meet, ``one`` and ``two`` whether they are equal."""
 
     def __init__(self, group: np.ndarray, one: np.ndarray, two: np.ndarray, doc: np.ndarray):
-        order = np.lexsort((two, one))
-        a, b = one[order], two[order]
-        fresh = np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        order, fresh = ordered(one, one, two)
         number = np.cumsum(fresh) - 1
         self.of = np.empty(len(order), np.int64)  # which distinct string each is
         self.of[order] = number
@@ -140,6 +176,21 @@ class Entries:
         return status | np.where(self.later, EARLIER, 0).astype(np.uint8)
 
 
+def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches that these ranges cover, none of which touch."""
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    fresh = np.flatnonzero(np.concatenate([np.ones(min(1, len(starts)), bool), starts[1:] > ends[:-1]]))
+    return starts[fresh], ends[np.append(fresh[1:], len(ends))[: len(fresh)] - 1]
+
+
+def marked(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` positions lie in stretches that don't touch and hold a position or more."""
+    step = np.zeros(n + 1, np.int8)
+    step[starts], step[ends] = 1, -1
+    return np.cumsum(step[:n], dtype=np.int8).view(bool)
+
+
 DEALT = ["chunk", "bucket", "groups", "ones", "twos", "docs"]
 DEALT_TYPE = "chunk long, bucket long, groups binary, ones binary, twos binary, docs binary"
 
@@ -182,9 +233,9 @@ def _status(group: np.ndarray, one: np.ndarray, two: np.ndarray, doc: np.ndarray
     out = np.zeros(len(group), np.uint8)
     if not len(group):
         return out
-    order = np.lexsort((two, one, group))
-    group, one, two, doc = group[order], one[order], two[order], doc[order]
-    fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+    # The key begins with all of the group's hash, so groups stay together.
+    order, fresh = ordered((group.astype(U64) << U64(32)) | (one >> U64(32)), group, one, two)
+    group, doc = group[order], doc[order]
     heads = np.flatnonzero(fresh)
     earliest = np.minimum.reduceat(doc, heads)
     group = group[heads]
@@ -410,8 +461,7 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
         start, windows = c.windows(hot, span)
         # Of equal windows here only the earliest document's may stay, and one of these asks.
         here = start[windows.later]
-        sure = covered(np.concatenate([c.low[full], here]), np.concatenate([c.high[full], here + span]), len(c.data))
-        low, high, _ = runs(sure, np.array([0, len(c.data)]))
+        low, high = merged(np.concatenate([c.low[full], here]), np.concatenate([c.high[full], here + span]))
 
         d = Deal(bucket[doubt])
         doubt = doubt[d.order]
@@ -439,9 +489,9 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
         ends = np.cumsum([len(d) for d in data])
         starts, stops = [], []
         for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
-            p = np.unique(place[a:b][hit[a:b]])
-            starts.append(p.tobytes())
-            stops.append((p + span).tobytes())
+            first, last = merged(p := np.unique(place[a:b][hit[a:b]]), p + span)
+            starts.append(first.tobytes())
+            stops.append(last.tobytes())
         n = table.num_rows
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "positions": pa.array(starts, pa.binary()), "sizes": pa.array(stops, pa.binary()), "status": pa.array([None] * n, pa.binary())})
 
@@ -463,14 +513,15 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
             start, windows = c.windows(np.flatnonzero(((status & EARLIER) == 0) & ((status & MANY) > 0)), span)
             gone = start[(windows.told(buckets, hot) & EARLIER) > 0]
             a, b = np.concatenate([a, gone]), np.concatenate([b, gone + span])
-        gone = covered(a, b, len(c.data))
+        gone = marked(*merged(a, b), len(c.data))
         n = len(c.ids)
         start, stop, row = runs(gone, c.offs)
+        removed = np.bincount(row, weights=stop - start, minlength=n).astype(np.int64)
         kept = c.data[~gone].tobytes()
-        edge = np.concatenate([[0], np.cumsum(~gone)])[c.offs]
+        edge = np.concatenate([[0], np.cumsum(np.diff(c.offs) - removed)])
         texts = [kept[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True)]
         return pa.Table.from_arrays([
-            left.column("ids").combine_chunks().values, pa.array(np.diff(c.offs)), pa.array(np.bincount(row, weights=stop - start, minlength=n).astype(np.int64)),
+            left.column("ids").combine_chunks().values, pa.array(np.diff(c.offs)), pa.array(removed),
             pa.array(np.bincount(row, minlength=n)), pa.array(texts, pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
         ], names=out_schema.names)
 

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 from paralens.llm import suffix_dedup as s
+from paralens.llm.ragged import covered
 
 
 def brute(rows, span=50):
@@ -114,3 +115,38 @@ def test_odd_rows(odd, none):
     rows = s.dedup(odd).collect()
     assert len(rows) == odd.count() and sum(r.n_removed == r.n_bytes > 0 for r in rows) == 1  # the second long text
     assert s.dedup(none).count() == 0
+
+
+def test_chunks_without_hot_anchors_hash_no_windows(monkeypatch):
+    text = np.frombuffer(b"some words that stand here and nowhere else, so that nothing repeats at all 0123456789", np.uint8)
+    c = s.Chunk(np.array([1]), text, np.array([len(text)]), None)
+    monkeypatch.setattr(s, "Hashes", None)
+    start, windows = c.windows(np.zeros(0, np.int64), 50)
+    assert len(start) == len(windows.later) == len(windows.one) == 0
+
+
+def test_stretches_are_the_positions_covered():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 30, 300):
+        a = rng.integers(0, 900, n)
+        b = a + rng.integers(1, 40, n)
+        low, high = s.merged(a, b)
+        assert np.array_equal(s.marked(low, high, 1000), covered(a, b, 1000)) and (low[1:] > high[:-1]).all()
+
+
+def test_order_keeps_equal_hashes_together():
+    rng = np.random.default_rng(5)
+    group, one, two = (rng.integers(0, 4, 500).astype(t) for t in (np.uint32, np.uint64, np.uint32))
+    order, fresh = s.ordered((group.astype(np.uint64) << np.uint64(32)) | (one >> np.uint64(32)), group, one, two)
+    triples = list(zip(group[order].tolist(), one[order].tolist(), two[order].tolist(), strict=True))
+    assert fresh.sum() == len(set(triples)) and [t for t, f in zip(triples, fresh, strict=True) if f] == sorted(set(triples))
+
+
+@pytest.mark.parametrize("sizes", [[0, 200, 0, 0, 60, 49, 50, 1, 300, 0], [40, 40, 40], [0, 60], [60, 0], [33_000, 70]])
+def test_anchors_stay_within_texts(sizes):
+    data, offs = np.random.default_rng(6).integers(97, 100, sum(sizes)).astype(np.uint8), np.cumsum([0, *sizes])
+    at, first, last = s.anchors(data, offs)
+    windows = [k for a, b in zip(offs, offs[1:], strict=False) for k in range(a, b - 49)]
+    assert [k for a, b in zip(first, last, strict=True) for k in range(a, b + 1)] == windows
+    row = np.searchsorted(offs, at, "right") - 1
+    assert (offs[row] <= first).all() and (last + 50 <= offs[row + 1]).all() and (last <= at).all() and (at + 16 <= first + 50).all()
