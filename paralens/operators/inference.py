@@ -172,16 +172,22 @@ def _whole(x: Column) -> Column:
     return x.cast("decimal(38,0)")
 
 
+def _sum_of_products(x: Column, y: Column) -> Column:
+    """Aggregate: in whole numbers that hold the sum whatever the number of rows; one product fits a long."""
+    return F.sum((x * y).cast("decimal(20,0)"))
+
+
 def _covariance(n: Column, xy: Column, x: Column, y: Column) -> Column:
-    return (_whole(n) * xy - x * y).cast("decimal(38,0)")
+    return (_whole(n) * xy - _whole(x) * y).cast("decimal(38,0)")
 
 
 def spearman(pairs: DataFrame) -> DataFrame:
     """A row a feature: ord, name, n, rho (null if either side is constant), from ``rank_pairs``."""
     c = F.col
     sums = pairs.groupBy("ord", "name").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("rx").alias("sx"), F.sum("ry").alias("sy"), F.sum(c("rx") * c("ry")).alias("xy"), F.sum(c("rx") * c("rx")).alias("xx"), F.sum(c("ry") * c("ry")).alias("yy")
-    )
+        F.count(F.lit(1)).alias("n"), F.sum("rx").alias("sx"), F.sum("ry").alias("sy"),
+        _sum_of_products(c("rx"), c("ry")).alias("xy"), _sum_of_products(c("rx"), c("rx")).alias("xx"), _sum_of_products(c("ry"), c("ry")).alias("yy"),
+    )
     part = lambda both, a, b: _covariance(c("n"), c(both), c(a), c(b)).cast("double")
     rho = F.when(c("n") >= 3, F.try_divide(part("xy", "sx", "sy"), F.sqrt(part("xx", "sx", "sx")) * F.sqrt(part("yy", "sy", "sy"))))
     return sums.select("ord", "name", "n", rho.alias("rho"), _covariance(c("n"), c("xy"), c("sx"), c("sy")).alias("cov"), "sx", "sy")

@@ -79,6 +79,19 @@ def test_spearman(spark):
     assert t["up"].p == pytest.approx(1 / 51) and t["flat"].p == 1.0 and t["flat"].rho is None
 
 
+def test_spearman_of_many_wordings(spark):
+    long = spark.range(60_000).selectExpr("id AS p", "0 AS ord", "'x' AS name", "double(id) AS x", "double(id * 7919 % 60000) AS y")
+    row = inference.spearman(inference.rank_pairs(long)).first()
+    y = [p * 7919 % 60_000 for p in range(60_000)]
+    assert (row.n, row.rho) == (60_000, pytest.approx(1 - 6 * sum((p - q) ** 2 for p, q in enumerate(y)) / (60_000 * (60_000**2 - 1))))
+
+
+def test_sums_of_ranks_products_hold_more_than_a_long(spark):
+    ranks = [(2 * 10**9 + 7 * k, 2 * 10**9 + k * k) for k in range(9)]
+    row = inference.spearman(spark.createDataFrame([(0, "x", x, y) for x, y in ranks], "ord int, name string, rx long, ry long")).first()
+    assert row["cov"] == 9 * sum(x * y for x, y in ranks) - sum(x for x, _ in ranks) * sum(y for _, y in ranks)
+
+
 def test_constant_accuracy_is_no_finding(spark):
     long = spark.createDataFrame([(p, 0, "x", float(p), 1.0) for p in range(9)], "p int, ord int, name string, x double, y double")
     row = inference.feature_table(long, 20).first()
