@@ -19,6 +19,8 @@ from .ordered import running
 WINDOW_ROWS = 1_000_000
 #: Distinct values whose ranks are sent to every executor, 30 bytes each.
 BROADCAST_RANKS = 1_000_000
+#: Rows whose products of doubled ranks, 4 n^2 at most, a long holds the sum of.
+LONG_SUMS = 1_300_000
 
 def order_key(*parts: object) -> Column:
     """A reproducible pseudo-random key."""
@@ -205,10 +207,12 @@ def spearman_permutation_p(pairs: DataFrame, reps: int = 2000, seed: int = fixed
     wide = running(pairs.groupBy("p").agg(F.min_by("ry", "ord").alias("ry"), *rx).withColumn("one", F.lit(1)), [], "p", "one", "at")
     wide = written(wide, "ranks-by-wording")
     drawn = wide.select("p", "ry").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    placed = shuffled(drawn, ["rep"], order_key(seed, F.col("rep"), F.col("p")), "p", wide.count())
+    rows = wide.count()
+    placed = shuffled(drawn, ["rep"], order_key(seed, F.col("rep"), F.col("p")), "p", rows)
     # The accuracy drawn as k-th goes to the k-th wording by id.
     moved = placed.select("rep", F.col("nth").alias("at"), F.col("ry").alias("other")).join(wide.drop("p", "ry", "one"), "at")
-    sums = moved.groupBy("rep").agg(*(F.sum(F.col(f"rx{k}") * F.col("other")).alias(f"xy{k}") for k in orders))
+    total = _sum_of_products if rows > LONG_SUMS else lambda x, y: F.sum(x * y)
+    sums = moved.groupBy("rep").agg(*(total(F.col(f"rx{k}"), F.col("other")).alias(f"xy{k}") for k in orders))
     cells = F.array(*(F.struct(F.lit(k).alias("ord"), F.col(f"xy{k}").alias("xy")) for k in orders)) if orders else F.expr("array(named_struct('ord', 0, 'xy', 0L))")
     products = sums.select("rep", F.inline(cells))
     c = F.col

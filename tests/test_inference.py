@@ -92,6 +92,17 @@ def test_sums_of_ranks_products_hold_more_than_a_long(spark):
     assert row["cov"] == 9 * sum(x * y for x, y in ranks) - sum(x for x, _ in ranks) * sum(y for _, y in ranks)
 
 
+def test_permutations_of_many_wordings(spark):
+    long = spark.range(60_000).selectExpr("id AS p", "0 AS ord", "'x' AS name", "double(id) AS x", "double(id div 7) AS y")
+    assert inference.spearman_permutation_p(inference.rank_pairs(long), 3).first().p == 1 / 4
+
+
+def test_permutations_of_sums_beyond_a_long(spark, monkeypatch):
+    monkeypatch.setattr(inference, "LONG_SUMS", 0, raising=False)
+    p = lambda least: inference.spearman_permutation_p(spark.createDataFrame([(k, 0, "x", least + 7 * k, least + k * 5 % 9) for k in range(9)], "p long, ord int, name string, rx long, ry long"), 40).first().p
+    assert p(2 * 10**9) == p(0) and 0 < p(0) < 1
+
+
 def test_constant_accuracy_is_no_finding(spark):
     long = spark.createDataFrame([(p, 0, "x", float(p), 1.0) for p in range(9)], "p int, ord int, name string, x double, y double")
     row = inference.feature_table(long, 20).first()
