@@ -103,6 +103,12 @@ def test_permutations_of_sums_beyond_a_long(spark, monkeypatch):
     assert p(2 * 10**9) == p(0) and 0 < p(0) < 1
 
 
+def test_feature_table_of_many_wordings(spark):
+    long = spark.range(60_000).selectExpr("id AS p", "double(id div 7) AS y", "inline(array(named_struct('ord', 0, 'name', 'rising', 'x', double(id)), named_struct('ord', 1, 'name', 'flat', 'x', 1D)))")
+    t = {r["name"]: r for r in inference.feature_table(long, 3).collect()}
+    assert (t["rising"].p, t["rising"].p_holm) == (1 / 4, 1 / 2) and (t["flat"].rho, t["flat"].p, t["flat"].share_with_feature) == (None, 1.0, 1.0)
+
+
 def test_constant_accuracy_is_no_finding(spark):
     long = spark.createDataFrame([(p, 0, "x", float(p), 1.0) for p in range(9)], "p int, ord int, name string, x double, y double")
     row = inference.feature_table(long, 20).first()
