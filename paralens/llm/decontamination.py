@@ -32,6 +32,8 @@ from ..store import Table
 from .ragged import LOWER, PLAIN_WORD, Hashes, Ranges, blocks, flat, identity, runs, spread
 
 SEGMENT_BYTES = 1 << 20
+#: MB of texts or segments that go to a Python worker at once.
+BATCH_MB = 4
 #: Windows sent to the executors at once, at most 8 bytes a word of them.
 BLOCK_WINDOWS = 200_000
 #: Candidate positions held at once while lists are intersected.
@@ -279,11 +281,11 @@ def documents_of(index: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 8, item_id: str = "item_id", item_text: str = "text", id_col: str = "doc_id", text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row a document: id, n_words, n_hit, spans and items, after building, storing and searching the index."""
-    index = Table(build_index(docs, id_col, text_col), "postings", group_mb=8).df
+    index = Table(build_index(docs, id_col, text_col), "postings", group_mb=8, batch_mb=BATCH_MB, dictionary=False).df
     matches = []
     for block in query_blocks(items, window, item_id, item_text, block_windows):  # the driver holds one block at a time
         found = search(index, block).where(F.size("items") > 0).select("segment", "place", "spans", "items")
-        matches.append(Table(found, "matches").df)
+        matches.append(Table(found, "matches", batch_mb=BATCH_MB).df)
     every = documents_of(index)
     if not matches:
         matches = [search(index.limit(0), query_block([], window)).select("segment", "place", "spans", "items")]

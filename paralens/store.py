@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,25 +51,44 @@ def _scratch(spark: SparkSession, label: str) -> str:
     return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, mb: int) -> Iterator[None]:
+    """Meanwhile rows go to Python workers in Arrow batches of ``mb`` MB, or of one row if that is larger; 0 leaves them as they are.
+
+    A task holds several copies of a batch outside the heap: Arrow's vectors, the buffer it is sent from and what a doubling leaves.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    if mb:
+        spark.conf.set(key, mb << 20)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Table:
     """A DataFrame written as Parquet; ``drop`` removes the files, and the catalog's entry if it has one, once nothing reads them.
 
-    Readers hold the values of a row group of ``group_mb`` at once: tables of rows of some MB want small ones.
+    Readers hold the values of a row group of ``group_mb`` at once: tables of rows of some MB want small ones, and no
+    ``dictionary``, in which a writer keeps copies of values that never come again. ``batch_mb``: see ``batches_of``.
     """
 
-    def __init__(self, df: DataFrame, label: str, compression: str = "snappy", buckets: int = 0, key: str = "", group_mb: int = 128):
+    def __init__(self, df: DataFrame, label: str, compression: str = "snappy", buckets: int = 0, key: str = "", group_mb: int = 128, batch_mb: int = 0, dictionary: bool = True):
         self.spark = df.sparkSession
         self.path = _scratch(self.spark, label)
         self.name = f"paralens_{label.replace('-', '_')}_{uuid.uuid4().hex}" if buckets else None
-        writer = df.write.format("parquet").option("compression", compression).option("parquet.block.size", group_mb << 20)
+        writer = df.write.format("parquet").option("compression", compression).option("parquet.block.size", group_mb << 20).option("parquet.enable.dictionary", dictionary)
         if group_mb < 128:  # writers look at a page's or group's size after every so many rows only
             for kind in ("page", "block"):
                 writer = writer.option(f"parquet.{kind}.size.row.check.min", 1).option(f"parquet.{kind}.size.row.check.max", 4)
         if self.name:
-            writer.bucketBy(buckets, key).option("path", self.path).saveAsTable(self.name)
+            with batches_of(self.spark, batch_mb):
+                writer.bucketBy(buckets, key).option("path", self.path).saveAsTable(self.name)
             self.df = self.spark.table(self.name)
         else:
-            writer.save(self.path)
+            with batches_of(self.spark, batch_mb):
+                writer.save(self.path)
             self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

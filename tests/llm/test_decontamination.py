@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from paralens.llm import decontamination as d
 from paralens.llm import ragged
+from paralens.store import Table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -130,3 +131,30 @@ def test_odd_rows(spark, odd, none):
     assert d.contamination(none, bench).count() == 0
     empty = d.contamination(odd, bench.where("item_id > 5")).collect()
     assert len(empty) == odd.count() and all(r.n_hit == 0 for r in empty)
+
+
+def test_texts_go_to_workers_in_small_batches(spark):
+    docs = spark.range(0, 12_000, 1, 1).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 300) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["size"])
+
+    seen = Table(docs.mapInArrow(sizes, "size long"), "sizes", batch_mb=d.BATCH_MB).df.collect()
+    assert sum(r.size for r in seen) > 2 * max(r.size for r in seen) and max(r.size for r in seen) < 1.1 * d.BATCH_MB * 2**20
+
+
+def test_index_and_search_take_small_batches(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", {}
+    before = spark.conf.get(key)
+
+    class Watched(Table):
+        def __init__(self, df, label, *a, **k):
+            seen[label] = k.get("batch_mb")
+            super().__init__(df, label, *a, **k)
+
+    monkeypatch.setattr(d, "Table", Watched)
+    docs = spark.createDataFrame([(1, "a b c d e f g h i")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "b c d e f g h i")], "item_id long, text string")
+    assert d.contamination(docs, items).first().n_hit == 8
+    assert seen == {"postings": d.BATCH_MB, "matches": d.BATCH_MB} and spark.conf.get(key) == before
