@@ -8,11 +8,14 @@ aggregate with map-side combining.
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..store import written
+from .draws import holds, rank_products
 from .ordered import running
 
 #: Rows of one group that one window sorts.
@@ -21,6 +24,8 @@ WINDOW_ROWS = 1_000_000
 BROADCAST_RANKS = 1_000_000
 #: Rows whose products of doubled ranks, 4 n^2 at most, a long holds the sum of.
 LONG_SUMS = 1_300_000
+#: Rows that repetitions move at once where a task can't draw them alone.
+MOVED_ROWS = 10_000_000
 
 def order_key(*parts: object) -> Column:
     """A reproducible pseudo-random key."""
@@ -195,31 +200,50 @@ def spearman(pairs: DataFrame) -> DataFrame:
     return sums.select("ord", "name", "n", rho.alias("rho"), _covariance(c("n"), c("xy"), c("sx"), c("sy")).alias("cov"), "sx", "sy")
 
 
+def _products_of_moved(wide: DataFrame, orders: list[int], reps: range, seed: int, rows: int) -> DataFrame:
+    """(rep, ord, xy) by shuffling a copy of all wordings a repetition."""
+    drawn = wide.select("p", "ry").withColumn("rep", F.explode(F.sequence(F.lit(reps[0]), F.lit(reps[-1]))))
+    placed = shuffled(drawn, ["rep"], order_key(seed, F.col("rep"), F.col("p")), "p", rows)
+    # The accuracy drawn as k-th goes to the k-th wording by id.
+    moved = placed.select("rep", F.col("nth").alias("at"), F.col("ry").alias("other")).join(wide.drop("p", "ry", "one"), "at")
+    total = _sum_of_products if rows > LONG_SUMS else lambda x, y: F.sum(x * y)
+    sums = moved.groupBy("rep").agg(*(total(F.col(f"rx{k}"), F.col("other")).alias(f"xy{k}") for k in orders))
+    return sums.select("rep", F.inline(F.array(*(F.struct(F.lit(k).alias("ord"), F.col(f"xy{k}").alias("xy")) for k in orders))))
+
+
 def spearman_permutation_p(pairs: DataFrame, reps: int = 2000, seed: int = fixed.SEED_SPEARMAN) -> DataFrame:
     """A row a feature: ord, name, rho and its two-sided permutation p; null where rho is.
 
     Ranks don't change under permutation, so only the sum of their products is taken again, in whole
-    numbers, from one shuffle of the wordings a repetition that all features share.
+    numbers, from one shuffle of the wordings a repetition that all features share. Up to WINDOW_ROWS
+    wordings a task draws whole repetitions from its own copy of the ranks. More are moved, MOVED_ROWS
+    or a repetition at a time, so that the disk holds no more.
     """
+    spark, c = pairs.sparkSession, F.col
     own = written(spearman(pairs), "correlations")  # a row a feature
     orders = sorted(r[0] for r in own.select("ord").collect())
     rx = [F.max(F.when(F.col("ord") == k, F.col("rx"))).alias(f"rx{k}") for k in orders]
     wide = running(pairs.groupBy("p").agg(F.min_by("ry", "ord").alias("ry"), *rx).withColumn("one", F.lit(1)), [], "p", "one", "at")
     wide = written(wide, "ranks-by-wording")
-    drawn = wide.select("p", "ry").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    rows = wide.count()
-    placed = shuffled(drawn, ["rep"], order_key(seed, F.col("rep"), F.col("p")), "p", rows)
-    # The accuracy drawn as k-th goes to the k-th wording by id.
-    moved = placed.select("rep", F.col("nth").alias("at"), F.col("ry").alias("other")).join(wide.drop("p", "ry", "one"), "at")
-    total = _sum_of_products if rows > LONG_SUMS else lambda x, y: F.sum(x * y)
-    sums = moved.groupBy("rep").agg(*(total(F.col(f"rx{k}"), F.col("other")).alias(f"xy{k}") for k in orders))
-    cells = F.array(*(F.struct(F.lit(k).alias("ord"), F.col(f"xy{k}").alias("xy")) for k in orders)) if orders else F.expr("array(named_struct('ord', 0, 'xy', 0L))")
-    products = sums.select("rep", F.inline(cells))
-    c = F.col
-    hits = products.join(F.broadcast(own), "ord").groupBy("ord", "name").agg(
-        F.max("rho").alias("rho"), F.count_if(F.abs(_covariance(c("n"), c("xy"), c("sx"), c("sy"))) >= F.abs(c("cov"))).alias("hits")
-    )
-    return hits.select("ord", "name", "rho", F.when(c("rho").isNotNull(), (c("hits") + 1) / F.lit(float(reps + 1))).alias("p"))
+    rows, most = wide.agg(F.count(F.lit(1)), F.max(F.greatest("ry", "ry", *(f"rx{k}" for k in orders)))).first()
+
+    def hits(products: DataFrame) -> DataFrame:
+        beyond = F.abs(_covariance(c("n"), c("xy"), c("sx"), c("sy"))) >= F.abs(c("cov"))
+        return products.join(F.broadcast(own), "ord").groupBy("ord", "name").agg(F.max("rho").alias("rho"), F.count_if(beyond).alias("hits"))
+
+    if not rows:
+        seen = own.select("ord", "name", "rho", F.lit(0).alias("hits"))
+    elif rows <= min(WINDOW_ROWS, LONG_SUMS) and holds(rows, most):
+        seen = hits(rank_products(wide, orders, reps, seed, most))
+    else:
+        step, found = max(1, MOVED_ROWS // rows), []
+        for first in range(0, reps, step):
+            found += hits(_products_of_moved(wide, orders, range(first, min(first + step, reps)), seed, rows)).select("ord", "hits").collect()
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()  # else shuffle files stay until the driver happens to collect its garbage
+        counts = spark.createDataFrame([(k, sum(r.hits for r in found if r.ord == k)) for k in orders], "ord int, hits long")
+        seen = counts.join(F.broadcast(own), "ord").select("ord", "name", "rho", "hits")
+    return seen.select("ord", "name", "rho", F.when(c("rho").isNotNull(), (c("hits") + 1) / F.lit(float(reps + 1))).alias("p"))
 
 
 def holm(tests: DataFrame, by: list[str] | None = None) -> DataFrame:

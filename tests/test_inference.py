@@ -1,10 +1,11 @@
+import hashlib
 from itertools import accumulate
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paralens.operators import accounting, describe, inference, ordered
+from paralens.operators import accounting, describe, draws, inference, ordered
 
 
 def cells(spark, matrix):
@@ -109,6 +110,42 @@ def test_feature_table_of_many_wordings(spark):
     assert (t["rising"].p, t["rising"].p_holm) == (1 / 4, 1 / 2) and (t["flat"].rho, t["flat"].p, t["flat"].share_with_feature) == (None, 1.0, 1.0)
 
 
+def test_permutations_move_no_rows_or_some_at_a_time(spark, monkeypatch):
+    long = spark.range(500).selectExpr("concat('w', id * 37) AS p", "double(id * 7 % 11) AS y", "inline(array(named_struct('ord', 0, 'name', 'up', 'x', double(id % 90)), named_struct('ord', 2, 'name', 'some', 'x', double(id % 7 = 0)))) ")
+    pairs = inference.rank_pairs(long)
+    ps = lambda: {r["name"]: (r.ord, r.p) for r in inference.spearman_permutation_p(pairs, 30).collect()}
+    moved, some = [], inference._products_of_moved
+    monkeypatch.setattr(inference, "_products_of_moved", lambda wide, orders, reps, *a: moved.append(list(reps)) or some(wide, orders, reps, *a))
+    here = ps()
+    assert not moved and all(0 < p <= 1 for _, p in here.values())
+    monkeypatch.setattr(inference, "WINDOW_ROWS", 400)
+    monkeypatch.setattr(inference, "MOVED_ROWS", 6000)
+    assert ps() == here and moved == [list(range(k, min(k + 12, 30))) for k in (0, 12, 24)]
+
+
+def test_digests_and_sums_of_drawn_orders():
+    for keys in ([b"|%d" % k for k in range(0, 40_000, 7)], [b"", b"|x" * 40, "|\u00e9".encode(), b"|" + b"y" * 52], [b"|" + b"z" * 50]):
+        data, offs = np.frombuffer(b"".join(keys), np.uint8), np.cumsum([0, *map(len, keys)])
+        for beginning in (b"3|0", b"3|12", b"3|1999", b""):
+            whole = [hashlib.md5(beginning + k).digest() for k in keys]
+            high, low = draws.Keys(data, offs).digests(beginning)
+            assert [a.to_bytes(8) + b.to_bytes(8) for a, b in zip(high.tolist(), low.tolist(), strict=True)] == whole
+            order = draws.Keys(data, offs).order(beginning)
+            assert order.tolist() == sorted(range(len(keys)), key=whole.__getitem__)
+        most = min(int((2**63 / len(keys)) ** 0.5), 2**26) - 1  # a double holds the sum of few products
+        assert draws.holds(len(keys), most)
+        ry, rx = [most - k for k in range(len(keys))], [most - 3 * k for k in range(len(keys))]
+        ranks = draws.Ranks(data, offs, np.array(ry, np.int32), np.array([rx, ry], np.int32), most)
+        other = [ry[k] for k in draws.Keys(data, offs).order(b"5|8")]
+        assert ranks.products(5, [7, 8])[1].tolist() == [sum(a * b for a, b in zip(x, other, strict=True)) for x in (rx, ry)]
+
+
+def test_equal_leading_digits_are_told_apart_by_the_others(monkeypatch):
+    high, low = np.array([5, 3, 5, 3, 5], np.uint64), np.array([9, 7, 2, 7, 9], np.uint64)
+    monkeypatch.setattr(draws.Keys, "digests", lambda *_: (high, low))
+    assert draws.Keys(np.empty(0, np.uint8), np.zeros(6, np.int64)).order(b"").tolist() == [1, 3, 2, 0, 4]
+
+
 def test_constant_accuracy_is_no_finding(spark):
     long = spark.createDataFrame([(p, 0, "x", float(p), 1.0) for p in range(9)], "p int, ord int, name string, x double, y double")
     row = inference.feature_table(long, 20).first()
